@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, pii, quality_crf, quality_rules, token_counts, toxicity
+from . import byte_bpe, line_dedup, pii, quality_crf, quality_rules, token_counts, toxicity
 from .common import documents, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +27,33 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH l AS (
+    SELECT doc_id, i, trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t, x
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), d AS (
+    SELECT t, min((doc_id, i)) AS place, string_split(t, ' ') AS w FROM l WHERE t <> '' GROUP BY t
+), v AS (
+    SELECT place, len(w) - 1 AS size, k AS gap, array_to_string(list_concat(w[1:k - 1], w[k + 1:]), ' ') AS key
+    FROM (SELECT *, unnest(generate_series(1, len(w))) AS k FROM d WHERE len(w) >= 8)
+    UNION ALL SELECT place, len(w), -1, t FROM d WHERE len(w) >= 8
+), near AS (
+    SELECT v.place FROM v JOIN (SELECT key, size, gap, min(place) AS e FROM v WHERE gap > 0 GROUP BY ALL) a USING (key, size, gap) WHERE a.e < v.place
+    UNION
+    SELECT v.place FROM v JOIN (SELECT key, size, min(place) FILTER (gap < 0) AS f, min(place) FILTER (gap > 0) AS c FROM v GROUP BY ALL) b USING (key, size)
+    WHERE CASE WHEN gap < 0 THEN c ELSE f END < v.place
+), kept AS (SELECT place FROM d WHERE place NOT IN (SELECT place FROM near))
+SELECT l.doc_id, count(*) AS n_lines, count(*) - count(*) FILTER (t = '' OR kept.place IS NOT NULL) AS n_removed,
+    sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (t = '' OR kept.place IS NOT NULL), '')) AS kept_sha256
+FROM l LEFT JOIN kept ON kept.place = (l.doc_id, l.i) GROUP BY l.doc_id
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), *_tokenizer())
 
@@ -46,9 +74,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_pii, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier]
+    own = [op1_byte_bpe, op2_pii, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": OP6_SQL}
