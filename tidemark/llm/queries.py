@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, pii, quality_crf, quality_rules, token_counts, toxicity
+from . import byte_bpe, decontaminate, line_dedup, pii, quality_crf, quality_rules, token_counts, toxicity
 from .common import documents, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "start", F.round("similarity", 9).alias("similarity"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -74,7 +79,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_pii, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier]
+    own = [op1_byte_bpe, op2_pii, op3_decontamination, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier]
     return {f.__name__: f for f in own}
 
 
