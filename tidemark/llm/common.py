@@ -113,3 +113,28 @@ def trained_fold(doc_id: str = "doc_id"):
 def local_path(path: str) -> str:
     """A vocabulary file's local path; tokenizer files are installed on every node."""
     return os.path.expanduser(path)
+
+
+#: Words of a key mask and bits used in each: its size is fixed, whatever it stands for.
+MASK_WORDS, MASK_BITS = 1 << 17, 62
+
+
+def key_mask(keys: DataFrame, key: str) -> DataFrame:
+    """A set of 64-bit keys as at most ``MASK_WORDS`` rows (word, bits), safe to broadcast at any input size.
+
+    Like a Bloom filter with one hash it may say yes to a key that is not in the set, never no to one that is; it spares rows a
+    shuffle before an exact join. When the set outgrows it, it lets everything through.
+    """
+    word, bit = _mask_place(key)
+    return keys.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
+
+
+def _mask_place(key: str) -> tuple:
+    return F.expr(f"int(pmod({key}, {MASK_WORDS}))"), f"int(pmod(shiftright({key}, 17), {MASK_BITS}))"
+
+
+def with_mask(df: DataFrame, key: str, mask: DataFrame, name: str = "maybe") -> DataFrame:
+    """Adds a boolean: false if the key is surely not in the mask's set."""
+    word, bit = _mask_place(key)
+    joined = df.withColumn("_word", word).join(F.broadcast(mask), "_word", "left")
+    return joined.withColumn(name, F.coalesce(F.expr(f"shiftright(_bits, {bit}) & 1L") == 1, F.lit(False))).drop("_word", "_bits")
