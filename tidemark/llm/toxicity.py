@@ -21,7 +21,7 @@ from .training import fit_in_task, sigmoid, training_rows
 BITS = 20
 #: Labelled rows that the model learns from, at most.
 TRAINING_ROWS = 12000
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1.5, 0.5, 4
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 0.5, 3
 PREDICT_FROM = 0.5
 BIAS = 1 << BITS
 
