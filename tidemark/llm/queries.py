@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity
+from . import byte_bpe, decontaminate, line_dedup, ngram_join, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity
 from .common import documents, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -84,7 +88,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_pii, op3_decontamination, op4_substring_dedup, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier]
+    own = [op1_byte_bpe, op2_pii, op3_decontamination, op4_substring_dedup, op5_ngram_join, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier]
     return {f.__name__: f for f in own}
 
 
