@@ -418,3 +418,18 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     final = named.join(first, "component").select("node", "component_id")
     out = base.join(final, "node", "left")
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns, with one row of each class: of the smallest doc_id, and of rows with that id the one of the smallest hash.
+
+    Documents without words stay, as they are linked with nothing; so do classes whose ids are all null, by one row for each distinct text.
+    """
+    classes = similar_classes(docs, width, percent)
+    leaders = classes.where((F.col("n_shingles") > 0) & (F.col("doc_id").eqNullSafe(F.col("component_id")))).groupBy("doc_id").agg(F.min("row_key").alias("_row_key")).select("_row_key")
+    empty = classes.where("n_shingles = 0").select(F.col("row_key").alias("_row_key")).distinct()
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_row_key", key)
+    nulls = classes.where("n_shingles > 0 and doc_id is null and component_id is null").select(F.col("row_key").alias("_row_key")).distinct()
+    kept = keyed.join(leaders.unionByName(nulls), "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return kept.unionByName(keyed.join(empty, "_row_key", "left_semi")).drop("_row_key")

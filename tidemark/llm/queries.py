@@ -13,14 +13,15 @@ from .common import documents, table
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
-def _tokenizer() -> tuple[str, str]:
+def tokenizer() -> tuple[str, str]:
+    """Path of the vocabulary file and the split pattern."""
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode_documents(documents(spark, sf_dir), *_tokenizer())
+    return byte_bpe.encode_documents(documents(spark, sf_dir), *tokenizer())
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ FROM l LEFT JOIN kept ON kept.place = (l.doc_id, l.i) GROUP BY l.doc_id
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(documents(spark, sf_dir), *_tokenizer())
+    return token_counts.count_tokens(documents(spark, sf_dir), *tokenizer())
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
