@@ -21,15 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, cut, key_mask, with_mask
 
 MIN_WORDS = 8
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and a key of the row; rows equal in both are one document."""
+def _keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """doc_id, text (null: empty) and a key of the row; rows equal in both are one document. ``more``: columns that come along."""
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("row_key"))
+    more = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("row_key"), more.alias("more"))
 
 
 def _place(line_no: Column) -> Column:
@@ -50,7 +51,7 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def distinct_lines(keyed: DataFrame) -> DataFrame:
-    """Each distinct line that is not blank: its hash, first place and number of words."""
+    """Each distinct line that is not blank: its first place (no_id, doc_id, row_key, line_no), its number of words and the hashes of its halves."""
     lines = keyed.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     lines = lines.select(_place(F.col("line_no")).alias("place"), F.btrim("raw", F.lit(SPACE)).alias("line")).where("line <> ''")
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
@@ -58,53 +59,75 @@ def distinct_lines(keyed: DataFrame) -> DataFrame:
     halves = F.expr("""array_distinct(array(
         xxhash64('first', low, substring_index(line, ' ', low)), xxhash64('last', low, substring_index(line, ' ', -low)),
         xxhash64('first', high, substring_index(line, ' ', high)), xxhash64('last', high, substring_index(line, ' ', -high))))""")
-    return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "place", "n", halves.alias("halves"))
+    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "place", "n", halves.alias("halves"))
+    return hashed.groupBy("h1", "h2").agg(F.min(F.struct("place", "n", "halves")).alias("m")).select("m.place.*", "m.n", "m.halves")
 
 
-def near_lines(keyed: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
-    """Places of distinct lines that differ by one word from an earlier line."""
-    halves = firsts.where(F.col("n") >= min_words).select("place", F.explode("halves").alias("half"))
+def neighbours(keyed: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
+    """The distinct lines that share a half with another: ``place`` and ``words``."""
+    halves = firsts.where(F.col("n") >= min_words).select("row_key", "line_no", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    live = halves.join(shared, "half", "left_semi").select("place").distinct()
-    wanted = live.groupBy("place.row_key").agg(F.collect_list("place").alias("places"))
-    texts = keyed.select("row_key", "text").join(wanted, "row_key").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
-    line = F.btrim(F.expr("lines[place.line_no]"), F.lit(SPACE))
-    lines = texts.select("place", F.split(line, " ").alias("words")).dropDuplicates(["place"])
-
-    w = lines.select("place", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
-    w = w.select("place", "n", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("moved"))
-    line_of = Window.partitionBy("place").orderBy("i")
+    live = cut(halves.join(shared, "half", "left_semi").groupBy("row_key").agg(F.collect_set("line_no").alias("wanted")))
+    near = with_mask(keyed.drop("more"), "row_key", key_mask(live, "row_key")).where("maybe").drop("maybe")
+    found = near.join(live, "row_key").dropDuplicates(["row_key"]).select("doc_id", "row_key", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
+    return cut(found.select(_place(F.col("line_no")).alias("place"), F.split(F.btrim(F.expr("lines[line_no]"), F.lit(SPACE)), " ").alias("words")))
+
+
+def variants(lines: DataFrame) -> DataFrame:
+    """The deletion neighbourhood: (key, size, gap) of the line without each word, and of the whole line with gap -1."""
+    w = lines.select(F.xxhash64("place").alias("line"), "place", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
+    w = w.select("line", "place", "n", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("moved"))
+    line_of = Window.partitionBy("line", "place").orderBy("i")
     before, upto, whole = line_of.rowsBetween(Window.unboundedPreceding, -1), line_of.rowsBetween(Window.unboundedPreceding, 0), line_of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w = w.select("place", "n", "i", F.coalesce(F.bit_xor("here").over(before), F.lit(0)).alias("head"), F.bit_xor("moved").over(upto).alias("passed"), F.bit_xor("moved").over(whole).alias("all_moved"), F.bit_xor("here").over(whole).alias("all_here"))
     without = F.col("head").bitwiseXOR(F.col("passed")).bitwiseXOR(F.col("all_moved"))
-    variants = w.select("place", F.explode(F.array(
+    both = F.array(
         F.struct(without.alias("key"), (F.col("n") - 1).alias("size"), F.col("i").alias("gap")),
         F.when(F.col("i") == 0, F.struct(F.col("all_here").alias("key"), F.col("n").alias("size"), F.lit(-1).alias("gap"))),
-    )).alias("v")).where("v is not null").select("place", "v.*")
+    )
+    return w.select("place", F.explode(both).alias("v")).where("v is not null").select("place", "v.*")
+
 
-    at_gap = variants.where("gap >= 0").groupBy("key", "size", "gap").agg(F.min("place").alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c")
-    replaced = variants.join(at_gap, ["key", "size", "gap"]).where("earliest < place").select("place", "earliest")
-    either = variants.groupBy("key", "size").agg(F.min(F.when(F.col("gap") < 0, F.col("place"))).alias("full"), F.min(F.when(F.col("gap") >= 0, F.col("place"))).alias("cut")).where("full is not null and cut is not null")
-    other = F.when(F.col("gap") < 0, F.col("cut")).otherwise(F.col("full"))
-    inserted = variants.join(either, ["key", "size"]).select("place", other.alias("earliest")).where("earliest < place")
+def near_lines(keyed: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
+    """Places of distinct lines that differ by one word from an earlier line."""
+    lines = neighbours(keyed, firsts, min_words)
+    every = variants(lines)
+    at_gap = every.where("gap >= 0").groupBy("key", "size", "gap").agg(F.min("place").alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c")
+    replaced = every.join(at_gap, ["key", "size", "gap"]).where("earliest < place").select("place", "earliest")
+    either = every.groupBy("key", "size").agg(F.min(F.when(F.col("gap") < 0, F.col("place"))).alias("full"), F.min(F.when(F.col("gap") >= 0, F.col("place"))).alias("short")).where("full is not null and short is not null")
+    other = F.when(F.col("gap") < 0, F.col("short")).otherwise(F.col("full"))
+    inserted = every.join(either, ["key", "size"]).select("place", other.alias("earliest")).where("earliest < place")
     pairs = replaced.unionByName(inserted).distinct()
     own, theirs = lines.select("place", F.col("words").alias("own")), lines.select(F.col("place").alias("earliest"), F.col("words").alias("theirs"))
     return pairs.join(own, "place").join(theirs, "earliest").where(one_edit(F.col("own"), F.col("theirs"))).select("place").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, carry: list[str] | None = None) -> DataFrame:
     """The documents without repeated and near-repeated lines.
 
     Returns ``doc_id row_key n_lines n_removed text``, one row for each row. A null text counts as empty (one blank line,
     nothing removed). Rows equal in id and text are one document and keep the same lines. A null doc_id comes last
-    in the order. Other columns are not read; lines of any length take work in proportion to their length.
+    in the order. Columns named in ``carry`` follow; others are not read. Lines of any length take work in proportion to their length.
     """
-    keyed = _keyed(docs)
-    firsts = distinct_lines(keyed).groupBy("h1", "h2").agg(F.min(F.struct("place", "n", "halves")).alias("m")).select("m.*")
+    keyed = _keyed(docs, carry or [])
+    firsts = cut(distinct_lines(keyed))
     near = near_lines(keyed, firsts, min_words)
-    kept = firsts.select("place").join(near, "place", "left_anti").groupBy(F.col("place.row_key").alias("row_key")).agg(F.collect_list("place.line_no").alias("kept"))
+    gone = near.select("place.row_key", "place.line_no")
+    kept = firsts.select("row_key", "line_no").join(gone, ["row_key", "line_no"], "left_anti").groupBy("row_key").agg(F.collect_list("line_no").alias("kept"))
+    rebuilt = _rebuilt(keyed, cut(kept))
+    return rebuilt.select("doc_id", "row_key", "n_lines", "n_removed", "text", *(F.col(f"more.{c}").alias(c) for c in carry or []))
+
+
+def _rebuilt(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The texts of the kept and the blank lines. Only documents that may lose a line are joined; the rest pass as they are."""
     lines = F.split("text", "\n")
-    joined = keyed.join(kept, "row_key", "left").select("doc_id", "row_key", lines.alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    full = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    counted = keyed.select("row_key", F.size(full).alias("n")).where("n > 0").distinct()
+    changed = counted.join(kept.select("row_key", F.size("kept").alias("k")), "row_key", "left").where("k is null or k < n").select("row_key")
+    marked = with_mask(keyed, "row_key", key_mask(changed, "row_key"))
+    whole = marked.where("not maybe").select("doc_id", "row_key", F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text", "more")
+    joined = marked.where("maybe").join(kept, "row_key", "left").select("doc_id", "row_key", "more", lines.alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     blank = F.filter(F.transform("lines", lambda x, i: F.when(F.btrim(x, F.lit(SPACE)) == "", i)), lambda i: i.isNotNull())
     stay = joined.withColumn("stay", F.array_sort(F.concat("kept", blank))).withColumn("stay", F.expr("transform(stay, i -> lines[i])"))
-    return stay.select("doc_id", "row_key", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_removed"), F.array_join("stay", "\n").alias("text"))
+    cleaned = stay.select("doc_id", "row_key", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_removed"), F.array_join("stay", "\n").alias("text"), "more")
+    return whole.unionByName(cleaned)
