@@ -185,7 +185,8 @@ def repeated_windows(keyed: DataFrame, k: int, m: int, hot: int) -> DataFrame:
     dealt = sent.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("minimiser").select("minimiser", "k1", "start", "windows", "packed", "hot")
     counted = cut(dealt.mapInArrow(_count_bucket(k), "k1 long, first int, last int, w1 long, w2 long"))
     spread = counted.where("w1 is not null")
-    again = spread.groupBy("w1", "w2").agg(F.min(F.xxhash64("k1", "first")).alias("a"), F.max(F.xxhash64("k1", "first")).alias("b")).where("a <> b").select("w1", "w2")
+    # cut, so that the join deals out both sides itself and a frequent window's rows can be split between tasks
+    again = cut(spread.groupBy("w1", "w2").agg(F.min(F.xxhash64("k1", "first")).alias("a"), F.max(F.xxhash64("k1", "first")).alias("b")).where("a <> b").select("w1", "w2"))
     return counted.where("w1 is null").select("k1", "first", "last").unionByName(spread.join(again, ["w1", "w2"], "left_semi").select("k1", "first", "last")).distinct()
 
 
