@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import bars, features
-from .plans import data, market, spectra
+from .plans import data, knowledge, market, research, spectra
 from .plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (market, spectra)
+MODULES = (market, research, spectra, knowledge)
 
 
 def queries() -> dict[str, Query]:

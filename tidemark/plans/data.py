@@ -13,7 +13,7 @@ PANEL = "panel AS (SELECT CAST(l_shipdate AS DATE) AS d, CAST(l_suppkey % 8 AS B
 GRID = PANEL + ", grid AS (SELECT d, " + ", ".join(f"max(v) FILTER (s = {i}) AS s{i}" for i in range(SERIES)) + " FROM panel GROUP BY d HAVING count(*) = 8)"
 TICKS = "ticks AS (SELECT event_id AS tick_id, ts, value AS price FROM events WHERE event_type = 'purchase')"
 HOURLY = TICKS + ", hourly AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS bar_start, arg_min(price, (ts, tick_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, tick_id)) AS close, count(*) AS ticks FROM ticks GROUP BY 1)"
-DAILY = "daily AS (SELECT CAST(o_orderdate AS DATE) AS d, round(avg(o_totalprice), 2) AS v, count(*) AS n FROM orders GROUP BY 1)"
+DAILY = "daily AS (SELECT CAST(o_orderdate AS DATE) AS d, round(sum(o_totalprice), 2) / count(*) AS v, count(*) AS n FROM orders GROUP BY 1)"
 RELEASES = "releases AS (SELECT CAST(l_suppkey % 4 AS BIGINT) AS s, CAST(l_shipdate AS DATE) + 7 AS available, round(sum(l_quantity), 2) AS v FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY 1, 2)"
 
 
@@ -35,7 +35,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One market series by day: mean order price, and how many orders stand behind it."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg((F.round(F.sum("o_totalprice"), 2) / F.count("*")).alias("v"), F.count("*").alias("n"))
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
