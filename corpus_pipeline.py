@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the model keep; the model learns from the labels of ``sf_dir``."""
     model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
     scored = quality_rules.score_quality(docs, model, carry=COLUMNS)
-    return scored.where("kept").select(*(F.col(f"doc_{c}").alias(c) for c in COLUMNS))
+    return scored.where("kept").select(*(F.col(f"carried_{c}").alias(c) for c in COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
