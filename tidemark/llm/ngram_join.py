@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, cut, grams, key_mask, mix, slices, texts, with_mask, word_hashes
+from .common import as_long, cut, free_name, grams, key_mask, mix, slices, texts, with_mask, word_hashes
 
 WIDTH, PERCENT = 4, 85
 #: Upper ends of the size bands grow by this factor.
@@ -396,10 +396,10 @@ def _other_links(keyed: DataFrame, bases: DataFrame, live: DataFrame, info: Data
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Classes of documents linked by similarity: ``doc_id row_key n_shingles component_id``, one row for each row.
+    """Classes of documents linked by similarity: ``doc_id row_key n_shingles component_id class_key``, one row for each row.
 
     ``component_id`` is the smallest doc_id reachable by links, the row's own included. A text without words (or null) is
-    linked with nothing. Rows with equal sets, also under one id, are linked. A null id never names a class unless nothing else is in it.
+    linked with nothing. Rows with equal sets, also under one id, are linked. ``class_key`` tells classes apart where rows of one id are in several (null without words). A null id never names a class unless nothing else is in it.
     Other columns are not read.
     """
     bands = Bands(percent)
@@ -415,21 +415,22 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     labels = components(links.unionByName(others))
     named = classes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    final = named.join(first, "component").select("node", "component_id")
+    final = named.join(first, "component").select("node", "component", "component_id")
     out = base.join(final, "node", "left")
-    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("component").alias("class_key"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, with one row of each class: of the smallest doc_id, and of rows with that id the one of the smallest hash.
+    """The documents, all columns, with one row of each class: of the smallest doc_id (nulls last), and of rows with that id the one of the smallest hash.
 
-    Documents without words stay, as they are linked with nothing; so do classes whose ids are all null, by one row for each distinct text.
+    Documents without words stay, as they are linked with nothing.
     """
-    classes = similar_classes(docs, width, percent)
-    leaders = classes.where((F.col("n_shingles") > 0) & (F.col("doc_id").eqNullSafe(F.col("component_id")))).groupBy("doc_id").agg(F.min("row_key").alias("_row_key")).select("_row_key")
-    empty = classes.where("n_shingles = 0").select(F.col("row_key").alias("_row_key")).distinct()
+    classes = cut(similar_classes(docs, width, percent))
+    name = free_name(docs, "row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
+    leaders = classes.where("n_shingles > 0").groupBy("class_key").agg(first).select(F.col("m.row_key").alias(name))
+    empty = classes.where("n_shingles = 0").select(F.col("row_key").alias(name)).distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumn("_row_key", key)
-    nulls = classes.where("n_shingles > 0 and doc_id is null and component_id is null").select(F.col("row_key").alias("_row_key")).distinct()
-    kept = keyed.join(leaders.unionByName(nulls), "_row_key", "left_semi").dropDuplicates(["_row_key"])
-    return kept.unionByName(keyed.join(empty, "_row_key", "left_semi")).drop("_row_key")
+    keyed = docs.withColumn(name, key)
+    kept = keyed.join(leaders, name, "left_semi").dropDuplicates([name])
+    return kept.unionByName(keyed.join(empty, name, "left_semi")).select(*docs.columns)

@@ -145,18 +145,18 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray], keep_from: floa
     """Base rules and verdict for every whole text.
 
     Returns ``doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed score kept``, one row
-    for each row; ``carry`` names columns of ``docs`` that come along under a leading ``doc_``. A null text counts as
+    for each row; ``carry`` names columns of ``docs`` that come along under a leading ``carried_``. A null text counts as
     empty: no words, so its base rules fail. Null and repeated ids stay. No shuffle; the weights, of a fixed
     size, are broadcast.
     """
     carry = carry or []
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
-    own = [F.col(c).alias(f"doc_{c}") for c in carry]
+    own = [F.col(c).alias(f"carried_{c}") for c in carry]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
     kinds = dict(docs.dtypes)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
-    schema += "".join(f", `doc_{c}` {kinds[c]}" for c in carry)
+    schema += "".join(f", `carried_{c}` {kinds[c]}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, (slope, shift) = held.value["weights"], held.value["curve"]
@@ -175,6 +175,6 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray], keep_from: floa
             score = sigmoid(slope * margins + shift)
             columns = [batch.column("doc_id"), *map(pa.array, out.values()), pa.array(failed), pa.array(score), pa.array(~failed & (score >= keep_from))]
             names = ["doc_id", *out, "base_failed", "score", "kept"]
-            yield pa.RecordBatch.from_arrays(columns + [batch.column(f"doc_{c}") for c in carry], names + [f"doc_{c}" for c in carry])
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(f"carried_{c}") for c in carry], names + [f"carried_{c}" for c in carry])
 
     return source.mapInArrow(run, schema)
