@@ -31,7 +31,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Run ``fit`` over the bounded sample in one task and return its arrays. The task can be run again anywhere."""
+    """Run ``fit`` over the bounded sample in one task and return its arrays. The task can be run again anywhere. Without labelled rows ``fit`` gets none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
@@ -43,8 +43,10 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], dict[s
         np.savez(held, **fit(texts, np.array(labels, dtype=np.float64)))
         yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], ["model"])
 
-    packed = sample.select("label", "text").coalesce(1).mapInArrow(run, "model binary").first()[0]
-    with np.load(io.BytesIO(bytes(packed))) as arrays:
+    packed = sample.select("label", "text").coalesce(1).mapInArrow(run, "model binary").first()
+    if packed is None:  # an empty sample may have no task at all
+        return fit([], np.empty(0))
+    with np.load(io.BytesIO(bytes(packed[0]))) as arrays:
         return {k: arrays[k] for k in arrays.files}
 
 
