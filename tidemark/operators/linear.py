@@ -112,6 +112,48 @@ def first_component(m: Moments, use: Sequence[int]) -> tuple[np.ndarray, float]:
     return (v if lead > 0 else -v), float(values[-1] / max(np.trace(c), FLAT))
 
 
+def states(m: Moments, blocks: dict[str, Sequence[int]]) -> np.ndarray:
+    """Matrix that maps (1, columns, target) to (1, first component of each block's standardised columns, target)."""
+    k = len(m.mean)
+    out = np.zeros((len(blocks) + 2, k))
+    out[0, 0] = out[-1, -1] = 1.0
+    for i, use in enumerate(blocks.values(), 1):
+        v, _ = first_component(m, use)
+        out[i, list(use)] = v / m.scale[list(use)]
+        out[i, 0] = -(v / m.scale[list(use)]) @ m.mean[list(use)]
+    return out
+
+
+def block_states(stats: DataFrame, features: Sequence[str], blocks: dict[str, Sequence[str]], penalties: Sequence[float], minimum: tuple[int, int, int] = (750, 100, 40)) -> DataFrame:
+    """Walk-forward ridge on the blocks' first components. Components for the choice of the penalty come from the training rows, those of the forecast from the fit rows; each is a
+    linear map, so the states' Gram matrices follow from the columns' ones."""
+    k = len(features) + 2
+    places = {b: [features.index(c) + 1 for c in own] for b, own in blocks.items()}
+    leave_out(features, blocks)
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = {r.role: full_matrix(np.asarray(r.gram), k) for r in pdf.itertuples()}
+        sizes = {r.role: r.n for r in pdf.itertuples()}
+        rows = []
+        if {"train", "validation", "fit", "test"} <= parts.keys() and sizes["fit"] >= minimum[0] and sizes["validation"] >= minimum[1] and sizes["test"] >= minimum[2]:
+            flat = lambda g: g[np.triu_indices(len(g))]
+            use = list(range(1, len(blocks) + 1))
+            first = states(Moments(flat(parts["train"]), k), places)
+            train = Moments(flat(first @ parts["train"] @ first.T), len(first))
+            best = choose(train, first @ parts["validation"] @ first.T, [(p, ridge(train, use, p)) for p in penalties], stronger=True)
+            raw = Moments(flat(parts["fit"]), k)
+            final = states(raw, places)
+            fit = Moments(flat(final @ parts["fit"] @ final.T), len(final))
+            test = final @ parts["test"] @ final.T
+            c, mean = ridge(fit, use, best), np.zeros(len(blocks) + 1)
+            mean[0] = fit.mean[-1]
+            for name, own in places.items():
+                rows.append((*key, name, float(best), first_component(raw, own)[1], float(c[1 + list(places).index(name)]), int(sizes["test"]), mse(test, c), mse(test, mean)))
+        return pd.DataFrame(rows, columns=["target", "year", "block", "penalty", "explained", "coefficient", "n_test", "mse", "mse_mean"])
+
+    return stats.groupBy("target", "year").applyInPandas(solve, "target string, year int, block string, penalty double, explained double, coefficient double, n_test long, mse double, mse_mean double")
+
+
 def walk_forward(stats: DataFrame, features: Sequence[str], penalties: Sequence[float], variants: dict[str, Sequence[str]] | None = None, kind: str = "ridge", l1_ratios: Sequence[float] = (0.5,), minimum: tuple[int, int, int] = (750, 100, 40), stronger: bool = False) -> DataFrame:
     """Fits each variant (name: its features; 'full' always) in each fold and scores it on the test year.
 

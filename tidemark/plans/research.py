@@ -193,6 +193,76 @@ def block_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("p", sign_test(F.col("better"), F.col("years"))).withColumn("p_family", inference.bonferroni(F.col("p"), len(BLOCKS)))
 
 
+@query()
+def block_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge forecasts from one principal component a block, with its explained share."""
+    return linear.block_states(_stats(spark, sf_dir), FEATURES, BLOCKS, PENALTIES, minimum=SMALL)
+
+
+@query()
+def memory_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What exponential memories of the features add to them: errors of both models by year."""
+    m = matrix(spark, sf_dir).withColumn("s", F.lit(0))
+    memories = ["m1", "m2"]
+    for name, c in zip(memories, FEATURES[:2], strict=True):
+        m = m.join(features.ema(m.select("s", "d", c), "s", "d", c, 10.0, name).select("d", name), "d")
+    stats = linear.gram(linear.folds(m, "d", "y_end", 3).withColumn("target", F.lit("y")), ["target", "year", "role"], [*FEATURES, *memories], "y")
+    out = linear.walk_forward(stats, [*FEATURES, *memories], PENALTIES, {"without_memory": FEATURES}, minimum=SMALL)
+    return out.groupBy("variant").agg(F.avg("mse").alias("mse"), F.count("*").alias("years"), F.count_if(F.col("mse") < F.col("mse_mean")).alias("better_than_mean"))
+
+
+@query()
+def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient-boosted trees for the last test year, beside the historical mean; depth-wise trees of the ML library."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(_folds(spark, sf_dir))
+    years = rows.where("role = 'test'").groupBy("year").count().where(f"count >= {SMALL[2]}").agg(F.max("year")).first()[0]
+    fit = rows.where((F.col("role") == "fit") & (F.col("year") == years))
+    if years is None or fit.isEmpty():
+        return rows.where("false").select("year", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mse"), F.lit(0.0).alias("mse_mean"))
+    model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=20, maxDepth=3, maxBins=63, stepSize=0.1, seed=42).fit(fit)
+    test = model.transform(rows.where((F.col("role") == "test") & (F.col("year") == years)))
+    mean = fit.groupBy("year").agg(F.avg("y").alias("mean"))
+    return test.join(mean, "year").groupBy("year").agg(F.count("*").alias("n"), F.avg((F.col("y") - F.col("prediction")) ** 2).alias("mse"), F.avg((F.col("y") - F.col("mean")) ** 2).alias("mse_mean"))
+
+
+@query()
+def direction_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances of down, flat and up for each test row: the forecast plus the validation year's residuals against terciles of the fit rows."""
+    folds = _folds(spark, sf_dir)
+    models = linear.walk_forward(_stats(spark, sf_dir), FEATURES, PENALTIES, minimum=SMALL)
+    bounds = folds.where("role = 'fit'").groupBy("year").agg(F.percentile("y", F.lit(1.0 / 3)).alias("lo"), F.percentile("y", F.lit(2.0 / 3)).alias("hi"))
+    residuals = linear.predict(folds.where("role = 'validation'"), models, FEATURES).groupBy("year").agg(F.collect_list(F.col("y") - F.col("prediction")).alias("residuals"))
+    rows = linear.predict(folds.where("role = 'test'"), models, FEATURES).join(bounds, "year").join(residuals, "year")
+    n = F.size("residuals")
+    down = F.size(F.filter("residuals", lambda r: r + F.col("prediction") < F.col("lo"))) / n
+    up = F.size(F.filter("residuals", lambda r: r + F.col("prediction") > F.col("hi"))) / n
+    return rows.select("year", F.col("d").cast("string").alias("d"), down.alias("down"), (1 - down - up).alias("flat"), up.alias("up"), tercile(F.col("y"), F.col("lo"), F.col("hi")).alias("actual"))
+
+
+@query()
+def embedding_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A softmax head over embeddings with a chronological split by id: its temperature is chosen on the validation part."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label").cast("long") % 3).cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    low, high = e.agg(F.percentile_approx("vec_id", [0.6, 0.8])).first()[0] or (0, 0)
+    e = e.withColumn("part", F.when(F.col("vec_id") <= low, "train").when(F.col("vec_id") <= high, "validation").otherwise("test"))
+    model = LogisticRegression(regParam=0.1, maxIter=50, family="multinomial").fit(e.where("part = 'train'"))
+    scored = model.transform(e.where("part <> 'train'")).select("part", "label", vector_to_array("rawPrediction").alias("s"))
+    tried = scored.select("part", "label", "s", F.explode(F.array(*(F.lit(t) for t in (0.5, 1.0, 2.0, 4.0)))).alias("temperature"))
+    top = F.array_max("s")
+    powers = F.transform("s", lambda x: F.exp((x - top) / F.col("temperature")))
+    own = F.get(powers, F.col("label").cast("int")) / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
+    split = F.col("part")
+    right = (F.array_position("s", top) - 1 == F.col("label")).cast("double")
+    each = tried.groupBy("temperature").agg(*(F.avg(F.when(split == p, -F.log(F.greatest(own, F.lit(1e-12))))).alias(f"{p}_log_loss") for p in ("validation", "test")), F.avg(F.when(split == "test", right)).alias("accuracy"))
+    return each.orderBy("validation_log_loss", "temperature").limit(1)
+
+
 @query()
 def elastic_net_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linear.walk_forward(_stats(spark, sf_dir), FEATURES, (0.0001, 0.001, 0.01), kind="elastic_net", l1_ratios=(0.1, 0.5, 0.9), minimum=SMALL)
