@@ -92,6 +92,9 @@ def near_lines(keyed: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame
     """Places of distinct lines that differ by one word from an earlier line."""
     lines = neighbours(keyed, firsts, min_words)
     every = variants(lines)
+    # most variants meet no other; those whose key occurs once stay out of the joins
+    shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    every = cut(with_mask(every, "key", key_mask(shared, "key")).where("maybe").drop("maybe"))
     at_gap = every.where("gap >= 0").groupBy("key", "size", "gap").agg(F.min("place").alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c")
     replaced = every.join(at_gap, ["key", "size", "gap"]).where("earliest < place").select("place", "earliest")
     either = every.groupBy("key", "size").agg(F.min(F.when(F.col("gap") < 0, F.col("place"))).alias("full"), F.min(F.when(F.col("gap") >= 0, F.col("place"))).alias("short")).where("full is not null and short is not null")
