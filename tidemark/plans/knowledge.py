@@ -101,7 +101,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", strip_tags(F.col("html")).alias("text"))
 
 
-@query("""SELECT p_partkey, sha256(p_brand || '|' || p_type) AS record_hash, left(sha256(p_brand || '|' || p_type), 20) AS short_id, CASE WHEN p_partkey % 3 = 0 THEN 5.25 WHEN p_partkey % 3 = 1 THEN 0.5 ELSE NULL END AS rate FROM part""")
+@query("""SELECT p_partkey, sha256(p_brand || '|' || p_type) AS record_hash, left(sha256(p_brand || '|' || p_type), 20) AS short_id, CASE WHEN p_partkey % 3 = 0 THEN 5.25::DOUBLE WHEN p_partkey % 3 = 1 THEN 0.5::DOUBLE ELSE NULL END AS rate FROM part""")
 def record_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     digest = F.sha2(F.concat_ws("|", "p_brand", "p_type").cast("binary"), 256)

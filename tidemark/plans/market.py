@@ -48,7 +48,7 @@ def quote_minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT user_id, event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS units,
-    round(1.1 + sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) * 0.00001, 8) AS price FROM events""")
+    round(1.1::DOUBLE + CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS DOUBLE) * 0.00001::DOUBLE, 8) AS price FROM events""")
 def candle_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), F.round(F.col("value") * 100).cast("long").alias("delta"), F.lit(0.00001).alias("multiplier"), F.lit(1.1).alias("base"))
     return bars.decode_deltas(rows, "user_id").select("user_id", F.col("pos").alias("event_id"), "units", F.round("price", 8).alias("price"))

@@ -77,7 +77,7 @@ def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, CAST(round(value) AS BIGINT) AS k FROM events WHERE event_type = 'click')
-    SELECT user_id, pos, 1704067200000 + CAST(sum(1 + k % 3) OVER (PARTITION BY user_id ORDER BY pos) AS BIGINT) * 3600000 AS ms, round(1.1 + sum(k) OVER (PARTITION BY user_id ORDER BY pos) * 0.00001, 8) AS open FROM e""")
+    SELECT user_id, pos, 1704067200000 + CAST(sum(1 + k % 3) OVER (PARTITION BY user_id ORDER BY pos) AS BIGINT) * 3600000 AS ms, round(1.1::DOUBLE + CAST(sum(k) OVER (PARTITION BY user_id ORDER BY pos) AS DOUBLE) * 0.00001::DOUBLE, 8) AS open FROM e""")
 def candle_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", "event_id", F.round("value").cast("int").alias("k"))
     packed = e.groupBy(F.col("user_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "k"))), lambda x: x["k"]).alias("opens"))

@@ -62,7 +62,7 @@ def _haar_sql(levels: int) -> str:
         parts.append(f"p{k} AS (SELECT i // 2 AS i, max(a) FILTER (i % 2 = 0) AS p, max(a) FILTER (i % 2 = 1) AS q FROM a{k - 1} GROUP BY 1 HAVING max(a) FILTER (i % 2 = 1) IS NOT NULL)")
         parts.append(f"a{k} AS (SELECT i, (p + q) / sqrt(2) AS a FROM p{k})")
     energy = " UNION ALL ".join(f"SELECT {k} AS level, sum(((p - q) / sqrt(2)) ** 2) AS energy FROM p{k}" for k in range(1, levels + 1))
-    return f"WITH {', '.join(parts)}, e AS ({energy} UNION ALL SELECT 0, sum(a * a) FROM a{levels}) SELECT level, round(energy, 6) AS energy, round(share, 6) AS share FROM (SELECT *, energy / sum(energy) OVER () AS share FROM e) WHERE level > 0"
+    return f"WITH {', '.join(parts)}, e AS ({energy} UNION ALL SELECT 0, sum(a * a) FROM a{levels}) SELECT level, round(energy, 6) AS energy, round(share, 6) AS share FROM (SELECT *, energy / sum(energy) OVER () AS share FROM e) WHERE level > 0 AND energy IS NOT NULL"
 
 
 @query(_haar_sql(5))
@@ -145,5 +145,5 @@ def placebo_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = spectral.in_windows(changes(spark, sf_dir), 256, 64).groupBy("w").agg(guarded_corr(F.col("f"), F.col("t")).alias("r"), F.count("*").alias("n")).where("n = 256")
     out = w.agg(F.avg("r").alias("m"), F.count_if(F.signum("r") > 0).alias("up"), F.count_if(F.signum("r") < 0).alias("down"), F.count("*").alias("n"))
-    share = F.when(F.col("m") > 0, F.col("up")).otherwise(F.col("down")) / F.col("n")
+    share = F.when(F.col("m") > 0, F.col("up")).otherwise(F.col("down")) / F.nullif(F.col("n"), F.lit(0))
     return out.select(F.round("m", 6).alias("mean_r"), F.round(share, 6).alias("sign_share"), F.when((F.abs("m") >= 0.05) & (share >= 0.75), "CONFIRMED").otherwise("NOT_CONFIRMED").alias("verdict"))
