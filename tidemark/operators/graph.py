@@ -67,3 +67,17 @@ def ranked(candidates: DataFrame, nodes: DataFrame, chains: DataFrame) -> DataFr
     touched = own.join(chains.select(F.col("id").alias("chain"), F.explode("node_ids").alias("node")), "node").groupBy("id").agg(F.countDistinct("chain").alias("n_chains"))
     out = candidates.join(n, "id", "left").join(touched, "id", "left").fillna(0, ["n_nodes", "n_chains"])
     return out.withColumn("score", F.col("n_nodes") + F.col("n_chains") + 3 * F.col("replications") + 2 * F.col("interactions")).select("id", "n_nodes", "n_chains", "score")
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, most: int = 100_000) -> None:
+    """A small graph as GraphML; more than ``most`` rows of either table are an error, as the file is written by the driver."""
+    from xml.sax.saxutils import quoteattr
+
+    n, e = nodes.orderBy("id").limit(most + 1).collect(), edges.orderBy("id").limit(most + 1).collect()
+    if max(len(n), len(e)) > most:
+        raise ValueError("the graph is too large for one file")
+    lines = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">']
+    lines += [f"<node id={quoteattr(str(r['id']))}/>" for r in n]
+    lines += [f"<edge id={quoteattr(str(r['id']))} source={quoteattr(str(r['source']))} target={quoteattr(str(r['target']))}/>" for r in e]
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("\n".join([*lines, "</graph></graphml>", ""]))

@@ -1 +1 @@
-
+"""Readers of raw payloads and published series."""
