@@ -174,3 +174,51 @@ def test_streamed_memory(spark, tmp_path):
     q = streaming.memory(streaming.tick_stream(spark, str(tmp_path / "in")), 1.0).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, _: out.extend(b.collect())).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.event_type, r.m, r.n) for r in out] == [("a", 0.75, 3)]
+
+
+def test_graphml(spark, tmp_path):
+    n = spark.createDataFrame([("a",), ("b<",)], "id string")
+    e = spark.createDataFrame([("e", "a", "b<")], "id string, source string, target string")
+    graph.write_graphml(n, e, str(tmp_path / "g.xml"))
+    import xml.etree.ElementTree as ET
+
+    found = list(ET.parse(tmp_path / "g.xml").getroot().iter())
+    assert [x.attrib.get("id") for x in found if x.tag.endswith(("node", "edge"))] == ["a", "b<", "e"]
+    with pytest.raises(ValueError):
+        graph.write_graphml(n, e, str(tmp_path / "g.xml"), most=1)
+
+
+def test_quarantine_and_interval_text(spark):
+    rows = spark.createDataFrame([(T(2024, 1, 1), 1.0, 2.0, 0.5, 1.5, 1.0), (T(2024, 1, 1), 1.0, 2.0, 0.5, 1.5, 1.0), (T(2024, 1, 2), 1.0, 0.9, 0.5, 0.7, 1.0), (T(2024, 1, 3), -1.0, 2.0, -2.0, 1.0, -1.0), (T(2024, 1, 4), 1.0, 2.0, 0.5, 1.5, 0.0)], "bar_start timestamp_ntz, open double, high double, low double, close double, volume double")
+    got = sorted((r.bar_start.day, r.reject) for r in bars.quarantine(rows).collect())
+    assert got == [(1, "duplicate_timestamp"), (1, "duplicate_timestamp"), (2, "invalid_ohlc"), (3, "non_positive,negative_volume"), (4, "")]
+
+
+def test_mixed_fractions_and_softmax(spark):
+    df = spark.createDataFrame([("5-1/4",), ("1/2",), ("5.25",), ("x",)], "t string").select(columns.mixed_fraction(F.col("t")).alias("v"))
+    assert [r.v for r in df.collect()] == [5.25, 0.5, 5.25, None]
+    p = spark.createDataFrame([([1000.0, 1000.0, 999.0],)], "s array<double>").select(columns.softmax(F.col("s")).alias("p")).first().p
+    assert sum(p) == pytest.approx(1) and p[0] == p[1] > p[2]
+    text = spark.createDataFrame([("abcdefghij" * 30,)], "t string").select(columns.compact(F.col("t"), 100).alias("c")).first().c
+    assert len(text) == 100 and "[...]" in text
+
+
+def test_prediction_modes(spark):
+    e = spark.createDataFrame([(1, T(2024, 1, 1, 13, 30), None), (2, T(2024, 1, 1, 13, 30), T(2024, 1, 1, 13, 31))], "id int, reference_at timestamp_ntz, available_at timestamp_ntz")
+    got = sorted((r.id, r.prediction_mode, r.prediction_time) for r in temporal.prediction_modes(e).collect())
+    assert got == [(1, "pre_event", T(2024, 1, 1, 13, 30)), (2, "post_release", T(2024, 1, 1, 13, 31)), (2, "pre_event", T(2024, 1, 1, 13, 30)), (2, "reaction_confirmed", T(2024, 1, 1, 14, 31))]
+
+
+def test_as_of_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    grid = spark.createDataFrame([(int(k), int(t)) for k, t in zip(rng.integers(0, 5, 300), rng.integers(0, 100, 300), strict=True)], "k int, t int").distinct()
+    rec = spark.createDataFrame([(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 5, 200), rng.integers(0, 100, 200), strict=True))], "k int, a int, v int")
+    rows = rec.collect()
+    seen = None
+    for parts in ("1", "4", "17"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = sorted((r.k, r.t, r.v if r.v is not None else -1) for r in temporal.as_of(grid, rec, "t", "a", ["v"], ["k"], order=["v"]).collect())
+        assert seen in (None, got)
+        seen = got
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen == sorted((g.k, g.t, max(((r.a, r.v) for r in rows if r.k == g.k and r.a <= g.t), default=(0, -1))[1]) for g in grid.collect())
