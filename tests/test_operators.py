@@ -222,3 +222,14 @@ def test_as_of_does_not_depend_on_partitions(spark):
         seen = got
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert seen == sorted((g.k, g.t, max(((r.a, r.v) for r in rows if r.k == g.k and r.a <= g.t), default=(0, -1))[1]) for g in grid.collect())
+
+
+def test_bucketed_as_of_equals_the_plain_one(spark):
+    rng = np.random.default_rng(6)
+    grid = spark.createDataFrame([(int(k), int(t)) for k, t in zip(rng.integers(0, 3, 200), rng.integers(0, 1000, 200), strict=True)], "k int, t int").distinct()
+    rec = spark.createDataFrame([(int(k), int(t), i if i % 5 else None) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(100, 1000, 60), strict=True))], "k int, a int, v int").dropDuplicates(["k", "a"])
+    for strict in (False, True):
+        plain = temporal.as_of(grid, rec, "t", "a", ["v"], ["k"], strict=strict)
+        dealt = temporal.as_of_bucketed(grid, rec, "t", "a", ["v"], lambda c: F.floor(c / 50), ["k"], strict=strict)
+        assert dealt.columns == plain.columns
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,24 @@ def as_of(grid: DataFrame, records: DataFrame, grid_time: str, record_time: str,
     return out.select(*grid.columns, "_seen.matched_at", *(F.col(f"_seen.{c}").alias(c) for c in payload))
 
 
+def as_of_bucketed(grid: DataFrame, records: DataFrame, grid_time: str, record_time: str, payload: list[str], bucket: Callable[[Column], Column], by: list[str] | None = None, strict: bool = False, order: list[str] | None = None) -> DataFrame:
+    """A backward as-of join of long series: sorted by key and time bucket (say ``F.year``) rather than by key, so that a series of any length is dealt to many tasks.
+
+    The last record of each bucket is carried to the first rows of later ones; that table has one row for each key and bucket. ``bucket`` must not fall
+    as time rises; keys must not be null.
+    """
+    by = by or []
+    g = grid.withColumn("_b", bucket(F.col(grid_time)))
+    r = records.withColumn("_b", bucket(F.col(record_time)))
+    inside = as_of(g, r, grid_time, record_time, payload, [*by, "_b"], strict=strict, order=order)
+    value = F.struct(F.col(record_time).alias("matched_at"), *payload)
+    last = r.groupBy(*by, F.col("_b").alias("_rb")).agg(F.max_by(value, F.struct(record_time, *(order or []))).alias("_carry"))
+    carried = as_of(g.select(*by, "_b").distinct(), last, "_b", "_rb", ["_carry"], by, strict=True).drop("matched_at")
+    joined = inside.join(carried, [*by, "_b"], "left")
+    own = F.col("matched_at").isNotNull()
+    return joined.select(*grid.columns, F.coalesce("matched_at", "_carry.matched_at").alias("matched_at"), *(F.when(own, F.col(c)).otherwise(F.col(f"_carry.{c}")).alias(c) for c in payload))
+
+
 def prediction_modes(events: DataFrame) -> DataFrame:
     """One row for each prediction that an event allows: before it, after its release, and an hour later when the reaction shows."""
     modes = F.array(
