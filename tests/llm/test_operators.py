@@ -55,19 +55,17 @@ def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=300))
-def test_bpe_equals_tiktoken(text):
+def test_bpe_equals_tiktoken(reference):
     vocab = byte_bpe.vocabulary(PATH, P.PATTERN)
-    ranks = {t: r for t, r in vocab.ranks.items()}
-    global _own
-    try:
-        own = _own
-    except NameError:
-        own = _own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    ids = np.frombuffer(next(vocab.encode_all([text])), "<u4")
-    assert ids.tolist() == own.encode_ordinary(text)
-    assert vocab.decode(ids) == text.encode()
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.text(max_size=300))
+    def same(text):
+        ids = np.frombuffer(next(vocab.encode_all([text])), "<u4")
+        assert ids.tolist() == reference.encode_ordinary(text)
+        assert vocab.decode(ids) == text.encode()
+
+    same()
 
 
 def test_bpe_one_tree_and_many_trees_agree(reference):
@@ -75,7 +73,7 @@ def test_bpe_one_tree_and_many_trees_agree(reference):
     rng = random.Random(3)
     for size in (2, 3, 17, 63, 64, 65, 4000):
         piece = "".join(rng.choice("abcdeé日") for _ in range(size))
-        assert vocab.merge(piece.encode()) == [t for t in reference._core_bpe._encode_single_piece(piece.encode())] if hasattr(reference._core_bpe, "_encode_single_piece") else True
+        assert vocab.merge(piece.encode()) == reference._encode_single_piece(piece.encode())
         if len(piece.encode()) <= 64:
             assert np.frombuffer(vocab.merge_many([piece.encode()], 64)[0], "<u4").tolist() == vocab.merge(piece.encode())
 
