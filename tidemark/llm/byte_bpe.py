@@ -26,7 +26,7 @@ from .common import local_path, slices, texts
 NONE = 1 << 62
 VOID = np.int64(1 << 40)
 #: Distinct pieces whose ids a worker remembers before it starts anew.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 400_000
 #: Pieces of at most so many bytes are merged together, so many trees at once; longer ones one by one.
 SHORT, GROUP = 64, 8192
 
