@@ -382,7 +382,8 @@ def _other_links(keyed: DataFrame, bases: DataFrame, live: DataFrame, info: Data
     small = pairs.join(one, "a").join(two, "b").mapInArrow(_sketch_filter(bands), "a long, b long")
 
     big = rest.where("big").select(F.col("a").alias("key"), F.col("b").alias("node")).join(known, "node")
-    mixed = big.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks"))
+    # cut, so that the join deals out both sides itself and a large block's rows can be split between tasks
+    mixed = cut(big.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")))
     big = big.join(mixed, "key").withColumn("side", F.expr("int(pmod(xxhash64(node), chunks))"))
     chunk = F.expr("transform(sequence(0, chunks - 1), z -> struct(least(side, z) AS x, greatest(side, z) AS y))")
     big = big.select("key", "node", "component", "n", "sketch", "side", F.explode(chunk).alias("c")).select("key", "c.x", "c.y", "node", "component", "n", "sketch", "side")
