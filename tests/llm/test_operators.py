@@ -261,6 +261,30 @@ def test_similar_classes_of_large_blocks(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == brute_classes(rows)
 
 
+def test_every_candidate_is_in_a_star(spark):
+    """Node 1 is its own pivot, and nodes 2 and 3 prefer better connected ones."""
+    blocks = [(1, 2)] * 2 + [(1, 3)] * 2 + [(2, 4), (3, 5)] + [(4, 6)] * 4 + [(5, 7)] * 4
+    live = [(k, x, False) for k, b in enumerate(blocks) for x in b] + [(a, b, True) for a, b in blocks]
+    keyed = spark.createDataFrame([(i, f"some words of text number {i}") for i in range(1, 8)], "row_key long, text string")
+    stars = ngram_join._star_links(keyed, keyed.selectExpr("row_key AS node", "row_key"), spark.createDataFrame(live, "a long, b long, edge boolean"), 4, ngram_join.Bands(85))
+    assert {r.node for r in stars.collect()} == set(range(1, 8))
+
+
+def test_similar_classes_of_chains(spark):
+    """Sparse chains, in which each text is linked with the next ones only."""
+    rng = random.Random(13)
+    rows = []
+    for c in range(120):
+        w = [f"{x}{c}" for x in prose(rng, rng.randint(40, 120)).split()]
+        for _ in range(rng.randint(3, 9)):
+            rows.append((len(rows), " ".join(w)))
+            n = len(w) // 25 + rng.randint(0, 2)
+            w = w[n:] + [f"n{rng.randint(0, 10**9)}" for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_classes(docs).collect()}
+    assert [got[i] for i, _ in rows] == brute_classes(rows)
+
+
 def test_similar_classes_odd_rows(spark):
     for docs in (odd(spark), clashing(spark)):
         rows = ngram_join.similar_classes(docs).collect()

@@ -362,9 +362,10 @@ def _star_links(keyed: DataFrame, bases: DataFrame, live: DataFrame, width: int,
     # the node of most shared blocks around each first node
     around = edges.select("a", F.col("b").alias("node")).unionByName(edges.select("a", F.col("a").alias("node")).distinct())
     best = around.join(rank, "node").groupBy("a").agg(F.max(F.struct("rank", "node")).alias("best"))
-    chosen = cut(around.join(best, "a").groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("pivot")).where("node <> pivot"))
-    stars = chosen.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    members = chosen.join(stars, "pivot").select("node", F.struct("pivot", F.expr("int(pmod(xxhash64(node), salts))").alias("salt"), F.lit(False).alias("leads")).alias("place"))
+    # a node that is its own pivot leads a star, also where no other node chose it
+    chosen = cut(around.join(best, "a").groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("pivot")))
+    stars = chosen.groupBy("pivot").agg(F.greatest(F.ceil(F.count_if(F.col("node") != F.col("pivot")) / STAR), F.lit(1)).cast("int").alias("salts"))
+    members = chosen.where("node <> pivot").join(stars, "pivot").select("node", F.struct("pivot", F.expr("int(pmod(xxhash64(node), salts))").alias("salt"), F.lit(False).alias("leads")).alias("place"))
     leaders = stars.select(F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("node", F.struct(F.col("node").alias("pivot"), "salt", F.lit(True).alias("leads")).alias("place"))
     places = members.unionByName(leaders).groupBy("node").agg(F.collect_list("place").alias("places"))
     rows = _fetch(keyed, bases, places).select("node", "text", F.explode("places").alias("p")).select("node", "text", "p.*")
