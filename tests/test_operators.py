@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns
 from tidemark.operators import bars, events, features, graph, inference, linear, quality, spectral, temporal
+from tidemark.plans import research
 from tidemark.plans.knowledge import cut
 from tidemark.streaming import bars as streaming
 
+SF = "/root/testdata/sf0.001"
 T = dt.datetime
 D = dt.date
 
@@ -104,6 +107,16 @@ def test_bootstrap_and_permutation(spark):
     assert len(sums) == 3 and max(sums.values()) - min(sums.values()) < 1e-9
 
 
+def test_bootstrap_interval_takes_every_order(spark):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{SF}/orders.parquet'")
+    sql = research.TARGETS.replace("WHERE o_orderkey % 10 = 0", "")
+    theirs = duck.sql(f"WITH {sql} SELECT kind, count(*), avg(r) FROM tg WHERE status = 'complete' AND horizon = 20 GROUP BY kind").fetchall()
+    mine = {r.kind: r for r in research.bootstrap_interval(spark, SF).collect()}
+    assert {k: (r.n, round(r.mean, 8)) for k, r in mine.items()} == {k: (n, round(m, 8)) for k, n, m in theirs}
+    assert all(r.low < r.mean < r.high for r in mine.values())
+
+
 def test_gram_models_equal_row_models(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 3)) * [1, 5, 0.1] + [0, 100, 3]

@@ -23,12 +23,18 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.daily(spark, sf_dir).select(F.col("d").alias("day"), F.col("v").alias("close"), (F.col("n") % 17 != 0).alias("complete"))
 
 
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as an event."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").cast("date").alias("anchor_day"), F.col("o_totalprice").alias("anchor_price"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").cast("date").alias("anchor_day"), F.col("o_totalprice").alias("anchor_price"))
+    """The orders of ANCHORS."""
+    return _every(spark, sf_dir).where("event_id % 10 = 0")
 
 
-def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
+def _targets(spark: SparkSession, sf_dir: str, e: DataFrame | None = None) -> DataFrame:
+    e = _events(spark, sf_dir) if e is None else e
     return events.session_targets(e, _sessions(spark, sf_dir), (1, 5, 20)).join(e.select("event_id", "kind", "anchor_day"), "event_id")
 
 
@@ -114,7 +120,7 @@ def sign_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with_overlap(spark, sf_dir).where("horizon = 20")
+    rows = _targets(spark, sf_dir, _every(spark, sf_dir)).where("status = 'complete' and horizon = 20")
     return inference.bootstrap_mean(rows, ["kind"], ["anchor_day", "event_id"], "log_ret", 200)
 
 
