@@ -117,6 +117,35 @@ def test_bootstrap_interval_takes_every_order(spark):
     assert all(r.low < r.mean < r.high for r in mine.values())
 
 
+def test_resampling_gathers_no_group_and_has_the_replicates(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", i, float(i % 7), float(i % 5)) for i in range(90)], "g string, i int, v double, w double")
+    for df in (inference.bootstrap_mean(rows, ["g"], ["i"], "v", 50), inference.block_bootstrap_p(rows, ["g"], "i", "v", "w", 50)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(struct" not in plan and "posexplode" not in plan
+    # a group of one row, equal values, and one null
+    few = spark.createDataFrame([("one", 1, 3.0), ("flat", 1, 0.0), ("flat", 2, 0.0), ("flat", 3, None)], "g string, i int, v double")
+    assert {r.g: (r.n, r.mean, r.low, r.high) for r in inference.bootstrap_mean(few, ["g"], ["i"], "v", 50).collect()} == {"one": (1, 3.0, 3.0, 3.0), "flat": (2, 0.0, 0.0, 0.0)}
+    asked = {}
+    for name, at in (("bootstrap_mean", 4), ("block_bootstrap_p", 5), ("permuted", 4)):
+        f = getattr(inference, name)
+        monkeypatch.setattr(inference, name, lambda *a, f=f, name=name, at=at: asked.update({name: a[at]}) or f(*a))
+    for q in (research.bootstrap_interval, research.block_bootstrap, research.permutation_importance):
+        q(spark, SF)
+    assert asked == {"bootstrap_mean": 1000, "block_bootstrap_p": 1000, "permuted": 200}
+
+
+def test_block_bootstrap_against_plain_loops(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=70)
+    y = 0.2 * x + rng.normal(size=70)
+    rows = spark.createDataFrame([("a", i, float(x[i]), float(y[i])) for i in range(70)], "g string, i int, x double, y double")
+    got = inference.block_bootstrap_p(rows.repartition(3), ["g"], "i", "x", "y", 60, 8).first()
+    starts = {(r.rep, r.b): r.h % 70 for r in spark.range(60).selectExpr("int(id) AS rep", "explode(sequence(0L, 8L)) AS b").selectExpr("rep", "b", "xxhash64(7, rep, b) AS h").collect()}
+    r = np.corrcoef(x, y)[0, 1]
+    over = sum(abs(np.corrcoef(x, [y[(starts[k, i // 8] + i % 8) % 70] for i in range(70)])[0, 1]) >= abs(r) for k in range(60))
+    assert got.n == 70 and got.r == pytest.approx(r) and got.p == pytest.approx((over + 1) / 61)
+
+
 def test_gram_models_equal_row_models(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 3)) * [1, 5, 0.1] + [0, 100, 3]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +47,36 @@ def _draw(seed: int, *parts: Column) -> Column:
     return F.xxhash64(F.lit(seed), *parts)
 
 
+def _poisson(draw: Column) -> Column:
+    """A hash as a Poisson number of mean 1."""
+    u, at, term, out = F.shiftrightunsigned(draw, 11), 0.0, math.exp(-1), None
+    for k in range(16):
+        at += term
+        term /= k + 1
+        less = u < F.lit(int(at * 2**53))
+        out = F.when(less, F.lit(k)) if out is None else out.when(less, F.lit(k))
+    return out.otherwise(F.lit(16)).cast("long")
+
+
 def bootstrap_mean(rows: DataFrame, by: list[str], order: list[str], value: str, reps: int = 1000, seed: int = 7) -> DataFrame:
-    """Percentile interval of the mean of each group: resampled means in order, those at 2.5 % and 97.5 %."""
-    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("_s"))
-    drawn = groups.select(*by, "_s", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_r"))
-    size = F.size("_s")
-    means = drawn.select(*by, F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0.0), lambda a, i: a + F.get(F.col("_s"), F.pmod(_draw(seed, F.col("_r"), i), size).cast("int"))[value]).alias("_t"), size.alias("_n"))
-    ordered = means.groupBy(*by).agg(F.sort_array(F.collect_list(F.col("_t") / F.col("_n"))).alias("_m"), F.first("_n").alias("n"))
-    low, high = int(0.025 * reps) - 1, int(0.975 * reps) - 1
-    exact = rows.groupBy(*by).agg(F.avg(value).alias("mean"))
-    return ordered.join(exact, by).select(*by, "n", "mean", F.get("_m", F.lit(max(low, 0))).alias("low"), F.get("_m", F.lit(high)).alias("high"))
+    """Percentile interval of the mean of each group: resampled means in order, those at 2.5 % and 97.5 %.
+
+    A replicate counts each row a Poisson number of times (mean 1), hashed from the seed, the replicate and ``order``, which must tell the
+    rows of a group apart. So no group is ever in one place: tasks send sums for each group and replicate. The sums are whole numbers at a scale of
+    the group, thus the same in any order of the rows. Replicates without any row (only in groups of a few) are left out, as are null values.
+    """
+    given = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), _draw(seed, *(F.col(c) for c in order)).alias("_h"))
+    exact = given.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.max(F.abs("_v")).alias("_top"))
+    bits = F.when(F.col("_top") > 0, F.lit(59) - F.ceil(F.log2(F.col("_top")) + F.log2(F.col("n"))))
+    exact = exact.select(*by, "n", "mean", F.pow(F.lit(2.0), F.coalesce(F.least(bits, F.lit(1000)), F.lit(0)).cast("double")).alias("_scale"))
+    whole = given.join(exact, by)
+    drawn = whole.select(*by, F.round(F.col("_v") * F.col("_scale")).cast("long").alias("_q"), "_h", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_r"))
+    counted = drawn.select(*by, "_r", "_q", _poisson(_draw(seed, F.col("_r"), F.col("_h"))).alias("_w")).where("_w > 0")
+    sums = counted.groupBy(*by, "_r").agg(F.sum(F.col("_w") * F.col("_q")).alias("_t"), F.sum("_w").alias("_c"))
+    means = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.col("_t") / F.col("_c"))).alias("_m"))
+    size = F.size("_m")
+    low, high = F.greatest(F.floor(size * 0.025).cast("int") - 1, F.lit(0)), F.greatest(F.floor(size * 0.975).cast("int") - 1, F.lit(0))
+    return exact.join(means, by, "left").select(*by, "n", "mean", (F.get("_m", low) / F.col("_scale")).alias("low"), (F.get("_m", high) / F.col("_scale")).alias("high"))
 
 
 def permuted(rows: DataFrame, by: list[str], key: str, columns: list[str], reps: int, seed: int = 7) -> DataFrame:
@@ -68,12 +90,13 @@ def permuted(rows: DataFrame, by: list[str], key: str, columns: list[str], reps:
 
 def block_bootstrap_p(pairs: DataFrame, by: list[str], order: str, x: str, y: str, reps: int = 200, block: int = 20, seed: int = 7) -> DataFrame:
     """p of a correlation by a circular moving-block bootstrap of y around its mean (slope zero): (exceedances + 1) / (reps + 1)."""
-    s = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, x, y))).alias("_s"), F.count("*").cast("int").alias("n"), F.corr(x, y).alias("r"))
-    drawn = s.select(*by, "_s", "n", "r", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    rows = drawn.select(*by, "n", "r", "rep", F.posexplode("_s").alias("i", "row"), "_s")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+    numbered = pairs.select(*by, place.alias("i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    whole = pairs.groupBy(*by).agg(F.count("*").cast("int").alias("n"), F.corr(x, y).alias("r"))
+    rows = numbered.join(whole, by).select(*by, "n", "r", "i", "_x", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     start = F.pmod(_draw(seed, F.col("rep"), F.expr(f"i div {block}")), F.col("n"))
-    place = F.pmod(start + F.col("i") % block, F.col("n")).cast("int")
-    shaken = rows.select(*by, "n", "r", "rep", F.col(f"row.{x}").alias("_x"), F.get("_s", place)[y].alias("_y"))
+    drawn = rows.select(*by, "n", "r", "rep", "_x", F.pmod(start + F.col("i") % block, F.col("n")).cast("int").alias("_j"))
+    shaken = drawn.join(numbered.select(*by, F.col("i").alias("_j"), "_y"), [*by, "_j"])
     spread = F.stddev_pop("_x") * F.stddev_pop("_y")
     each = shaken.groupBy(*by, "n", "r", "rep").agg((F.covar_pop("_x", "_y") / F.nullif(spread, F.lit(0.0))).alias("_rr"))
     return each.groupBy(*by, "n", "r").agg(((F.count_if(F.abs("_rr") >= F.abs("r")) + 1) / (F.count("*") + 1)).alias("p"))

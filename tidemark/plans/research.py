@@ -121,14 +121,14 @@ def sign_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _targets(spark, sf_dir, _every(spark, sf_dir)).where("status = 'complete' and horizon = 20")
-    return inference.bootstrap_mean(rows, ["kind"], ["anchor_day", "event_id"], "log_ret", 200)
+    return inference.bootstrap_mean(rows, ["kind"], ["anchor_day", "event_id"], "log_ret", 1000)
 
 
 @query()
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spectra import changes
 
-    return inference.block_bootstrap_p(changes(spark, sf_dir), ["s"], "i", "f", "t", 100)
+    return inference.block_bootstrap_p(changes(spark, sf_dir), ["s"], "i", "f", "t", 1000)
 
 
 # ---- walk-forward models on the common grid
@@ -291,13 +291,11 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rise of the squared error when a feature is shuffled within its test year; the model is linear, so the new prediction is the old one plus c (z' - z)."""
     models = linear.walk_forward(_stats(spark, sf_dir), FEATURES, PENALTIES, minimum=SMALL)
     rows = linear.predict(_folds(spark, sf_dir).where("role = 'test'"), models, FEATURES)
-    out = None
-    for i, c in enumerate(FEATURES):
-        shuffled = inference.permuted(rows, ["year"], "d", [c], 20).select("year", "d", "rep", f"{c}_permuted")
-        moved = rows.join(shuffled, ["year", "d"]).withColumn("p2", F.col("prediction") + F.get("coefficients", F.lit(i + 1)) * (F.col(f"{c}_permuted") - F.col(c)))
-        one = moved.groupBy(F.lit(c).alias("feature")).agg(F.avg((F.col("y") - F.col("p2")) ** 2 - (F.col("y") - F.col("prediction")) ** 2).alias("importance"), F.count("*").alias("rows"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    each = rows.select("year", "d", "y", "prediction", "coefficients", F.posexplode(F.array(*FEATURES)).alias("k", "z"))
+    shuffled = inference.permuted(each, ["year", "k"], "d", ["z"], 200).select("year", "k", "d", "rep", "z_permuted")
+    moved = each.join(shuffled, ["year", "k", "d"]).withColumn("p2", F.col("prediction") + F.get("coefficients", F.col("k") + 1) * (F.col("z_permuted") - F.col("z")))
+    out = moved.groupBy("k").agg(F.avg((F.col("y") - F.col("p2")) ** 2 - (F.col("y") - F.col("prediction")) ** 2).alias("importance"), F.count("*").alias("rows"))
+    return out.select(F.get(F.array(*map(F.lit, FEATURES)), F.col("k")).alias("feature"), "importance", "rows")
 
 
 @query(f"WITH {MATRIX} SELECT 'f1*f2' AS term, count(*) AS n, round(avg(f1 * f2), 6) AS mean, round(corr(f1 * f2, y), 6) AS r FROM m HAVING count(*) > 2")
