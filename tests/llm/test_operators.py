@@ -123,6 +123,17 @@ def test_pii_kinds_and_masks(spark):
         assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
 
 
+def test_iban_ends_before_the_next_word():
+    de, no = "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    for iban in (de, de.replace(" ", ""), no):
+        for before, after in (("", " Please pay"), ("to ", " 25 EUR"), ("", " A B C"), ("AB12 ", " X"), ("", ""), ("", "."), ("", "please"), ("", f" {de}")):
+            text = before + iban + after
+            spans = [s for s in pii.find(text) if s[2] == "iban"]
+            assert spans[0] == (len(before), len(before + iban), "iban") and len(spans) == 1 + (de in after)
+    assert pii.mask(de + " Please", [s for s in pii.find(de + " Please") if s[2] == "iban"]) == "<iban> Please"
+    assert not [s for s in pii.find(de[:-1] + "1 Please") + pii.find(de + "7") if s[2] == "iban"]
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(5)
     items = [(i, prose(rng, rng.randint(5, 40))) for i in range(12)] + [(20, "tiny item"), (21, ""), (22, None), (None, "no id")]

@@ -38,6 +38,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s<>\"']*)?")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+# Characters of an account number by country.
+IBAN_SIZES = {
+    x[:2]: int(x[2:])
+    for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()
+}
 NUMBER = re.compile(r"[\s:#.=-]{0,4}(?:no\.?|number|nr\.?)?[\s:#=]{0,3}([0-9][0-9-]{4,20}[0-9])")
 
 
@@ -71,6 +76,23 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """The end of a valid account that begins at ``start``, where the pattern's match ends at ``end``; 0 if there is none.
+
+    The pattern also takes capitals and digits that follow the account. The country's length comes first, then the whole match;
+    in a country without a known length, then what ends at a word's end, the longest first.
+    """
+    places = [i for i in range(start, end) if text[i] != " "]
+    chars = "".join(text[i] for i in places)
+    known = IBAN_SIZES.get(chars[:2])
+    shorter = [known] if known else range(len(chars) - 1, 14, -1)
+    words = [n for n in shorter if n <= len(chars) and not text[places[n - 1] + 1 : places[n - 1] + 2].isalnum()]
+    for n in [*words, len(chars)] if known else [len(chars), *words]:
+        if mod97(chars[:n]):
+            return places[n - 1] + 1
+    return 0
+
+
 def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -102,9 +124,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if at >= 2 and at >= iban_from and at + 1 < len(text) and text[at + 1].isdigit():
                 m = IBAN.match(text, at - 2)
                 if m and not (at > 2 and text[at - 3].isalnum()):
-                    iban_from = m.end()
-                    if mod97(m[0].replace(" ", "")):
-                        spans.append((at - 2, m.end(), "iban"))
+                    end = iban_end(text, at - 2, m.end())
+                    iban_from = end or at + 2
+                    if end:
+                        spans.append((at - 2, end, "iban"))
         elif what == "@":
             start = at
             while start > email_from and text[start - 1] in LOCAL:
