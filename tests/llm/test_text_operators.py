@@ -115,7 +115,7 @@ def test_pii_base_equals_the_patterns(text):
 def test_pii_kinds_and_masks(spark):
     text = "🙂 write to a.b@c-d.org, call +1 (555) 123-4567, card 4111 1111 1111 1111, host 10.0.0.255 not 10.0.0.256, see https://x.org/a?b=1 iban DE89 3704 0044 0532 0130 00 account number: 12345678"
     kinds = Counter(s[2] for s in pii.find(text))
-    assert kinds == Counter(email=1, phone=1, card=1, ip=1, url=1, iban=1, account=1) or kinds["email"] == kinds["phone"] == kinds["ip"] == kinds["url"] == kinds["iban"] == 1
+    assert kinds == Counter(email=1, phone=1, card=1, ip=1, url=1, iban=1, account=1)
     assert "<email>" in pii.mask(text, pii.find(text)) and "a.b@c" not in pii.mask(text, pii.find(text))
     for docs in (odd(spark), clashing(spark), odd(spark).limit(0)):
         rows = pii.find_pii(docs, masked=True).collect()
