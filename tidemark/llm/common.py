@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only word separators of the operators here.
@@ -26,18 +27,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written stages that the session names in ``spark.checkpoint.dir``.
 
-    Where no folder is set (tests, a laptop), one is made in the local temp folder.
+    Where none is set, a local master gets a temporary one; on a cluster that would be a folder of the driver alone, so it is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-ckpt-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the session names (``shared_folder``)."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder. Unlike a checkpoint it takes its size from its files: the sizes that are
+    estimated for joins are products, which in a loop soon have more digits than the planner can multiply."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that the frame does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -123,26 +141,45 @@ def local_path(path: str) -> str:
     return os.path.expanduser(path)
 
 
-#: Words of a key mask and bits used in each: its size is fixed, whatever it stands for.
-MASK_WORDS, MASK_BITS = 1 << 17, 62
+#: Bits of a key bitmap for each key, the most bits of one (32 MB) and those of one row of it.
+BITS_EACH, MOST_BITS, ROW_BITS = 16, 1 << 28, 1 << 15
 
 
-def key_mask(keys: DataFrame, key: str) -> DataFrame:
-    """A set of 64-bit keys as at most ``MASK_WORDS`` rows (word, bits), safe to broadcast at any input size.
+def key_bitmap(keys: DataFrame, key: str, most_bits: int = MOST_BITS) -> tuple[int, DataFrame] | None:
+    """A set of 64-bit hashes as a bitmap (its bits, rows of ``_row`` and ``_words``), sized by their count; ``keys`` should be cheap to read twice.
 
     Like a Bloom filter with one hash it may say yes to a key that is not in the set, never no to one that is; it spares rows a
-    shuffle before an exact join. When the set outgrows it, it lets everything through.
+    shuffle before an exact join. With too many keys for ``most_bits`` there is none: every row then goes through the shuffle.
     """
-    word, bit = _mask_place(key)
-    return keys.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
-
-
-def _mask_place(key: str) -> tuple:
-    return F.expr(f"int(pmod({key}, {MASK_WORDS}))"), f"int(pmod(shiftright({key}, 17), {MASK_BITS}))"
-
-
-def with_mask(df: DataFrame, key: str, mask: DataFrame, name: str = "maybe") -> DataFrame:
-    """Adds a boolean: false if the key is surely not in the mask's set."""
-    word, bit = _mask_place(key)
-    joined = df.withColumn("_word", word).join(F.broadcast(mask), "_word", "left")
-    return joined.withColumn(name, F.coalesce(F.expr(f"shiftright(_bits, {bit}) & 1L") == 1, F.lit(False))).drop("_word", "_bits")
+    count = keys.count()
+    if count * 4 > most_bits:
+        return None
+    bits = max(ROW_BITS, min(most_bits, 1 << (count * BITS_EACH - 1).bit_length()))
+    row, bit = _bit_place(key, bits)
+    rows = keys.groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_packed"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1)), lambda i: F.conv(F.hex(F.substring(F.col("_packed"), i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    return bits, rows.select("_row", words.alias("_words"))
+
+
+def _bit_place(key: str, bits: int) -> tuple[Column, Column]:
+    place = F.pmod(F.col(key), F.lit(bits).cast("long"))
+    return F.shiftright(place, 15).cast("int"), place.bitwiseAND(F.lit(ROW_BITS - 1).cast("long")).cast("int")
+
+
+def with_bitmap(df: DataFrame, key: str, bitmap: tuple[int, DataFrame] | None, name: str = "maybe") -> DataFrame:
+    """Adds a boolean: false if the key is surely not in the bitmap's set. Without a bitmap nothing is sure."""
+    if bitmap is None:
+        return df.withColumn(name, F.lit(True))
+    row, bit = _bit_place(key, bitmap[0])
+    joined = df.withColumns({"_row": row, "_bit": bit}).join(F.broadcast(bitmap[1]), "_row", "left")
+    # the bitmap's bytes stand in their longs from the highest down
+    found = F.expr("shiftright(get(_words, shiftright(_bit, 6)), 56 - (shiftright(_bit, 3) & 7) * 8 + (_bit & 7)) & 1L") == 1
+    return joined.withColumn(name, F.coalesce(found, F.lit(False))).drop("_row", "_bit", "_words")
+
+
+def among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is one of ``keys``, and at times a few others: by a bitmap, or by a shuffle where the keys are too many for one."""
+    bitmap = key_bitmap(keys, key)
+    if bitmap is None:
+        return df.join(keys.select(key).distinct(), key, "left_semi")
+    return with_bitmap(df, key, bitmap, "_maybe").where("_maybe").drop("_maybe")

@@ -2,7 +2,8 @@
 
 A line is what stands between ``\\n``, trimmed of ASCII white space; its words stand between single spaces. A line goes if an
 earlier line (by doc_id, then place) of the corpus is equal to it, or differs by one word: one replaced, put in or left
-out. The second rule holds between lines of ``min_words`` words or more. Whether the earlier line itself stays
+out. The second rule holds between lines of ``min_words`` words or more: from five words on such lines are alike to 0.8 or more,
+in shorter ones a changed word is a larger part. Whether the earlier line itself stays
 does not matter. Blank lines stay.
 
 1. Equal lines meet by a 128-bit hash, counted before the shuffle, so a line that a third of the corpus repeats
@@ -21,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, key_mask, with_mask
+from .common import SPACE, among, cut, key_bitmap, with_bitmap
 
-MIN_WORDS = 8
+MIN_WORDS = 5
 
 
 def _keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -68,7 +69,7 @@ def neighbours(keyed: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame
     halves = firsts.where(F.col("n") >= min_words).select("row_key", "line_no", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     live = cut(halves.join(shared, "half", "left_semi").groupBy("row_key").agg(F.collect_set("line_no").alias("wanted")))
-    near = with_mask(keyed.drop("more"), "row_key", key_mask(live, "row_key")).where("maybe").drop("maybe")
+    near = with_bitmap(keyed.drop("more"), "row_key", key_bitmap(live, "row_key")).where("maybe").drop("maybe")
     found = near.join(live, "row_key").dropDuplicates(["row_key"]).select("doc_id", "row_key", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
     return cut(found.select(_place(F.col("line_no")).alias("place"), F.split(F.btrim(F.expr("lines[line_no]"), F.lit(SPACE)), " ").alias("words")))
 
@@ -93,8 +94,8 @@ def near_lines(keyed: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame
     lines = neighbours(keyed, firsts, min_words)
     every = variants(lines)
     # most variants meet no other; those whose key occurs once stay out of the joins
-    shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    every = cut(with_mask(every, "key", key_mask(shared, "key")).where("maybe").drop("maybe"))
+    shared = cut(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    every = cut(among(every, "key", shared))
     at_gap = every.where("gap >= 0").groupBy("key", "size", "gap").agg(F.min("place").alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c")
     replaced = every.join(at_gap, ["key", "size", "gap"]).where("earliest < place").select("place", "earliest")
     either = every.groupBy("key", "size").agg(F.min(F.when(F.col("gap") < 0, F.col("place"))).alias("full"), F.min(F.when(F.col("gap") >= 0, F.col("place"))).alias("short")).where("full is not null and short is not null")
@@ -126,8 +127,8 @@ def _rebuilt(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     full = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE)) != "")
     counted = keyed.select("row_key", F.size(full).alias("n")).where("n > 0").distinct()
-    changed = counted.join(kept.select("row_key", F.size("kept").alias("k")), "row_key", "left").where("k is null or k < n").select("row_key")
-    marked = with_mask(keyed, "row_key", key_mask(changed, "row_key"))
+    changed = cut(counted.join(kept.select("row_key", F.size("kept").alias("k")), "row_key", "left").where("k is null or k < n").select("row_key"))
+    marked = with_bitmap(keyed, "row_key", key_bitmap(changed, "row_key"))
     whole = marked.where("not maybe").select("doc_id", "row_key", F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text", "more")
     joined = marked.where("maybe").join(kept, "row_key", "left").select("doc_id", "row_key", "more", lines.alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     blank = F.filter(F.transform("lines", lambda x, i: F.when(F.btrim(x, F.lit(SPACE)) == "", i)), lambda i: i.isNotNull())

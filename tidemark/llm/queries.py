@@ -55,8 +55,8 @@ WITH l AS (
     SELECT t, min((doc_id, i)) AS place, string_split(t, ' ') AS w FROM l WHERE t <> '' GROUP BY t
 ), v AS (
     SELECT place, len(w) - 1 AS size, k AS gap, array_to_string(list_concat(w[1:k - 1], w[k + 1:]), ' ') AS key
-    FROM (SELECT *, unnest(generate_series(1, len(w))) AS k FROM d WHERE len(w) >= 8)
-    UNION ALL SELECT place, len(w), -1, t FROM d WHERE len(w) >= 8
+    FROM (SELECT *, unnest(generate_series(1, len(w))) AS k FROM d WHERE len(w) >= 5)
+    UNION ALL SELECT place, len(w), -1, t FROM d WHERE len(w) >= 5
 ), near AS (
     SELECT v.place FROM v JOIN (SELECT key, size, gap, min(place) AS e FROM v WHERE gap > 0 GROUP BY ALL) a USING (key, size, gap) WHERE a.e < v.place
     UNION

@@ -10,8 +10,8 @@ Every word that a repeated window covers goes.
    windows of a bucket are sorted by their whole text and counted.
 3. A minimiser with more than ``hot`` super-k-mers would make a large bucket. Its super-k-mers are dealt by place
    instead and cut into windows, which meet by a 128-bit hash with aggregation before the shuffle.
-4. Repeated windows come back as ranges to the documents that have any. Fixed-size key masks, broadcast, keep the rest of the
-   texts out of the shuffles.
+4. Repeated windows come back as ranges to the documents that have any. Key bitmaps, sized by the number of keys up to a bound and
+   broadcast, keep the rest of the texts out of the shuffles; beyond the bound everything goes through them.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, cut, grams, hash_strings, key_mask, mix, slices, texts, with_mask, words_of
+from .common import as_long, cut, grams, hash_strings, key_bitmap, mix, slices, texts, with_bitmap, words_of
 
 WINDOW, MINIMISER, HOT = 35, 8, 256
 PLACE = np.uint64(0xFFFFFFFF)
@@ -175,12 +175,20 @@ def _count_bucket(k: int):
     return run
 
 
+def _marked(packed: DataFrame, live: DataFrame) -> DataFrame:
+    """The super-k-mers whose minimiser may be live, with ``hot``: by bitmaps, or by a shuffle where there are too many minimisers for one."""
+    bitmap = key_bitmap(live, "minimiser")
+    if bitmap is None:
+        return packed.join(live, "minimiser")
+    near = with_bitmap(packed, "minimiser", bitmap).where("maybe").drop("maybe")
+    return with_bitmap(near, "minimiser", key_bitmap(live.where("hot"), "minimiser"), "hot")
+
+
 def repeated_windows(keyed: DataFrame, k: int, m: int, hot: int) -> DataFrame:
     """(k1, first, last): ranges of starts of repeated windows of each text, other texts and other places of it considered."""
     seen = _emit(keyed, k, m, packed=False).groupBy("minimiser").agg(F.count("*").alias("c"), F.min(F.xxhash64("k1", "start")).alias("a"), F.max(F.xxhash64("k1", "start")).alias("b"))
     live = cut(seen.where("a <> b").select("minimiser", (F.col("c") > hot).alias("hot")))
-    sent = with_mask(_emit(keyed, k, m, packed=True), "minimiser", key_mask(live, "minimiser")).where("maybe")
-    sent = with_mask(sent.drop("maybe"), "minimiser", key_mask(live.where("hot"), "minimiser"), "hot")
+    sent = _marked(_emit(keyed, k, m, packed=True), live)
     bucket = F.when(F.col("hot"), F.xxhash64("k1", "start")).otherwise(F.col("minimiser"))
     dealt = sent.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("minimiser").select("minimiser", "k1", "start", "windows", "packed", "hot")
     counted = cut(dealt.mapInArrow(_count_bucket(k), "k1 long, first int, last int, w1 long, w2 long"))
@@ -232,7 +240,7 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, hot:
     found = repeated_windows(keyed, k, m, hot)
     ranges = found.groupBy("k1").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     affected = cut(copies.join(ranges, "k1", "full_outer").select("k1", "k2", F.coalesce("copied", F.lit(False)).alias("copied"), F.when(F.col("copied").isNull(), F.col("ranges")).alias("ranges")))
-    marked = with_mask(keyed, "k1", key_mask(affected, "k1"))
+    marked = with_bitmap(keyed, "k1", key_bitmap(affected, "k1"))
     schema = "doc_id long, n_words long, n_removed long, kept string"
     whole = marked.where("not maybe").select("doc_id", "text").mapInArrow(_strip(k), schema)
     part = marked.where("maybe").join(affected.withColumnRenamed("k2", "copy_k2"), "k1", "left").select("doc_id", "text", "ranges", (F.coalesce("copied", F.lit(False)) & (F.coalesce("copy_k2", F.lit(0)) == F.col("k2"))).alias("copied")).mapInArrow(_strip(k), schema)
