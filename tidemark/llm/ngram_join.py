@@ -3,14 +3,18 @@
 Texts with equal sets are one node. For the rest:
 
 * **Pigeonhole.** Sets of a and b shingles with Jaccard ``p/q`` or more differ in at most ``D = (a + b)(q - p)/(q + p)`` shingles. In a size
-  band every shingle falls into one of ``B`` blocks, and a block keeps the XOR of its shingles' 64-bit hashes. A differing shingle spoils
-  one block, so of any ``D + 1 + s`` blocks at least ``s + 1`` agree: one more than the empty blocks that a node skips (a node with more
-  empty ones emits those as well). No linked pair is lost. A node emits a prefix of the blocks in its own band and, near the upper end, in the next.
+  band every shingle falls into one of ``B`` blocks, and a block keeps a 64-bit parity sketch of its shingles: each flips a random half of the
+  bits, so equal sketches mean equal blocks. A differing shingle spoils one block, so of any ``D + 1 + s`` blocks at least ``s + 1`` agree:
+  one more than the empty blocks that a node skips (a node with more empty ones emits those as well). No linked pair is lost. A node emits a
+  prefix of the blocks in its own band and, near the upper end, in the next.
+* **Sketch bound.** A whole set has a longer parity sketch, one bit flipped a shingle, whose Hamming distance is a lower bound of the
+  difference. Every candidate passes that bound before it is verified exactly.
 * **Stars.** Nodes that share a block are candidates, but are not paired off. The best connected one nearby is a node's pivot, and each node is
-  verified against its pivot only: as many pairs as nodes. Verified links make components.
-* **The rest.** Two candidates in different components may still link. They are compared by parity sketches: one bit flips for each
-  shingle, so the Hamming distance is a lower bound of the difference. What passes is verified exactly. Large blocks are compared
-  chunk against chunk inside tasks, and only passing pairs leave.
+  verified against its pivot only: as many pairs as nodes. Verified links make components. Large blocks that still hold several components choose
+  new pivots from their largest one, round after round while that links enough.
+* **The rest.** In blocks that still hold several components, nodes of different ones are compared by their sketches inside tasks, large blocks
+  chunk against chunk. A task emits no pairs but the nodes that have a passing partner in another component. These meet once more with their sets;
+  the tasks verify exactly and emit a spanning forest of links (fewer than they have components).
 
 Shingle sets are compared as 64-bit hashes.
 """
@@ -23,18 +27,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from .common import as_long, cut, free_name, grams, key_mask, mix, slices, texts, with_mask, word_hashes
+from .common import as_long, cut, free_name, grams, key_bitmap, mix, slices, stored, texts, with_bitmap, word_hashes
 
 WIDTH, PERCENT = 4, 85
 #: Upper ends of the size bands grow by this factor.
 BAND = 1.5
-#: Blocks with more nodes are compared chunk by chunk.
-SMALL, CHUNK = 16, 1024
+#: Nodes of a block, and shingles of their sets, that a task compares with as many others at once. Smaller units are compared many at a time.
+CHUNK, CHUNK_SHINGLES, SMALL = 1024, 1 << 19, 16
 #: Members of one pivot that a task verifies.
 STAR = 64
+#: Another round of stars follows one in which at least one tested node in so many was linked.
+WORTH = 8
 
 
 class Bands:
@@ -86,8 +93,8 @@ class Bands:
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
     def words(self, n: int) -> int:
-        """64-bit words of the parity sketch of a set of n: a power of two, about 16 bits for each shingle of the bound."""
-        return 1 << max(0, (max(1, self.bound(2 * n) // 4) - 1).bit_length())
+        """64-bit words of the parity sketch of a set of n: a power of two, about 8 bits for each shingle of the bound."""
+        return 1 << max(0, (max(1, self.bound(2 * n) // 8) - 1).bit_length())
 
 
 def parity(shingles: np.ndarray, words: int) -> np.ndarray:
@@ -105,6 +112,18 @@ def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Hamming distance of two sketches, the longer one folded."""
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum())
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def shingle_sets(text: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text: lower-cased A-Z, all words as one shingle where there are fewer than ``width``."""
     hashes, offsets = word_hashes(pc.ascii_lower(text))
@@ -124,20 +143,26 @@ def node_of(shingles: np.ndarray) -> int:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), *(x.alias(c) for c, x in _row_keys(doc_id, text).items()), text.alias("text"))
+
+
+def _row_keys(doc_id: Column, text: Column) -> dict[str, Column]:
+    """Two 64-bit hashes that stand for a row where rows are kept or dropped; the first alone names the text of a node."""
+    return {"row_key": F.xxhash64(doc_id, text), "row_check": F.xxhash64(F.lit(1), text, doc_id)}
 
 
 def _nodes(keyed: DataFrame, width: int) -> DataFrame:
-    """doc_id, row_key, node (null without words) and size of the set, one row for each row."""
+    """doc_id, row_key, row_check, node (null without words) and size of the set, one row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=2 << 20):
             sets = list(shingle_sets(texts(batch), width))
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             nodes = as_long(np.fromiter(map(node_of, sets), np.uint64, len(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pc.if_else(pa.array(sizes > 0), nodes, None), pa.array(sizes)], ["doc_id", "row_key", "node", "n"])
+            own = [batch.column(c) for c in ("doc_id", "row_key", "row_check")]
+            yield pa.RecordBatch.from_arrays([*own, pc.if_else(pa.array(sizes > 0), nodes, None), pa.array(sizes)], ["doc_id", "row_key", "row_check", "node", "n"])
 
-    return keyed.mapInArrow(run, "doc_id long, row_key long, node long, n long")
+    return keyed.mapInArrow(run, "doc_id long, row_key long, row_check long, node long, n long")
 
 
 def _signatures(keyed: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -199,13 +224,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the graph with links (a, b): the smallest node reachable. Labels spread to neighbours and jump to
     their label's label in each round, so the rounds grow with the logarithm of a path's length."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         lower = labels.join(heard, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
         upper = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        jumped = cut(lower.join(upper, "component", "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")))
+        jumped = stored(lower.join(upper, "component", "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")))
         labels = jumped.select("node", "component")
         if jumped.where("was <> component").isEmpty():
             return labels
@@ -215,21 +240,20 @@ def _verify_stars(percent: int, width: int, bands: Bands):
     """Rows sorted by (pivot, salt), the pivot's first: every member against its pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, np.empty(0, np.uint64)
+        now, held, outline = None, np.empty(0, np.uint64), np.empty(0, np.uint64)
         for batch in slices(batches, max_bytes=2 << 20):
             cols = [batch.column(c).to_pylist() for c in ("pivot", "salt", "leads")]
             nodes, pivots, linked, sizes, sketches = [], [], [], [], []
             for pivot, salt, leads, node, shingles in zip(*cols, batch.column("node").to_pylist(), shingle_sets(texts(batch), width), strict=True):
+                sketch = parity(shingles, bands.words(len(shingles)))
                 if leads:
-                    now, held = (pivot, salt), shingles
+                    now, held, outline = (pivot, salt), shingles, sketch
                     if salt:
                         continue
                 elif now != (pivot, salt):
                     raise ValueError("a star came without its pivot")
-                common = len(np.intersect1d(held, shingles, assume_unique=True))
-                nodes.append(node), pivots.append(pivot), sizes.append(len(shingles))
-                linked.append(not leads and 100 * common >= percent * (len(held) + len(shingles) - common))
-                sketches.append(parity(shingles, bands.words(len(shingles))).tobytes())
+                nodes.append(node), pivots.append(pivot), sizes.append(len(shingles)), sketches.append(sketch.tobytes())
+                linked.append(not leads and apart(outline, sketch) <= bands.bound(len(held) + len(shingles)) and alike(held, shingles, percent))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(pivots, pa.int64()), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["node", "pivot", "linked", "n", "sketch"])
 
     return run
@@ -237,80 +261,139 @@ def _verify_stars(percent: int, width: int, bands: Bands):
 
 def _fetch(keyed: DataFrame, bases: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (with a column node) with one text of each node. Rows of other texts are left out before the shuffle."""
-    rows = wanted.join(bases, "node")
-    near = with_mask(keyed.select("row_key", "text"), "row_key", key_mask(rows, "row_key")).where("maybe").drop("maybe")
+    rows = cut(wanted.join(bases, "node"))
+    near = with_bitmap(keyed.select("row_key", "text"), "row_key", key_bitmap(rows, "row_key")).where("maybe").drop("maybe")
     return near.join(rows, "row_key").drop("row_key")
 
 
-def _rest_rows(bands: Bands):
-    """Rows sorted by (key, component): cross-component pairs of small blocks; rows of larger blocks as they are."""
+class Joined:
+    """Components that a task has found to be one, and the order in which they were joined."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+        self.log: list[tuple[int, int]] = []
+
+    def top(self, x: int) -> int:
+        while (y := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(y, y)
+            x = y
+        return x
 
-    def cross(rows: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-        for i, (node, component, n) in enumerate(rows):
-            for other, theirs, size in rows[:i]:
-                if theirs != component and 100 * min(n, size) >= bands.percent * max(n, size):
-                    yield min(node, other), max(node, other)
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.above[b] = a
+            self.log.append((a, b))
+        return a != b
 
-    def out(pairs: list[tuple[int, int]], rows: list[tuple[int, int]]) -> pa.RecordBatch:
-        both = pairs + rows
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64()), pa.array([False] * len(pairs) + [True] * len(rows), pa.bool_())], ["a", "b", "big"])
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole units and the row where each begins; rows come sorted by (key, x, y), and a unit is two chunks of a block."""
+    waiting: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+        if not len(rows):
+            continue
+        marks = [rows.column(c).to_numpy() for c in ("key", "x", "y")]
+        edges = np.append(0, np.flatnonzero(np.logical_or.reduce([m[1:] != m[:-1] for m in marks])) + 1)
+        if len(edges) > 1:  # the last unit may go on in the next batch
+            yield rows.slice(0, edges[-1]).combine_chunks(), edges[:-1]
+        waiting = rows.slice(edges[-1]).combine_chunks()
+    if waiting is not None and len(waiting):
+        yield waiting, np.zeros(1, np.int64)
+
+
+def _distances(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sketch distances of many pairs of rows."""
+    flat = np.frombuffer(b"".join(sketches), np.uint64)
+    width = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
+    first = np.cumsum(width) - width
+    out = np.zeros(len(a), np.int64)
+    for wide in np.unique(width).tolist():
+        for other in np.unique(width).tolist():
+            at = np.flatnonzero((width[a] == wide) & (width[b] == other))
+            if len(at):
+                halves = [flat[first[rows[at]][:, None] + np.arange(w)].reshape(len(at), -1, min(wide, other)) for rows, w in ((a, wide), (b, other))]
+                left, right = (np.bitwise_xor.reduce(h, axis=1) for h in halves)  # folding a sketch is the XOR of its pieces
+                out[at] = np.bitwise_count(left ^ right).sum(1)
+    return out
+
+
+def _small_pairs(rows: pa.Table, edges: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components in small units that the sketches let pass."""
+    a, b = [], []
+    for size in range(2, SMALL + 1):
+        units = edges[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        a.append((units[:, None] + i).ravel()), b.append((units[:, None] + j).ravel())
+    a, b = np.concatenate(a), np.concatenate(b)
+    n, side, component, x, y = (rows.column(c).to_numpy() for c in ("n", "side", "component", "x", "y"))
+    fit = (component[a] != component[b]) & ((x[a] == y[a]) | (side[a] != side[b])) & (100 * np.minimum(n[a], n[b]) >= bands.percent * np.maximum(n[a], n[b]))
+    a, b = a[fit], b[fit]
+    passed = _distances(rows.column("sketch").to_pylist(), a, b) <= (100 - bands.percent) * (n[a] + n[b]) // (100 + bands.percent)
+    return a[passed], b[passed]
+
+
+def _passing(unit: pa.Table, joined: Joined, bands: Bands) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, other rows, their distances) of pairs of different components that the sketches let pass; the rows of the largest component do not start any."""
+    n, side, component = (unit.column(c).to_numpy() for c in ("n", "side", "component"))
+    sketches = [np.frombuffer(x, np.uint64) for x in unit.column("sketch").to_pylist()]
+    width = min(map(len, sketches))
+    flat = np.stack([fold(x, width) for x in sketches])
+    names, at = np.unique(component, return_inverse=True)
+    largest = np.bincount(at).argmax()
+    x, y = unit.column("x")[0].as_py(), unit.column("y")[0].as_py()
+    now, read = np.array([joined.top(c) for c in names.tolist()]), len(joined.log)
+    for i in np.flatnonzero(at != largest).tolist():
+        for kept, gone in joined.log[read:]:
+            now[now == gone] = kept
+        read = len(joined.log)
+        others = np.flatnonzero((now[at] != now[at[i]]) & ((side == side[i]) if x == y else (side != side[i])))
+        others = others[100 * np.minimum(n[others], n[i]) >= bands.percent * np.maximum(n[others], n[i])]
+        # a pair of two such rows would come twice
+        others = others[(at[others] == largest) | (others < i)]
+        distance = np.bitwise_count(flat[others] ^ flat[i]).sum(1)
+        passed = distance <= (100 - bands.percent) * (n[others] + n[i]) // (100 + bands.percent)
+        if passed.any():
+            yield i, others[passed], distance[passed]
+
+
+def _open(bands: Bands):
+    """The rows that have a passing partner of another component in their unit."""
+    names = ["key", "x", "y", "side", "node", "component", "n", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, waiting, large = None, [], False
-        for batch in batches:
-            pairs, rows = [], []
-            for k, node, component, n in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "component", "n")), strict=True):
-                if k != key:
-                    if waiting and waiting[0][1] != waiting[-1][1]:
-                        pairs += cross(waiting)
-                    key, waiting, large = k, [], False
-                if large:
-                    rows.append((k, node))
-                    continue
-                waiting.append((node, component, n))
-                if len(waiting) > SMALL:
-                    large = True
-                    rows += [(k, x[0]) for x in waiting]
-                    waiting = []
-            yield out(pairs, rows)
-        if waiting and waiting[0][1] != waiting[-1][1]:
-            yield out(list(cross(waiting)), [])
+        for rows, edges in _whole_units(batches):
+            sizes = np.diff(np.append(edges, len(rows)))
+            marked = np.zeros(len(rows), bool)
+            for at in _small_pairs(rows, edges, sizes, bands):
+                marked[at] = True
+            for start, size in zip(edges[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+                for i, others, _ in _passing(rows.slice(start, size), Joined(), bands):
+                    marked[start + i] = marked[start + others] = True
+            yield from rows.select(names).filter(pa.array(marked)).combine_chunks().to_batches()
 
     return run
 
 
-def _rest_chunks(bands: Bands):
-    """Rows sorted by (key, x, y), two chunks of a large block together: pairs that may link."""
-
-    def one(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        nodes = [r[3] for r in rows]
-        n, component = np.array([r[5] for r in rows]), np.array([r[4] for r in rows])
-        sketches = [np.frombuffer(r[6], np.uint64) for r in rows]
-        side = np.array([r[7] for r in rows])
-        x, y = rows[0][1], rows[0][2]
-        left, right = np.flatnonzero(side == x), np.flatnonzero(side == y)
-        width = min(map(len, sketches))
-        flat = np.stack([fold(s, width) for s in sketches])
-        for i in left.tolist():
-            others = right[(component[right] != component[i]) & ((right > i) if x == y else True)]
-            others = others[100 * np.minimum(n[others], n[i]) >= bands.percent * np.maximum(n[others], n[i])]
-            apart = np.bitwise_count(flat[others] ^ flat[i]).sum(1)
-            for j in others[apart <= (100 - bands.percent) * (n[others] + n[i]) // (100 + bands.percent)].tolist():
-                yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
+def _unit_links(bands: Bands):
+    """Links (a, b), verified on the sets: a spanning forest of those between different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "x", "y", "node", "component", "n", "sketch", "side")
-        waiting: list[tuple] = []
-        for batch in batches:
+        joined = Joined()
+        for rows, edges in _whole_units(batches):
             found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if waiting and waiting[0][:3] != row[:3]:
-                    found += one(waiting)
-                    waiting = []
-                waiting.append(row)
+            for start, stop in zip(edges.tolist(), [*edges[1:].tolist(), len(rows)], strict=True):
+                unit = rows.slice(start, stop - start)
+                nodes, component, sets = unit.column("node").to_pylist(), unit.column("component").to_pylist(), unit.column("shingles")
+                for i, others, distance in _passing(unit, joined, bands):
+                    own = np.frombuffer(sets[i].as_py(), np.uint64)
+                    for j in others[np.argsort(distance, kind="stable")].tolist():
+                        if joined.top(component[i]) != joined.top(component[j]) and alike(own, np.frombuffer(sets[j].as_py(), np.uint64), bands.percent):
+                            joined.join(component[i], component[j])
+                            found.append((nodes[i], nodes[j]))
             yield _pairs(found)
-        if waiting:
-            yield _pairs(list(one(waiting)))
 
     return run
 
@@ -320,15 +403,14 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _sketch_filter(bands: Bands):
+    """The pairs that the sketches let pass, with their distance."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for a, b, n, m, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "sa", "sb")), strict=True):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                words = min(len(s), len(t))
-                if np.bitwise_count(fold(s, words) ^ fold(t, words)).sum() <= bands.bound(n + m):
-                    found.append((a, b))
-            yield _pairs(found)
+            near = [apart(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+            distance, na, nb = np.array(near, dtype=np.int64), batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            passed = distance <= (100 - bands.percent) * (na + nb) // (100 + bands.percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(passed)), batch.column("b").filter(pa.array(passed)), pa.array(distance[passed])], ["a", "b", "distance"])
 
     return run
 
@@ -344,13 +426,8 @@ def _sets(width: int):
 def _exact(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb")), strict=True):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * common >= percent * (len(s) + len(t) - common):
-                    found.append((a, b))
-            yield _pairs(found)
+            pairs = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb")), strict=True)
+            yield _pairs([(a, b) for a, b, s, t in pairs if alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), percent)])
 
     return run
 
@@ -373,32 +450,87 @@ def _star_links(keyed: DataFrame, bases: DataFrame, live: DataFrame, width: int,
     return dealt.select("node", "text", "pivot", "salt", "leads").mapInArrow(_verify_stars(bands.percent, width, bands), "node long, pivot long, linked boolean, n long, sketch binary")
 
 
-def _other_links(keyed: DataFrame, bases: DataFrame, live: DataFrame, info: DataFrame, labels: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """Links between candidates that the stars left in different components."""
-    known = cut(info.join(labels, "node", "left").select("node", "n", "sketch", F.coalesce("component", "node").alias("component")))
-    rows = live.where("not edge").select(F.col("a").alias("key"), F.col("b").alias("node")).join(known.select("node", "n", "component"), "node")
-    rest = cut(rows.repartition("key").sortWithinPartitions("key", "component", "node").select("key", "node", "component", "n").mapInArrow(_rest_rows(bands), "a long, b long, big boolean"))
-    pairs = rest.where("not big").select("a", "b").distinct()
-    one, two = known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    small = pairs.join(one, "a").join(two, "b").mapInArrow(_sketch_filter(bands), "a long, b long")
+def _sets_of(keyed: DataFrame, bases: DataFrame, ends: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes of ``ends``."""
+    return _fetch(keyed, bases, ends.select("node").distinct()).select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(width), "node long, shingles binary")
 
-    big = rest.where("big").select(F.col("a").alias("key"), F.col("b").alias("node")).join(known, "node")
-    # cut, so that the join deals out both sides itself and a large block's rows can be split between tasks
-    mixed = cut(big.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")))
-    big = big.join(mixed, "key").withColumn("side", F.expr("int(pmod(xxhash64(node), chunks))"))
-    chunk = F.expr("transform(sequence(0, chunks - 1), z -> struct(least(side, z) AS x, greatest(side, z) AS y))")
-    big = big.select("key", "node", "component", "n", "sketch", "side", F.explode(chunk).alias("c")).select("key", "c.x", "c.y", "node", "component", "n", "sketch", "side")
-    large = big.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_rest_chunks(bands), "a long, b long")
 
-    near = cut(small.unionByName(large).distinct())
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_fetch(keyed, bases, ends).select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(width), "node long, shingles binary"))
+def _verified(keyed: DataFrame, bases: DataFrame, near: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
+    near = cut(near)
+    sets = cut(_sets_of(keyed, bases, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))), width))
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.mapInArrow(_exact(bands.percent), "a long, b long")
+    return cut(both.mapInArrow(_exact(percent), "a long, b long"))
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (node, component) with the components that ``links`` (a, b) connect made one."""
+    ends = links.join(known.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    top = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return stored(known.join(top, "component", "left").select("node", F.coalesce("joined", "component").alias("component")))
+
+
+def _mixed(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, node, component, c) of the blocks that hold several components, with their number of nodes; of blocks with the same nodes one is enough."""
+    now = rows.select("key", "node").join(known, "node")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(2)]
+    several = now.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("c"), *same).where("p <> q")
+    several = several.groupBy("s0", "s1", "c").agg(F.min("key").alias("key")).select("key", "c")
+    return stored(now.join(several, "key").select("key", "node", "component", "c"))
+
+
+def _pivot_links(mixed: DataFrame, info: DataFrame, salt: int, bands: Bands) -> DataFrame:
+    """One candidate link (a, b) at most for each node outside its block's largest component: the nearest of that component's two new pivots in its blocks."""
+    pivots = [F.min_by("node", F.xxhash64("node", F.lit(2 * salt + i))) for i in range(2)]
+    groups = mixed.groupBy("key", "component").agg(F.count("*").alias("c"), F.array_distinct(F.array(*pivots)).alias("pivots"))
+    top = cut(groups.groupBy("key").agg(F.max(F.struct("c", "component", "pivots")).alias("m")))
+    tests = mixed.join(top, "key").where("component <> m.component").select(F.col("node").alias("a"), F.explode("m.pivots").alias("b")).distinct()
+    one, two = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    near = cut(tests).join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {bands.percent} * greatest(na, nb)").mapInArrow(_sketch_filter(bands), "a long, b long, distance long")
+    return near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
+
+
+def _in_units(mixed: DataFrame, info: DataFrame) -> DataFrame:
+    """Each row once for every unit of its block, with its sketch."""
+    sizes = stored(mixed.join(info.select("node", "n"), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks")))
+    chunk = F.expr("transform(sequence(0, chunks - 1), z -> struct(least(side, z) AS x, greatest(side, z) AS y))")
+    rows = mixed.join(sizes, "key").withColumn("side", F.expr("int(pmod(xxhash64(node), chunks))"))
+    # sketches come last, as they are what takes room
+    rows = rows.select("key", "side", "node", "component", F.explode(chunk).alias("u")).select("key", "u.x", "u.y", "side", "node", "component")
+    return rows.join(info, "node").select("key", "x", "y", "side", "node", "component", "n", "sketch")
+
+
+def _by_unit(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def _classes(keyed: DataFrame, bases: DataFrame, live: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """(node, component) of the candidates, from the shared blocks."""
+    stars = cut(_star_links(keyed, bases, live, width, bands))
+    info = stored(stars.dropDuplicates(["node"]).select("node", "n", "sketch"))
+    known = _merged(info.select("node", F.col("node").alias("component")), stars.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    mixed = _mixed(live.where("not edge").select(F.col("a").alias("key"), F.col("b").alias("node")), known)
+    for salt in range(1, 1 << 30):
+        large = mixed.where(F.col("c") > SMALL)
+        tested = large.select("node").distinct().count()
+        if not tested:
+            break
+        links = _verified(keyed, bases, _pivot_links(large, info, salt, bands), width, bands.percent)
+        known = _merged(known, links)
+        mixed = _mixed(mixed, known)
+        if links.count() * WORTH < tested:
+            break
+    if mixed.isEmpty():
+        return known
+    left = cut(_by_unit(_in_units(mixed, info)).mapInArrow(_open(bands), "key long, x int, y int, side int, node long, component long, n long, sketch binary"))
+    # an open row meets the same rows again, now with the sets
+    sets = cut(_sets_of(keyed, bases, left, width))
+    links = _by_unit(left.join(sets, "node").select(*left.columns, "shingles")).mapInArrow(_unit_links(bands), "a long, b long")
+    return _merged(known, cut(links))
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Classes of documents linked by similarity: ``doc_id row_key n_shingles component_id class_key``, one row for each row.
+    """Classes of documents linked by similarity: ``doc_id row_key row_check n_shingles component_id class_key``, one row for each row.
 
     ``component_id`` is the smallest doc_id reachable by links, the row's own included. A text without words (or null) is
     linked with nothing. Rows with equal sets, also under one id, are linked. ``class_key`` tells classes apart where rows of one id are in several (null without words). A null id never names a class unless nothing else is in it.
@@ -410,29 +542,27 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     classes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"))
     bases = classes.select("node", "row_key")
     live = cut(_signatures(keyed, width, bands).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "a long, b long, edge boolean"))
-    stars = cut(_star_links(keyed, bases, live, width, bands))
-    links = stars.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    info = stars.dropDuplicates(["node"]).select("node", "n", "sketch")
-    others = cut(_other_links(keyed, bases, live, info, components(links), width, bands))
-    labels = components(links.unionByName(others))
+    labels = _classes(keyed, bases, live, width, bands)
     named = classes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     final = named.join(first, "component").select("node", "component", "component_id")
     out = base.join(final, "node", "left")
-    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("component").alias("class_key"))
+    return out.select("doc_id", "row_key", "row_check", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("component").alias("class_key"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, with one row of each class: of the smallest doc_id (nulls last), and of rows with that id the one of the smallest hash.
 
+    Of rows equal in id and text the one whose other columns come first in order stays (nulls first, columns without an order left out of it).
     Documents without words stay, as they are linked with nothing.
     """
     classes = cut(similar_classes(docs, width, percent))
-    name = free_name(docs, "row_key")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
-    leaders = classes.where("n_shingles > 0").groupBy("class_key").agg(first).select(F.col("m.row_key").alias(name))
-    empty = classes.where("n_shingles = 0").select(F.col("row_key").alias(name)).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumn(name, key)
-    kept = keyed.join(leaders, name, "left_semi").dropDuplicates([name])
-    return kept.unionByName(keyed.join(empty, name, "left_semi")).select(*docs.columns)
+    names = {c: free_name(docs, c) for c in ("row_key", "row_check")}
+    own = [F.col(c).alias(x) for c, x in names.items()]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "row_check")).alias("m")
+    leaders = classes.where("n_shingles > 0").groupBy("class_key").agg(first).select("m.*").select(*own)
+    empty = classes.where("n_shingles = 0").select(*own).distinct()
+    keyed = docs.withColumns({names[c]: x for c, x in _row_keys(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).items()})
+    ordered = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and not isinstance(f.dataType, MapType | VariantType)]
+    kept = keyed.join(leaders, list(names.values()), "left_semi").groupBy(*names.values()).agg(F.min_by(F.struct(*docs.columns), F.struct(F.lit(0), *ordered)).alias("m")).select("m.*")
+    return kept.unionByName(keyed.join(empty, list(names.values()), "left_semi").select(*docs.columns))
