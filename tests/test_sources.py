@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import json
 import lzma
 import struct
 import zipfile
@@ -61,13 +62,13 @@ def test_tick_files(spark):
     def file(ticks):
         return bytearray(lzma.compress(b"".join(struct.pack(">3I2f", *t) for t in ticks)))
 
-    good = file([(1000, 110010, 110000, 1, 2), (59000, 110012, 110002, 1, 1), (61000, 110020, 110010, 1, 1)])
+    good = file([(500, 121030, 121000, 3, 1), (42_250, 121045, 121015, 2, 2), (60_000, 121060, 121035, 1, 1)])
     frame = lambda body: spark.createDataFrame([("f", D(2024, 1, 11), body)], "id string, day date, content binary")
     from tidemark.operators import bars
 
     out = {r.bar_start: r for r in bars.quote_bars(series.tick_files(frame(good))).collect()}
     first = out[dt.datetime(2024, 1, 11)]
-    assert len(out) == 2 and (first.bid_open, first.bid_high, first.bid_close, first.ticks) == (1.1, 1.10002, 1.10002, 2)
+    assert len(out) == 2 and (first.bid_open, first.bid_high, first.bid_close, first.ticks) == (1.21, 1.21015, 1.21015, 2)
     for bad in ([(5, 2, 1, 0, 0), (4, 2, 1, 0, 0)], [(5, 1, 2, 0, 0)], [(86_400_000, 2, 1, 0, 0)]):
         with pytest.raises(Exception):
             series.tick_files(frame(file(bad))).collect()
@@ -84,41 +85,70 @@ def value(spark, column, text):
 
 
 def test_release_texts(spark):
-    assert value(spark, releases.embargo, "Transmission embargoed until 8:30 a.m. (ET) Friday, July 5, 2024") == dt.datetime(2024, 7, 5, 12, 30)
-    assert value(spark, releases.embargo, "no time") is None
-    cpi = "The Consumer Price Index for All Urban Consumers (CPI-U) declined 0.1 percent in June on a seasonally adjusted basis. The index for all items less food and energy was unchanged over the month."
-    assert value(spark, releases.consumer_prices, cpi) == -0.1 and value(spark, releases.core_prices, cpi) == 0.0
-    assert value(spark, releases.payrolls, "Total nonfarm payroll employment rose by 142,000 in August") == 142.0
-    assert value(spark, releases.payrolls, "Total nonfarm payroll employment edged down by 92,000.") == -92.0
-    assert value(spark, releases.payrolls, "Total nonfarm payroll employment changed little in May (-4,000)") == -4.0
+    page = "Bureau news. Transmission of material in this release is embargoed until 8:30 a.m. (ET) Wednesday, May 12, 2027. Prices, in short."
+    assert value(spark, releases.embargo, page) == dt.datetime(2027, 5, 12, 12, 30)
+    assert value(spark, releases.embargo, page.replace("May", "December")) == dt.datetime(2027, 12, 12, 13, 30)
+    assert value(spark, releases.embargo, page.replace("(ET)", "(CT)")) is None and value(spark, releases.embargo, "no time") is None
+    one = "The Consumer Price Index for All Urban Consumers (CPI-U) fell 0.4 percent in March on a seasonally adjusted basis. Over the last 12 months, the all items index increased 2.6 percent. The index for all items less food and energy rose 0.3 percent in March."
+    assert value(spark, releases.consumer_prices, one) == -0.4 and value(spark, releases.core_prices, one) == 0.3
+    assert value(spark, lambda t: releases.consumer_prices(t, 2), one) is None
+    two = "The Consumer Price Index for All Urban Consumers (CPI-U) increased 0.5 percent on a seasonally adjusted basis over the 2 months. The seasonally adjusted index for all items less food and energy advanced by 0.6 percent over the 2 months."
+    assert value(spark, releases.consumer_prices, two) is None and value(spark, releases.core_prices, two) is None
+    assert value(spark, lambda t: releases.consumer_prices(t, 2), two) == 0.5 and value(spark, lambda t: releases.core_prices(t, 2), two) == 0.6
+    still = "The index for all items less food and energy was unchanged over the month. The food index rose 9 percent."
+    assert value(spark, releases.core_prices, still) == 0.0
+    jobs = "Total nonfarm payroll employment {} in May."
+    for said, expected in (("increased by 31,500", 31.5), ("fell by 7,000", -7.0), ("edged up by 12,000", 12.0), ("changed little (+2,500)", 2.5), ("was essentially unchanged (-1,000)", -1.0), ("was a topic", None)):
+        assert value(spark, releases.payrolls, jobs.format(said)) == expected
 
 
 def test_decision_texts(spark):
-    text = "July 26, 2023 For release at 2:00 p.m. EDT. The Committee decided to raise the target range for the federal funds rate to 5‑1/4 to 5-1/2 percent."
+    text = "March 17, 2027 For release at 2:00 p.m. EDT. In support of its goals, the Committee decided to maintain the target range for the federal funds rate at 2‑3/4 to 3 percent. Markets had looked for 4 to 5 percent."
     got = value(spark, releases.target_range, text)
-    assert (got.lower, got.upper) == (5.25, 5.5)
-    assert value(spark, releases.target_range, "no range") is None
-    assert value(spark, releases.statement_time, text) == dt.datetime(2023, 7, 26, 18)
+    assert (got.lower, got.upper) == (2.75, 3.0)
+    assert value(spark, releases.target_range, "the federal funds rate is at 1 to 2 percent") is None
+    assert value(spark, releases.target_range, "the target range for the federal funds rate to 3 to 2 percent") is None
+    assert value(spark, releases.statement_time, text) == dt.datetime(2027, 3, 17, 18)
     assert value(spark, releases.statement_time, text.replace("EDT", "EST")) is None
-    ecb = "the interest rate on the main refinancing operations and the interest rates on the marginal lending facility and the deposit facility will be increased to 4.25%, 4,50% and 3.75% respectively, with effect from 2 August 2023."
-    assert value(spark, releases.key_rates, ecb) == {"refinancing": 4.25, "lending": 4.5, "deposit": 3.75}
-    assert value(spark, releases.effective_date, ecb) == D(2023, 8, 2)
-    html = "<h1>2024 Release Schedule</h1><table><tr><th>January</th><td>5</td><td>12*, 19</td></tr><tr><td>February</td><td>2</td></tr><tr><td>Note</td><td>9</td></tr></table>"
-    assert value(spark, releases.schedule_days, html) == [D(2024, 1, 5), D(2024, 1, 12), D(2024, 1, 19), D(2024, 2, 2)]
+    first = "The committees of both houses will meet on Monday and Tuesday, respectively. "
+    bank = first + "Accordingly, the interest rates on the deposit facility, the main refinancing operations and the marginal lending facility will be set at 1.50%, 1,65 % and 1.9% respectively, with effect from 9 June 2027."
+    assert value(spark, releases.key_rates, bank) == {"deposit": 1.5, "refinancing": 1.65, "lending": 1.9}
+    assert value(spark, releases.key_rates, first) is None
+    assert value(spark, releases.effective_date, bank) == D(2027, 6, 9)
+    html = "<title>Dates of 2027</title><table><tr><th>March</th><td>5</td><td>12*, 19</td></tr><TR><td>April</td><td>2, 31</td></tr><tr><td>Note</td><td>9</td></tr></table>"
+    assert value(spark, releases.schedule_days, html) == [D(2027, 3, 5), D(2027, 3, 12), D(2027, 3, 19), D(2027, 4, 2)]
+
+
+def test_positions(spark):
+    reports = [(D(2027, 3, 2), 1000, 300, 100, 50, 70), (D(2027, 3, 9), 0, 1, 1, 1, 1), (D(2027, 3, 16), 500, 5, -1, 0, 0), (D(2027, 3, 23), 500, 10, 20, 0, 0), (D(2027, 6, 1), 400, 1, None, 1, 1), (D(2027, 6, 8), 400, 1, 1, 1, 1), (D(2027, 6, 8), 400, 1, 1, 1, 1)]
+    df = spark.createDataFrame(reports, "report_date date, open_interest long, a_long long, a_short long, b_long long, b_short long")
+    schedule = spark.createDataFrame([(D(2027, 3, 5),), (D(2027, 3, 12),), (D(2027, 3, 26),)], "release date")
+    got = {r.report_date: r for r in releases.positions(df, schedule, {"funds": "a", "rest": "b"}).collect()}
+    r = got[D(2027, 3, 2)]
+    assert (r.funds_net, r.funds_net_share, r.rest_net, r.reject, r.time_quality) == (200, 0.2, -20, "", "inferred_conservative")
+    assert (r.scheduled_at, r.available_at) == (dt.datetime(2027, 3, 5, 20, 30), dt.datetime(2027, 3, 6, 5))
+    r = got[D(2027, 3, 23)]
+    assert (r.funds_net, r.scheduled_at, r.available_at) == (-10, dt.datetime(2027, 3, 26, 19, 30), dt.datetime(2027, 3, 27, 4))
+    assert [got[d].reject for d in (D(2027, 3, 9), D(2027, 3, 16), D(2027, 6, 1), D(2027, 6, 8))] == ["open_interest", "negative_position", "negative_position", "duplicate_date"]
+    assert got[D(2027, 6, 1)].time_quality == "unknown" and got[D(2027, 6, 1)].available_at is None and got[D(2027, 3, 9)].funds_net is None
 
 
 def test_raw_store_and_publication(spark, tmp_path):
-    a = raw.save(tmp_path / "bronze", "x", "u", b"one")
-    raw.save(tmp_path / "bronze", "x", "u", b"one")
-    raw.save(tmp_path / "bronze", "x", "u", b"two")
-    files, notes = raw.payloads(spark, str(tmp_path / "bronze")), raw.receipts(spark, str(tmp_path / "bronze"))
+    folder, at = str(tmp_path / "store"), dt.datetime(2027, 1, 1)
+    body = lambda *x: spark.createDataFrame([("x", "u", 200, at, bytearray(b)) for b in x], "source string, url string, status int, fetched_at timestamp, content binary")
+    raw.keep(body(b"one", b"two"), folder)
+    raw.keep(body(b"one"), folder)
+    files, notes = raw.payloads(spark, folder), raw.receipts(spark, folder)
     assert files.count() == 2 and notes.count() == 3 and raw.pinned(notes, files).where("usable").count() == 3
-    (tmp_path / "bronze" / "x" / f"{a['sha256']}.payload").write_bytes(b"changed")
-    assert raw.pinned(notes, raw.payloads(spark, str(tmp_path / "bronze"))).where("not usable").count() == 2
+    changed = files.select("source", "sha256", F.lit(b"changed").alias("content")).withColumn("intact", F.sha2("content", 256) == F.col("sha256"))
+    assert raw.pinned(notes, changed).where("usable").count() == 0
+    assert raw.payloads(spark, str(tmp_path / "none")).count() == 0
     df = spark.range(100).select("id", (F.col("id") / 3).alias("v"))
     assert publish.content_id(df) == publish.content_id(df.repartition(7)) != publish.content_id(df.where("id > 0"))
-    one = publish.publish(df, str(tmp_path), "set", tmp_path / "m.json")
-    two = publish.publish(df.repartition(3), str(tmp_path), "set", tmp_path / "m.json")
-    assert one == two and one["rows"] == 100
+    manifest = tmp_path / "m.json"
+    one = publish.publish(df, str(tmp_path), "set", str(manifest))
+    two = publish.publish(df.repartition(3), str(tmp_path), "set", str(manifest))
+    assert one == two == json.loads(manifest.read_text()) and one["rows"] == 100
     with pytest.raises(ValueError):
-        raw.write_json(tmp_path / "bad.json", {"x": float("nan")})
+        raw.write_json(spark, str(tmp_path / "bad.json"), {"x": float("nan")})
+    assert not (tmp_path / "bad.json").exists()

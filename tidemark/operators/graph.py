@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.raw import write_text
+
 
 def edge_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, problem) of edges: unknown ends, self-edges, lag intervals the wrong way round, repeated ids."""
@@ -79,5 +81,4 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, most: int = 100
     lines = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">']
     lines += [f"<node id={quoteattr(str(r['id']))}/>" for r in n]
     lines += [f"<edge id={quoteattr(str(r['id']))} source={quoteattr(str(r['source']))} target={quoteattr(str(r['target']))}/>" for r in e]
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("\n".join([*lines, "</graph></graphml>", ""]))
+    write_text(nodes.sparkSession, path, "\n".join([*lines, "</graph></graphml>", ""]))

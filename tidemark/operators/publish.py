@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ def content_id(rows: DataFrame, salt: str = "", places: int = 12) -> str:
     return hashlib.sha256(f"{salt}|{sums['n']}|{sums['h0']}|{sums['h1']}".encode()).hexdigest()[:20]
 
 
-def publish(rows: DataFrame, folder: str, name: str, manifest: Path, details: dict | None = None, by: list[str] | None = None) -> dict:
+def publish(rows: DataFrame, folder: str, name: str, manifest: str, details: dict | None = None, by: list[str] | None = None) -> dict:
     """Write rows as Parquet under their content id and name it in the manifest; the manifest changes last."""
     dataset = content_id(rows, name)
     path = f"{folder}/{name}/{dataset}"
@@ -33,5 +31,5 @@ def publish(rows: DataFrame, folder: str, name: str, manifest: Path, details: di
     if not there:
         (rows.sortWithinPartitions(*by) if by else rows).write.mode("overwrite").parquet(path)
     report = {"name": name, "dataset": dataset, "path": path, "rows": rows.sparkSession.read.parquet(path).count(), **(details or {})}
-    write_json(manifest, report)
+    write_json(rows.sparkSession, manifest, report)
     return report
