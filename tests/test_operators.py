@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import duckdb
 import numpy as np
@@ -16,16 +17,19 @@ from tidemark.plans.knowledge import cut
 from tidemark.streaming import bars as streaming
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 T = dt.datetime
 D = dt.date
 
 
 def test_delta_candles_run_through_rejected_rows(spark):
-    blob = spark.createDataFrame([(1, 1704067200000, 1e-5, 1.1, 1.1, 1.1, 1.1, [22, 1, 3], [0, 50, 50], [-200, 220, 100], [-300, 100, 100], [30, 50, 50], [1.0, 1.0, 1.0])], "id long, timestamp long, multiplier double, open double, high double, low double, close double, times array<int>, opens array<int>, highs array<int>, lows array<int>, closes array<int>, volumes array<double>")
+    base = 1_800_000_000_000 // 3_600_000 * 3_600_000
+    blob = spark.createDataFrame([(1, base, 1e-4, 2.0, 2.0, 2.0, 2.0, [1, 2, 1, 4], [0, 10, -5, 20], [30, 0, 40, 10], [-20, 0, -90, 5], [10, 5, 0, 200], [1.0] * 4)], "id long, timestamp long, multiplier double, open double, high double, low double, close double, times array<int>, opens array<int>, highs array<int>, lows array<int>, closes array<int>, volumes array<double>")
     rows = bars.quarantine(bars.explode_candles(blob)).orderBy("pos").collect()
-    assert [r.bar_start for r in rows] == [T(2024, 1, 1, 22), T(2024, 1, 1, 23), T(2024, 1, 2, 2)]
-    assert [round(r.open, 6) for r in rows] == [1.1, 1.1005, 1.101] and round(rows[1].high, 6) == 1.1002
-    assert [r.reject for r in rows] == ["invalid_ohlc", "invalid_ohlc", ""] or rows[0].reject == "invalid_ohlc"
+    start = dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=base)
+    assert [r.bar_start for r in rows] == [start + dt.timedelta(hours=h) for h in (1, 3, 4, 8)]
+    assert [round(r.open, 6) for r in rows] == [2.0, 2.001, 2.0005, 2.0025] and [round(r.close, 6) for r in rows] == [2.001, 2.0015, 2.0015, 2.0215]
+    assert [r.reject for r in rows] == ["", "", "", "invalid_ohlc"]
 
 
 def test_sessions_follow_new_york(spark):
@@ -51,6 +55,37 @@ def test_as_of_of_weekly_releases(spark):
     assert [r.v for r in temporal.as_of(grid, rel, "d", "a", ["v"], direction="forward", strict=True).orderBy("d").collect()] == [1, 2, 2, None]
 
 
+def test_as_of_forward_over_buckets(spark):
+    grid = spark.createDataFrame([(D(y, m, 9),) for y in range(2020, 2026) for m in (1, 6, 12)], "d date")
+    rel = spark.createDataFrame([(D(2021, 6, 9), 1), (D(2021, 6, 10), 2), (D(2024, 2, 1), 3)], "a date, v int")
+    for strict in (False, True):
+        for direction in ("backward", "forward"):
+            plain = temporal.as_of(grid, rel, "d", "a", ["v"], direction=direction, strict=strict)
+            got = temporal.as_of_bucketed(grid, rel, "d", "a", ["v"], F.year, direction=direction, strict=strict)
+            assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_next_scheduled(spark):
+    days = spark.createDataFrame([(D(2023, 12, 20),), (D(2023, 12, 24),), (D(2024, 1, 3),), (D(2024, 2, 1),)], "day date")
+    schedule = spark.createDataFrame([(D(2024, 1, 3),), (D(2024, 1, 5),), (None,)], "release date")
+    assert [r.release for r in temporal.next_scheduled(days, schedule).orderBy("day").collect()] == [None, D(2024, 1, 3), D(2024, 1, 5), None]
+
+
+def test_ema_of_many_blocks(spark):
+    rng = random.Random(3)
+    for half_life in (0.4, 5.0, 300.0):
+        rows = [(s, i, rng.gauss(0, 1) if i % 50 else None) for s in ("a", "b") for i in range(900)]
+        df = spark.createDataFrame(rows, "s string, i int, x double").repartition(5)
+        got = {(r.s, r.i): r.m for r in features.ema(df, "s", "i", "x", half_life, "m", lambda c: F.floor(c / 400)).collect()}
+        p = 2 ** (-1 / half_life)
+        expected, m = {}, {}
+        for s, i, x in rows:
+            if x is not None:
+                m[s] = x if s not in m else p * m[s] + (1 - p) * x
+                expected[s, i] = m[s]
+        assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
+
+
 def test_revisions_and_unknown_availability(spark):
     rows = spark.createDataFrame([("gdp", 1.6, T(2024, 4, 25, 12, 30), 0), ("gdp", 1.3, T(2024, 5, 30, 12, 30), 1), ("cpi", 3.0, None, 0)], "k string, v double, available_at timestamp_ntz, rev int")
 
@@ -62,7 +97,7 @@ def test_revisions_and_unknown_availability(spark):
 
 def test_memory_and_decay(spark):
     df = spark.createDataFrame([("a", i, x) for i, x in enumerate([0.0, 1.0, 1.0])], "s string, i int, x double")
-    assert [r.m for r in features.ema(df, "s", "i", "x", 1.0, "m").orderBy("i").collect()] == [0.0, 0.5, 0.75]
+    assert [r.m for r in features.ema(df, "s", "i", "x", 1.0, "m", lambda c: F.floor(c / 2)).orderBy("i").collect()] == [0.0, 0.5, 0.75]
     ages = spark.createDataFrame([(a,) for a in (0, 14, 28, -1)], "a int").select((2.5 * columns.age_decay(F.col("a"), 14)).alias("v"))
     assert [r.v for r in ages.collect()] == [2.5, 1.25, 0.625, None]
 
@@ -110,8 +145,7 @@ def test_bootstrap_and_permutation(spark):
 def test_bootstrap_interval_takes_every_order(spark):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{SF}/orders.parquet'")
-    sql = research.TARGETS.replace("WHERE o_orderkey % 10 = 0", "")
-    theirs = duck.sql(f"WITH {sql} SELECT kind, count(*), avg(r) FROM tg WHERE status = 'complete' AND horizon = 20 GROUP BY kind").fetchall()
+    theirs = duck.sql(f"WITH {research.TARGETS} SELECT kind, count(*), avg(r) FROM tg WHERE status = 'complete' AND horizon = 20 GROUP BY kind").fetchall()
     mine = {r.kind: r for r in research.bootstrap_interval(spark, SF).collect()}
     assert {k: (r.n, round(r.mean, 8)) for k, r in mine.items()} == {k: (n, round(m, 8)) for k, n, m in theirs}
     assert all(r.low < r.mean < r.high for r in mine.values())
@@ -142,8 +176,37 @@ def test_block_bootstrap_against_plain_loops(spark):
     got = inference.block_bootstrap_p(rows.repartition(3), ["g"], "i", "x", "y", 60, 8).first()
     starts = {(r.rep, r.b): r.h % 70 for r in spark.range(60).selectExpr("int(id) AS rep", "explode(sequence(0L, 8L)) AS b").selectExpr("rep", "b", "xxhash64(7, rep, b) AS h").collect()}
     r = np.corrcoef(x, y)[0, 1]
-    over = sum(abs(np.corrcoef(x, [y[(starts[k, i // 8] + i % 8) % 70] for i in range(70)])[0, 1]) >= abs(r) for k in range(60))
+    slope, intercept = np.polyfit(x, y, 1)
+    left = y - intercept - slope * x
+    over = sum(abs(np.corrcoef(x, [left[(starts[k, i // 8] + i % 8) % 70] for i in range(70)])[0, 1]) >= abs(r) for k in range(60))
     assert got.n == 70 and got.r == pytest.approx(r) and got.p == pytest.approx((over + 1) / 61)
+    few = inference.block_bootstrap_p(rows.where("i < 29"), ["g"], "i", "x", "y", 20, 8).first()
+    assert few.n == 29 and few.r is not None and few.p is None
+
+
+def test_ridge_walk_forward_against_plain_loops(spark):
+    """Every year of the query from the rows themselves: standardise, solve, choose the penalty, score."""
+    rows = research._folds(spark, LARGER).select("year", "role", *research.FEATURES, "y").dropna().toPandas()
+    got = {r.year: r for r in research.ridge_walk_forward(spark, LARGER).where("variant = 'full'").collect()}
+
+    def fit(part, penalty):
+        x, y = part[research.FEATURES].to_numpy(), part["y"].to_numpy()
+        scale = np.where(x.var(0) <= 1e-18, 1.0, x.std(0))
+        z = (x - x.mean(0)) / scale
+        w = np.linalg.solve(z.T @ z + penalty * np.eye(x.shape[1]), z.T @ (y - y.mean())) / scale
+        return lambda other: y.mean() + (other[research.FEATURES].to_numpy() - x.mean(0)) @ w
+
+    def error(part, predict):
+        return float(np.mean((part["y"].to_numpy() - predict(part)) ** 2))
+
+    expected = {}
+    for year, own in rows.groupby("year"):
+        part = {r: own[own.role == r] for r in ("train", "validation", "fit", "test")}
+        if len(part["fit"]) >= research.SMALL[0] and len(part["validation"]) >= research.SMALL[1] and len(part["test"]) >= research.SMALL[2]:
+            best = min(research.PENALTIES, key=lambda p: error(part["validation"], fit(part["train"], p)))
+            expected[year] = error(part["test"], fit(part["fit"], best))
+    assert got.keys() == expected.keys() and expected
+    assert all(got[y].mse == pytest.approx(e, rel=1e-6) for y, e in expected.items())
 
 
 def test_gram_models_equal_row_models(spark):

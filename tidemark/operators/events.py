@@ -46,13 +46,13 @@ def trailing_percentile(events: DataFrame, history: DataFrame, value: str, least
 
     ``events``: event_id, at. ``history``: available_at, obs_id and the value. The history gets its ranks once; an as-of join does the rest.
     """
-    from .temporal import as_of
+    from .temporal import as_of_bucketed
 
     line = Window.orderBy("available_at", "obs_id").rowsBetween(-(most - 1), 0)
     window = F.collect_list(value).over(line)
     known = history.withColumn("_w", window)
     rank = (F.size(F.filter("_w", lambda x: x < F.col(value))) + 0.5 * F.size(F.filter("_w", lambda x: x == F.col(value)))) / F.size("_w")
     known = known.withColumn("history", F.size("_w")).withColumn("percentile", rank)
-    out = as_of(events, known, "at", "available_at", ["obs_id", "history", "percentile"], order=["obs_id"])
+    out = as_of_bucketed(events, known, "at", "available_at", ["obs_id", "history", "percentile"], F.year, order=["obs_id"])
     regime = F.when(F.col("history").isNull(), "no_available_position").when(F.col("history") < least, "insufficient_position_history").when(F.col("percentile") <= 1 / 3, "short_crowded").when(F.col("percentile") >= 2 / 3, "long_crowded").otherwise("neutral")
     return out.withColumn("regime", regime)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -40,21 +43,37 @@ def forward_targets(df: DataFrame, price: str, date: str, line: WindowSpec, hori
     return df.withColumn("target_start", F.lead(date, 1).over(line))
 
 
-def ema(df: DataFrame, by: str, order: str, value: str, half_life: float, name: str) -> DataFrame:
-    """Exponential memory m0 = x0, m = p m + (1 - p) x, p = 2 ** (-1 / half_life), by series.
+def ema(df: DataFrame, by: str, order: str, value: str, half_life: float, name: str, bucket: Callable[[Column], Column]) -> DataFrame:
+    """Exponential memory m0 = x0, m = p m + (1 - p) x, p = 2 ** (-1 / half_life), by series; rows without a value are left out.
 
-    The recursion is folded over the ordered values of a series inside one row, so a series should have at most some hundred thousand rows.
+    Rows are numbered in stretches of ``bucket`` (of ``order``; it must not fall as that rises) and cut into blocks. Within a block the recursion is a
+    running sum of x / p**j. What a block adds and how far it decays make one row; only these rows are walked through in order, as a stream.
     """
-    p = F.lit(2.0 ** (-1.0 / half_life))
-    series = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_series"))
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        m = F.coalesce(p * acc["m"] + (1 - p) * x[value], x[value]).cast("double")
-        return F.struct(m.alias("m"), F.concat(acc["out"], F.array(m)).alias("out"))
-
-    made = series.withColumn("m", F.aggregate("_series", start, step, lambda acc: acc["out"]))
-    return made.select(by, F.posexplode("m").alias("_i", name), "_series").select(by, F.expr(f"_series[_i].{order}").alias(order), F.expr(f"_series[_i].{value}").alias(value), name)
+    log_p = -1.0 / half_life  # powers of two
+    block = max(1, min(256, int(500 * half_life)))  # so that 1 / p**j stays a double
+    stretch = Window.partitionBy(by, "_b").orderBy(order)
+    rows = df.where(F.col(value).isNotNull()).select(by, order, value, bucket(F.col(order)).alias("_b")).withColumn("_j", F.row_number().over(stretch) - 1)
+    rows = rows.select(by, order, value, "_b", F.expr(f"int(_j div {block})").alias("_k"), (F.col("_j") % block).alias("_j"))
+    inside = Window.partitionBy(by, "_b", "_k").orderBy("_j")
+    rows = rows.withColumn("_sum", F.sum(F.col(value) * F.pow(F.lit(2.0), -log_p * F.col("_j")) * (1 - 2.0**log_p)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_own", F.col("_sum") * F.pow(F.lit(2.0), log_p * F.col("_j")))
+    blocks = rows.groupBy(by, "_b", "_k").agg(F.max_by("_own", "_j").alias("_own"), F.pow(F.lit(2.0), log_p * F.count("*")).alias("_decay"), F.min_by(value, "_j").alias("_first"))
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, memory = None, 0.0
+        for frame in frames:
+            before = []
+            for key, own, decay, first in zip(frame[by], frame["_own"], frame["_decay"], frame["_first"], strict=True):
+                if series is None or key != series:  # m0 = x0: as if the memory had been x0 all along
+                    series, memory = key, float(first)
+                before.append(memory)
+                memory = own + decay * memory
+            yield frame[[by, "_b", "_k"]].assign(_before=before)
+
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    carried = blocks.repartition(by).sortWithinPartitions(by, "_b", "_k").mapInPandas(walk, f"`{by}` {kinds[by]}, _b {kinds['_b']}, _k int, _before double")
+    memory = F.col("_own") + F.col("_before") * F.pow(F.lit(2.0), log_p * (F.col("_j") + 1))
+    return rows.join(carried, [by, "_b", "_k"]).select(by, order, value, memory.alias(name))
 
 
 def trimmed(df: DataFrame, by: list[str], order: str, warmup: int, tail: int) -> DataFrame:

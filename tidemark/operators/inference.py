@@ -88,15 +88,20 @@ def permuted(rows: DataFrame, by: list[str], key: str, columns: list[str], reps:
     return given.join(taken, [*by, "rep", "_i"]).drop("_i")
 
 
-def block_bootstrap_p(pairs: DataFrame, by: list[str], order: str, x: str, y: str, reps: int = 200, block: int = 20, seed: int = 7) -> DataFrame:
-    """p of a correlation by a circular moving-block bootstrap of y around its mean (slope zero): (exceedances + 1) / (reps + 1)."""
+def block_bootstrap_p(pairs: DataFrame, by: list[str], order: str, x: str, y: str, reps: int = 200, block: int = 20, seed: int = 7, least: int = 30) -> DataFrame:
+    """p of a correlation by a circular moving-block bootstrap of the regression's residuals under slope zero: (exceedances + 1) / (reps + 1).
+
+    The residuals of y on x are drawn in blocks and correlated with x; a constant added to them (the intercept) changes no correlation. p is null
+    with fewer than ``least`` rows or where x or y is constant.
+    """
     place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    numbered = pairs.select(*by, place.alias("i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    whole = pairs.groupBy(*by).agg(F.count("*").cast("int").alias("n"), F.corr(x, y).alias("r"))
-    rows = numbered.join(whole, by).select(*by, "n", "r", "i", "_x", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    whole = pairs.groupBy(*by).agg(F.count("*").cast("int").alias("n"), F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("_b"))
+    numbered = pairs.select(*by, place.alias("i"), F.col(x).alias("_x"), F.col(y).alias("_y")).join(whole, by).withColumn("_e", F.col("_y") - F.col("_b") * F.col("_x"))
+    rows = numbered.where((F.col("n") >= least) & F.col("r").isNotNull()).select(*by, "n", "i", "_x", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     start = F.pmod(_draw(seed, F.col("rep"), F.expr(f"i div {block}")), F.col("n"))
-    drawn = rows.select(*by, "n", "r", "rep", "_x", F.pmod(start + F.col("i") % block, F.col("n")).cast("int").alias("_j"))
-    shaken = drawn.join(numbered.select(*by, F.col("i").alias("_j"), "_y"), [*by, "_j"])
-    spread = F.stddev_pop("_x") * F.stddev_pop("_y")
-    each = shaken.groupBy(*by, "n", "r", "rep").agg((F.covar_pop("_x", "_y") / F.nullif(spread, F.lit(0.0))).alias("_rr"))
-    return each.groupBy(*by, "n", "r").agg(((F.count_if(F.abs("_rr") >= F.abs("r")) + 1) / (F.count("*") + 1)).alias("p"))
+    drawn = rows.select(*by, "rep", "_x", F.pmod(start + F.col("i") % block, F.col("n")).cast("int").alias("_j"))
+    shaken = drawn.join(numbered.select(*by, F.col("i").alias("_j"), "_e"), [*by, "_j"])
+    spread = F.stddev_pop("_x") * F.stddev_pop("_e")
+    each = shaken.groupBy(*by, "rep").agg((F.covar_pop("_x", "_e") / F.nullif(spread, F.lit(0.0))).alias("_rr"))
+    counted = each.join(whole.select(*by, "r"), by).groupBy(*by).agg(((F.count_if(F.abs("_rr") >= F.abs("r")) + 1) / (F.count("*") + 1)).alias("p"))
+    return whole.join(counted, by, "left").select(*by, "n", "r", "p")

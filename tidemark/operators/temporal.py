@@ -1,4 +1,5 @@
-"""Point-in-time joins: what was known when. Every as-of join here is one union and one sort for each key, not a range join."""
+"""Point-in-time joins: what was known when. Every as-of join here is one union and one sort for each key (``as_of``) or key and stretch of time
+(``as_of_bucketed``), not a range join."""
 
 from __future__ import annotations
 
@@ -40,19 +41,19 @@ def as_of(grid: DataFrame, records: DataFrame, grid_time: str, record_time: str,
     return out.select(*grid.columns, "_seen.matched_at", *(F.col(f"_seen.{c}").alias(c) for c in payload))
 
 
-def as_of_bucketed(grid: DataFrame, records: DataFrame, grid_time: str, record_time: str, payload: list[str], bucket: Callable[[Column], Column], by: list[str] | None = None, strict: bool = False, order: list[str] | None = None) -> DataFrame:
-    """A backward as-of join of long series: sorted by key and time bucket (say ``F.year``) rather than by key, so that a series of any length is dealt to many tasks.
+def as_of_bucketed(grid: DataFrame, records: DataFrame, grid_time: str, record_time: str, payload: list[str], bucket: Callable[[Column], Column], by: list[str] | None = None, direction: str = "backward", strict: bool = False, order: list[str] | None = None) -> DataFrame:
+    """An as-of join of long series: sorted by key and time bucket (say ``F.year``) rather than by key, so that a series of any length is dealt to many tasks.
 
-    The last record of each bucket is carried to the first rows of later ones; that table has one row for each key and bucket. ``bucket`` must not fall
+    The last record of each bucket is carried to the first rows of later ones (forward: the first record to the last rows of earlier ones); that table has one row for each key and bucket. ``bucket`` must not fall
     as time rises; keys must not be null.
     """
     by = by or []
     g = grid.withColumn("_b", bucket(F.col(grid_time)))
     r = records.withColumn("_b", bucket(F.col(record_time)))
-    inside = as_of(g, r, grid_time, record_time, payload, [*by, "_b"], strict=strict, order=order)
+    inside = as_of(g, r, grid_time, record_time, payload, [*by, "_b"], direction, strict, order)
     value = F.struct(F.col(record_time).alias("matched_at"), *payload)
-    last = r.groupBy(*by, F.col("_b").alias("_rb")).agg(F.max_by(value, F.struct(record_time, *(order or []))).alias("_carry"))
-    carried = as_of(g.select(*by, "_b").distinct(), last, "_b", "_rb", ["_carry"], by, strict=True).drop("matched_at")
+    last = r.groupBy(*by, F.col("_b").alias("_rb")).agg((F.max_by if direction == "backward" else F.min_by)(value, F.struct(record_time, *(order or []))).alias("_carry"))
+    carried = as_of(g.select(*by, "_b").distinct(), last, "_b", "_rb", ["_carry"], by, direction, strict=True).drop("matched_at")
     joined = inside.join(carried, [*by, "_b"], "left")
     own = F.col("matched_at").isNotNull()
     return joined.select(*grid.columns, F.coalesce("matched_at", "_carry.matched_at").alias("matched_at"), *(F.when(own, F.col(c)).otherwise(F.col(f"_carry.{c}")).alias(c) for c in payload))
@@ -69,9 +70,9 @@ def prediction_modes(events: DataFrame) -> DataFrame:
 
 
 def next_scheduled(days: DataFrame, schedule: DataFrame, within: int = 10) -> DataFrame:
-    """The first scheduled release in (day, day + within]."""
-    near = (F.col("release") > F.col("day")) & (F.col("release") <= F.date_add("day", within))
-    return days.join(schedule, near, "left").groupBy("day").agg(F.min("release").alias("release"))
+    """The first scheduled release in (day, day + within], null where there is none."""
+    nearest = as_of_bucketed(days.select("day").distinct(), schedule.where(F.col("release").isNotNull()), "day", "release", [], F.year, direction="forward", strict=True)
+    return nearest.select("day", F.when(F.col("matched_at") <= F.date_add("day", within), F.col("matched_at")).alias("release"))
 
 
 def local_instant(day: Column, clock: str, zone: str, offset_days: int = 0) -> Column:

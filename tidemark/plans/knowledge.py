@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import cut
 from ..functions.columns import compact, mixed_fraction, squeeze, strip_tags
 from ..operators import graph
 from .registry import query, table
@@ -19,14 +18,6 @@ EDGES = f"""ed AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS source
     nd AS (SELECT 'r' || r_regionkey AS id, 'ready' AS status FROM region UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'planned' ELSE 'ready' END FROM nation UNION ALL SELECT 's' || s_suppkey, 'ready' FROM supplier UNION ALL SELECT * FROM (VALUES ('a', 'ready'), ('b', 'ready'), ('c', 'planned'), ('d', 'ready'), ('e', 'ready')) t(id, status))"""
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's folder; a local one where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     n = table(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("source"), key("n", "n_nationkey").alias("target"), F.lit(0).alias("lag_min"), F.lit(1).alias("lag_max"))

@@ -96,28 +96,28 @@ def _release_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DAILY}, {RELEASES}, {AS_OF_GRID} SELECT CAST(g.d AS VARCHAR) AS d, CAST(g.s AS BIGINT) AS s, r.v AS v, CAST(coalesce(g.d - r.available, -1) AS BIGINT) AS age FROM g ASOF LEFT JOIN releases r ON g.s = r.s AND g.d >= r.available")
 def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = temporal.as_of(_release_grid(spark, sf_dir), data.releases(spark, sf_dir), "d", "available", ["v"], ["s"])
+    out = temporal.as_of_bucketed(_release_grid(spark, sf_dir), data.releases(spark, sf_dir), "d", "available", ["v"], F.year, ["s"])
     return out.select(text("d"), "s", "v", F.coalesce(F.date_diff("d", "matched_at"), F.lit(-1)).cast("long").alias("age"))
 
 
 @query(f"WITH {DAILY}, {RELEASES}, {AS_OF_GRID} SELECT CAST(g.d AS VARCHAR) AS d, CAST(g.s AS BIGINT) AS s, r.v AS v, CAST(r.available AS VARCHAR) AS matched_at FROM g ASOF LEFT JOIN releases r ON g.s = r.s AND g.d > r.available")
 def asof_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.as_of(_release_grid(spark, sf_dir), data.releases(spark, sf_dir), "d", "available", ["v"], ["s"], strict=True).select(text("d"), "s", "v", text("matched_at"))
+    return temporal.as_of_bucketed(_release_grid(spark, sf_dir), data.releases(spark, sf_dir), "d", "available", ["v"], F.year, ["s"], strict=True).select(text("d"), "s", "v", text("matched_at"))
 
 
 @query(f"""WITH {DAILY}, {RELEASES}, {AS_OF_GRID} SELECT CAST(g.d AS VARCHAR) AS d, CAST(g.s AS BIGINT) AS s, r.v AS v, CAST(r.available AS VARCHAR) AS matched_at FROM g ASOF LEFT JOIN releases r ON g.s = r.s AND g.d <= r.available
     WHERE r.available - g.d <= 4""")
 def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = temporal.as_of(_release_grid(spark, sf_dir), data.releases(spark, sf_dir), "d", "available", ["v"], ["s"], direction="forward")
+    out = temporal.as_of_bucketed(_release_grid(spark, sf_dir), data.releases(spark, sf_dir), "d", "available", ["v"], F.year, ["s"], direction="forward")
     return out.where(F.date_diff("matched_at", "d") <= 4).select(text("d"), "s", "v", text("matched_at"))
 
 
-@query(f"""WITH {DAILY}, w AS (SELECT CAST(l_suppkey % 4 AS BIGINT) AS s, CAST(l_shipdate AS DATE) + 7 AS available, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS disc FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY 1, 2),
+@query(f"""WITH {DAILY}, w AS (SELECT CAST(l_suppkey % 4 AS BIGINT) AS s, CAST(l_shipdate AS DATE) + 7 AS available, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS disc FROM lineitem GROUP BY 1, 2),
     {AS_OF_GRID} SELECT CAST(g.d AS VARCHAR) AS d, CAST(g.s AS BIGINT) AS s, w.q, w.disc FROM g ASOF LEFT JOIN w ON g.s = w.s AND g.d >= w.available""")
 def asof_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     weekly = lines.groupBy((F.col("l_suppkey") % 4).cast("long").alias("s"), F.date_add(F.col("l_shipdate").cast("date"), 7).alias("available")).agg(F.round(F.sum("l_quantity"), 2).alias("q"), F.round(F.avg("l_discount"), 6).alias("disc"))
-    return temporal.as_of(_release_grid(spark, sf_dir), weekly, "d", "available", ["q", "disc"], ["s"]).select(text("d"), "s", "q", "disc")
+    return temporal.as_of_bucketed(_release_grid(spark, sf_dir), weekly, "d", "available", ["q", "disc"], F.year, ["s"]).select(text("d"), "s", "q", "disc")
 
 
 @query(f"""WITH {HOURLY}, days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS d)
@@ -189,7 +189,7 @@ def lag_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def release_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_release = Window.partitionBy("s").orderBy("available")
     rel = data.releases(spark, sf_dir).withColumn("r", F.round(features.log_return(F.col("v"), by_release, 4), 8))
-    return temporal.as_of(_release_grid(spark, sf_dir), rel, "d", "available", ["r"], ["s"]).select(text("d"), "s", "r")
+    return temporal.as_of_bucketed(_release_grid(spark, sf_dir), rel, "d", "available", ["r"], F.year, ["s"]).select(text("d"), "s", "r")
 
 
 @query(f"""WITH RECURSIVE {PANEL}, n AS (SELECT s, d, v / 1000 AS x, row_number() OVER (PARTITION BY s ORDER BY d) AS i FROM panel),
@@ -197,12 +197,12 @@ def release_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT s, CAST(d AS VARCHAR) AS d, round(m, 4) AS m FROM e""")
 def ema_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = data.panel(spark, sf_dir).withColumn("x", F.col("v") / 1000)
-    return features.ema(p, "s", "d", "x", 5.0, "m").select("s", text("d"), F.round("m", 4).alias("m"))
+    return features.ema(p, "s", "d", "x", 5.0, "m", F.year).select("s", text("d"), F.round("m", 4).alias("m"))
 
 
 @query(f"""WITH {DAILY}, {RELEASES}, {AS_OF_GRID} SELECT CAST(g.d AS VARCHAR) AS d, CAST(g.s AS BIGINT) AS s, round(r.v * pow(2, -(g.d - r.available) / 14.0), 6) AS decayed FROM g ASOF LEFT JOIN releases r ON g.s = r.s AND g.d >= r.available""")
 def age_decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = temporal.as_of(_release_grid(spark, sf_dir), data.releases(spark, sf_dir), "d", "available", ["v"], ["s"])
+    out = temporal.as_of_bucketed(_release_grid(spark, sf_dir), data.releases(spark, sf_dir), "d", "available", ["v"], F.year, ["s"])
     return out.select(text("d"), "s", F.round(F.col("v") * age_decay(F.date_diff("d", "matched_at"), 14), 6).alias("decayed"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import shared_folder
 from ..operators import bars
 from ..sources import series
 from ..streaming import bars as streaming
@@ -89,8 +89,7 @@ def candle_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(date_trunc('hour', ts)::TIMESTAMP AS VARCHAR) AS bar_start, event_type, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS ticks FROM events GROUP BY 1, 2, date_trunc('hour', ts)""")
 def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly bars of the events table read as a stream to its end; results go to the session's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     # a stream reads folders: that of the table's parts, or the one that holds its single file
     path = f"{sf_dir}/events.parquet"
     parts = all("/events.parquet/" in f for f in spark.read.parquet(path).inputFiles())

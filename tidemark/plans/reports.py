@@ -62,11 +62,11 @@ def ablation_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(single, "block").withColumn("gap", F.col("block_delta") - F.col("members_delta"))
 
 
-@query(f"WITH {PANEL} SELECT year(d) AS year, round(avg(v) FILTER (WHERE s = 0), 4) AS s0_mean, round(avg(v) FILTER (WHERE s = 1), 4) AS s1_mean, count(*) FILTER (WHERE s = 0) AS s0_n, count(*) FILTER (WHERE s = 1) AS s1_n FROM panel WHERE s IN (0, 1) GROUP BY 1")
+@query(f"WITH {PANEL} SELECT year(d) AS year, " + ", ".join(f"round(avg(v) FILTER (WHERE s = {i}), 6) AS s{i}_mean, count(*) FILTER (WHERE s = {i}) AS s{i}_n" for i in range(8)) + " FROM panel GROUP BY 1")
 def metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of series flattened into columns ``{series}_{metric}``."""
-    rows = data.panel(spark, sf_dir).where("s in (0, 1)").select(F.year("d").cast("long").alias("year"), F.concat(F.lit("s"), F.col("s").cast("string")).alias("series"), "v")
-    return rows.groupBy("year").pivot("series", ["s0", "s1"]).agg(F.round(F.avg("v"), 4).alias("mean"), F.count("v").alias("n"))
+    rows = data.panel(spark, sf_dir).select(F.year("d").cast("long").alias("year"), F.concat(F.lit("s"), F.col("s").cast("string")).alias("series"), "v")
+    return rows.groupBy("year").pivot("series", [f"s{i}" for i in range(data.SERIES)]).agg(F.round(F.avg("v"), 6).alias("mean"), F.count("v").alias("n"))
 
 
 @query("""WITH u AS (SELECT 'order' AS source, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderdate AS DATE) AS d FROM orders UNION ALL SELECT 'line', l_orderkey || '-' || l_linenumber, CAST(l_shipdate AS DATE) FROM lineitem UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), CAST(ts AS DATE) FROM events)

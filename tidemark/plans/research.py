@@ -11,10 +11,10 @@ from . import data
 from .data import DAILY, GRID
 from .registry import query, table
 
-# ---- event studies: large orders as events, the daily mean price as the market
+# ---- event studies: orders as events, the daily mean price as the market
 
 SESSIONS = DAILY + ", sessions AS (SELECT d AS day, v AS close, n % 17 <> 0 AS complete, row_number() OVER (ORDER BY d) AS i, sum(CASE WHEN n % 17 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY d) AS broken FROM daily)"
-ANCHORS = SESSIONS + ", ev AS (SELECT o_orderkey AS event_id, o_orderpriority AS kind, CAST(o_orderdate AS DATE) AS anchor_day, o_totalprice AS anchor_price FROM orders WHERE o_orderkey % 10 = 0)"
+ANCHORS = SESSIONS + ", ev AS (SELECT o_orderkey AS event_id, o_orderpriority AS kind, CAST(o_orderdate AS DATE) AS anchor_day, o_totalprice AS anchor_price FROM orders)"
 TARGETS = ANCHORS + """, tg AS (SELECT ev.event_id, ev.kind, ev.anchor_day, h AS horizon, CASE WHEN b.day IS NULL THEN 'insufficient_future_sessions' WHEN b.broken <> a.broken THEN 'incomplete_market_path' ELSE 'complete' END AS status, b.day AS day, ln(b.close / ev.anchor_price) AS r
     FROM ev JOIN sessions a ON a.day = ev.anchor_day, (VALUES (1), (5), (20)) z(h) LEFT JOIN sessions b ON b.i = a.i + h)"""
 
@@ -23,18 +23,13 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.daily(spark, sf_dir).select(F.col("d").alias("day"), F.col("v").alias("close"), (F.col("n") % 17 != 0).alias("complete"))
 
 
-def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as an event."""
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").cast("date").alias("anchor_day"), F.col("o_totalprice").alias("anchor_price"))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders of ANCHORS."""
-    return _every(spark, sf_dir).where("event_id % 10 = 0")
-
-
-def _targets(spark: SparkSession, sf_dir: str, e: DataFrame | None = None) -> DataFrame:
-    e = _events(spark, sf_dir) if e is None else e
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
     return events.session_targets(e, _sessions(spark, sf_dir), (1, 5, 20)).join(e.select("event_id", "kind", "anchor_day"), "event_id")
 
 
@@ -64,8 +59,8 @@ def regime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.summary(rows, ["kind", "regime", "horizon"], "log_ret").select("kind", "regime", "horizon", "n", *(F.round(c, 8).alias(c) for c in ("mean", "median", "positive_share")), "n_overlapping")
 
 
-HISTORY = DAILY + """, hist AS (SELECT d AS available_at, CAST(row_number() OVER (ORDER BY d) AS BIGINT) AS obs_id, v AS share FROM daily WHERE day(d) % 7 = 0),
-    e AS (SELECT d AS at, CAST(row_number() OVER (ORDER BY d) AS BIGINT) AS event_id FROM daily WHERE day(d) % 5 = 0),
+HISTORY = DAILY + """, hist AS (SELECT d AS available_at, CAST(row_number() OVER (ORDER BY d) AS BIGINT) AS obs_id, v AS share FROM daily),
+    e AS (SELECT d AS at, CAST(row_number() OVER (ORDER BY d) AS BIGINT) AS event_id FROM daily),
     k AS (SELECT a.obs_id, a.available_at, count(*) AS history, (count(*) FILTER (b.share < a.share) + 0.5 * count(*) FILTER (b.share = a.share)) / count(*) AS percentile FROM hist a JOIN hist b ON b.obs_id <= a.obs_id AND b.obs_id > a.obs_id - 52 GROUP BY 1, 2)"""
 
 
@@ -74,19 +69,19 @@ HISTORY = DAILY + """, hist AS (SELECT d AS available_at, CAST(row_number() OVER
 def position_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = data.daily(spark, sf_dir)
     number = F.row_number().over(Window.orderBy("d")).cast("long")
-    history = d.where("day(d) % 7 = 0").select(F.col("d").alias("available_at"), number.alias("obs_id"), F.col("v").alias("share"))
-    e = d.where("day(d) % 5 = 0").select(F.col("d").alias("at"), number.alias("event_id"))
+    history = d.select(F.col("d").alias("available_at"), number.alias("obs_id"), F.col("v").alias("share"))
+    e = d.select(F.col("d").alias("at"), number.alias("event_id"))
     return events.trailing_percentile(e, history, "share").select(F.col("at").cast("string").alias("at"), F.round("percentile", 8).alias("percentile"), "regime")
 
 
-@query(f"""WITH {DAILY}, b AS (SELECT d, v / lag(v, 20) OVER (ORDER BY d) - 1 AS trend FROM daily WHERE n % 17 <> 0), e AS (SELECT d AS at FROM daily WHERE day(d) % 5 = 0)
+@query(f"""WITH {DAILY}, b AS (SELECT d, v / lag(v, 20) OVER (ORDER BY d) - 1 AS trend FROM daily WHERE n % 17 <> 0), e AS (SELECT d AS at FROM daily)
     SELECT CAST(e.at AS VARCHAR) AS at, round(trend, 8) AS trend, CASE WHEN trend IS NULL THEN 'insufficient' WHEN trend > 0 THEN 'up' ELSE 'down' END AS regime FROM e ASOF LEFT JOIN b ON e.at >= b.d""")
 def trend_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.temporal import as_of
+    from ..operators.temporal import as_of_bucketed
 
     d = data.daily(spark, sf_dir)
     b = d.where("n % 17 <> 0").select("d", (F.col("v") / F.lag("v", 20).over(Window.orderBy("d")) - 1).alias("trend"))
-    out = as_of(d.where("day(d) % 5 = 0").select(F.col("d").alias("at")), b, "at", "d", ["trend"])
+    out = as_of_bucketed(d.select(F.col("d").alias("at")), b, "at", "d", ["trend"], F.year)
     return out.select(F.col("at").cast("string").alias("at"), F.round("trend", 8).alias("trend"), F.when(F.col("trend").isNull(), "insufficient").when(F.col("trend") > 0, "up").otherwise("down").alias("regime"))
 
 
@@ -111,16 +106,16 @@ def multiple_testing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("k", "p", F.round("q", 8).alias("q"), F.when(F.col("p").isNotNull(), F.round(inference.bonferroni(F.col("p"), 25), 8)).alias("bonferroni"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT CAST(user_id % 40 AS BIGINT) AS g, count(*) FILTER (value > 30) AS k, count(*) AS n FROM events WHERE user_id < 60 AND event_id % 4 = 0 GROUP BY 1),
-    t AS (SELECT g, k, n, 0 AS i, pow(0.5::DOUBLE, n) AS term FROM n UNION ALL SELECT g, k, n, i + 1, term * (n - i) / (i + 1) FROM t WHERE i < least(k, n - k)) SELECT g, k, n, round(least(1.0, 2 * sum(term)), 8) AS p FROM t GROUP BY g, k, n""")
+@query("""WITH n AS (SELECT CAST(user_id % 40 AS BIGINT) AS g, count(*) FILTER (value > 30) AS k, count(*) AS n FROM events GROUP BY 1), t AS (SELECT *, unnest(range(0, least(k, n - k) + 1)) AS i FROM n)
+    SELECT g, k, n, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE)))), 8) AS p FROM t GROUP BY g, k, n""")
 def sign_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "events").where("user_id < 60 and event_id % 4 = 0").groupBy((F.col("user_id") % 40).cast("long").alias("g")).agg(F.count_if(F.col("value") > 30).alias("k"), F.count("*").alias("n"))
+    n = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).cast("long").alias("g")).agg(F.count_if(F.col("value") > 30).alias("k"), F.count("*").alias("n"))
     return n.select("g", "k", "n", F.round(sign_test(F.col("k"), F.col("n")), 8).alias("p"))
 
 
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _targets(spark, sf_dir, _every(spark, sf_dir)).where("status = 'complete' and horizon = 20")
+    rows = _targets(spark, sf_dir).where("status = 'complete' and horizon = 20")
     return inference.bootstrap_mean(rows, ["kind"], ["anchor_day", "event_id"], "log_ret", 1000)
 
 
@@ -211,7 +206,7 @@ def memory_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matrix(spark, sf_dir).withColumn("s", F.lit(0))
     memories = ["m1", "m2"]
     for name, c in zip(memories, FEATURES[:2], strict=True):
-        m = m.join(features.ema(m.select("s", "d", c), "s", "d", c, 10.0, name).select("d", name), "d")
+        m = m.join(features.ema(m.select("s", "d", c), "s", "d", c, 10.0, name, F.year).select("d", name), "d")
     stats = linear.gram(linear.folds(m, "d", "y_end", 3).withColumn("target", F.lit("y")), ["target", "year", "role"], [*FEATURES, *memories], "y")
     out = linear.walk_forward(stats, [*FEATURES, *memories], PENALTIES, {"without_memory": FEATURES}, minimum=SMALL)
     return out.groupBy("variant").agg(F.avg("mse").alias("mse"), F.count("*").alias("years"), F.count_if(F.col("mse") < F.col("mse_mean")).alias("better_than_mean"))

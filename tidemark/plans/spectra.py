@@ -25,10 +25,12 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORR = "CASE WHEN count(*) >= 3 AND var_pop({x}) > 1e-18 AND var_pop({y}) > 1e-18 THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END"
 
 
-@query(f"WITH {CHANGES}, b AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS bin) SELECT bin, round(sum(f * cos(-2 * pi() * ((i * bin) % 128) / 128)), 6) AS re, round(sum(f * sin(-2 * pi() * ((i * bin) % 128) / 128)), 6) AS im FROM c, b WHERE i < 128 GROUP BY bin")
+@query(f"WITH {CHANGES}, b AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS bin) SELECT CAST(i // 128 AS INTEGER) AS w, bin, round(sum(f * cos(-2 * pi() * ((i * bin) % 128) / 128)), 6) AS re, round(sum(f * sin(-2 * pi() * ((i * bin) % 128) / 128)), 6) AS im FROM c, b GROUP BY 1, 2")
 def fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spectral.dft(changes(spark, sf_dir).where("i < 128"), ["s"], "f", 128, list(range(64)))
-    return out.select("bin", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+    """All changes in stretches of 128; the last one is filled up with zeros."""
+    stretches = changes(spark, sf_dir).withColumns({"w": F.expr("int(i div 128)"), "i": F.expr("int(i % 128)")})
+    out = spectral.dft(stretches, ["s", "w"], "f", 128, list(range(64)))
+    return out.select("w", "bin", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 
 WELCH = CHANGES + """, w AS (SELECT c.*, CAST(k AS INTEGER) AS w, CAST(i - k * 32 AS INTEGER) AS j FROM c, range(0, 1000) t(k) WHERE i >= k * 32 AND i < k * 32 + 64),
@@ -111,7 +113,7 @@ def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     out_at = temporal.local_instant(F.col("d"), "09:00", "Asia/Tokyo", 1)
     cutoff = temporal.local_instant(F.col("d"), "07:00", "America/New_York")
     known = c.select("s", F.col("i").alias("source"), F.col("f").alias("known"), out_at.alias("out_at"))
-    return temporal.as_of(c.withColumn("cutoff", cutoff), known, "cutoff", "out_at", ["source", "known"], ["s"], strict=True, order=["source"])
+    return temporal.as_of_bucketed(c.withColumn("cutoff", cutoff), known, "cutoff", "out_at", ["source", "known"], F.year, ["s"], strict=True, order=["source"])
 
 
 TIMING = CHANGES + """, o AS (SELECT i AS source, f AS known, timezone('UTC', timezone('Asia/Tokyo', (d + 1)::TIMESTAMP + INTERVAL 9 HOUR)) AS out_at FROM c), g AS (SELECT *, timezone('UTC', timezone('America/New_York', d::TIMESTAMP + INTERVAL 7 HOUR)) AS cutoff FROM c),
