@@ -1,8 +1,8 @@
 """Quality rules: hashed word and character n-grams under a calibrated logistic regression.
 
 Rules that need no labels (length, repetition) come first. The verdict on the rest is a logistic
-regression over relative frequencies of hashed word 1- and 2-grams, word-shape 2-grams and byte 3- and
-4-grams, trained on labelled quality rows, calibrated on a part of the sample that it did not learn from, and
+regression over relative frequencies of hashed word 1- and 2-grams, word-shape 2-grams and character 3- and
+4-grams (code points), trained on labelled quality rows, calibrated on a part of the sample that it did not learn from, and
 compared with a fixed threshold. Scoring goes by Arrow batches.
 """
 
@@ -29,25 +29,26 @@ KEEP_FROM = 0.3
 #: Fixed values of the base rules.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = "[#*$%&|<>]"
+#: Distinct words of which three number a 3-word window in 63 bits.
+MOST_CODES = 2_000_000
 
 
 def bucket(hashes: np.ndarray, family: int) -> np.ndarray:
     return (mix(hashes + np.uint64(family)) >> np.uint64(64 - BITS)).astype(np.int64) + (family << BITS)
 
 
-def byte_grams(data: np.ndarray, width: int) -> np.ndarray:
-    n = len(data) - width + 1
+def character_grams(points: np.ndarray, width: int, family: int) -> np.ndarray:
+    """Buckets of the ``width`` consecutive code points that start at each place."""
+    n = len(points) - width + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint32)
-    for j in range(width):
-        out = (out << np.uint32(8)) | data[j : j + n]
-    return out.astype(np.uint64)
-
-
-def bucket_bytes(codes: np.ndarray, family: int) -> np.ndarray:
-    """Byte n-grams hash by one multiplication; they fit in 32 bits."""
-    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64) + (family << BITS)
+        return np.empty(0, np.int64)
+    out = points[:n].astype(np.uint64)
+    for j in range(1, width):
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out += points[j : j + n]
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out >>= np.uint64(64 - BITS)
+    return out.astype(np.int64) + (family << BITS)
 
 
 def shapes(codes: np.ndarray, lengths: np.ndarray, plain: np.ndarray) -> np.ndarray:
@@ -74,8 +75,8 @@ def featurise(text: pa.Array) -> Iterator[tuple[int, str, np.ndarray, list[np.nd
             word_part = [bucket(h, 0), bucket(grams(h, 2), 1), bucket(grams(shapes(own, lengths[own], plain[own]), 2), 2)]
         else:
             word_part = [np.empty(0, np.int64)] * 3
-        data = np.frombuffer(one.encode("utf-8"), np.uint8)
-        yield i, one, own, [*word_part, bucket_bytes(byte_grams(data, 3), 3), bucket_bytes(byte_grams(data, 4), 4)]
+        points = np.frombuffer(one.encode("utf-32-le"), np.uint32)
+        yield i, one, own, [*word_part, character_grams(points, 3, 3), character_grams(points, 4, 4)]
 
 
 def margin(weights: np.ndarray, families: list[np.ndarray]) -> float:
@@ -126,7 +127,10 @@ def base_counts(text: str, codes: np.ndarray) -> tuple[int, int, int]:
     repeat = 0
     if n >= 4:
         wide = np.int64(codes.max()) + 1
-        tri = (codes[:-2] * wide + codes[1:-1]) * wide + codes[2:]
+        pair = codes[:-2] * wide + codes[1:-1]
+        if wide > MOST_CODES:  # three codes would not fit in 63 bits; the ranks of pairs do
+            pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        tri = pair * wide + codes[2:]
         _, inverse, counts = np.unique(tri, return_inverse=True, return_counts=True)
         again = counts[inverse] > 1
         if again.any():
