@@ -91,8 +91,8 @@ def chains(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(rows)))
 
 
-def forward_backward(score: np.ndarray, trans: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the good state by line, and the expected counts of the four transitions of each line with the next.
+def forward_backward(score: np.ndarray, trans: np.ndarray, rows: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the good state by line, and (with ``pairs``) the expected counts of the four transitions of each line with the next.
 
     ``score`` is the good state's advantage. Chains are walked together, position by position, in the order of their lengths.
     """
@@ -117,7 +117,9 @@ def forward_backward(score: np.ndarray, trans: np.ndarray, rows: np.ndarray) ->
         beta[at] = b / b.sum(1, keepdims=True)
     both = alpha * beta
     both /= both.sum(1, keepdims=True)
-    pair = np.zeros((m, 2, 2))
+    pair = np.zeros((m if pairs else 0, 2, 2))
+    if not pairs:
+        return both[:, 1], pair
     inner = np.flatnonzero(rows[1:] == rows[:-1]) if m > 1 else np.empty(0, np.int64)
     if len(inner):
         p = alpha[inner][:, :, None] * t[None] * (emit[inner + 1] * beta[inner + 1])[:, None, :]
@@ -164,7 +166,7 @@ def fit(texts_: list[str], labels: np.ndarray) -> dict[str, np.ndarray]:
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * g
             moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * g * g
             p -= RATE * (moments[2 * k] / (1 - 0.9**step)) / (np.sqrt(moments[2 * k + 1] / (1 - 0.99**step)) + 1e-8)
-    marginal, _ = forward_backward(x @ w, trans, rows)
+    marginal, _ = forward_backward(x @ w, trans, rows, pairs=False)
     score = document_scores(marginal, weight, rows, len(labels), 0.5)
     return {"w": w, "trans": trans, "curve": np.array(platt(logit(score[learn:]), labels[learn:])), "empty": np.array(0.5)}
 
@@ -188,7 +190,7 @@ def score_lines(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
         for batch in slices(batches):
             lines, rows = lines_of(texts(batch))
             n = batch.num_rows
-            marginal, _ = forward_backward(features(lines, rows) @ m["w"], m["trans"], rows)
+            marginal, _ = forward_backward(features(lines, rows) @ m["w"], m["trans"], rows, pairs=False)
             weight = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(float)
             raw = document_scores(marginal, weight, rows, n, float(m["empty"]))
             score = sigmoid(m["curve"][0] * logit(raw) + m["curve"][1])

@@ -11,34 +11,46 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trained_fold
+from .common import slices, trained_fold
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """(label, text) of a bounded sample of labelled documents outside the held-out fold.
 
-    Null labels and ids are left out; of several labels of an id the largest counts. The sample's
+    Null labels and ids are left out; of several labels of an id the largest counts, of several texts the first in order. The sample's
     ids are broadcast: there are ``limit`` of them at most.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & trained_fold()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    return sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit)
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def fit_in_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Run ``fit`` over the bounded sample in one task and return its arrays. The task can be run again anywhere. Without labelled rows ``fit`` gets none."""
+#: Bytes of text that a fit reads, at most.
+TRAINING_BYTES = 64 << 20
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], dict[str, np.ndarray]], max_bytes: int = TRAINING_BYTES) -> dict[str, np.ndarray]:
+    """Run ``fit`` over the bounded sample in one task and return its arrays. The task can be run again anywhere. Without labelled rows ``fit`` gets none.
+
+    A text that no longer fits in ``max_bytes`` of those before it (in the sample's order) is not learned from, so very long texts do not fill the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
         labels: list[int] = []
-        for batch in batches:
-            texts += batch.column("text").to_pylist()
-            labels += batch.column("label").to_pylist()
+        room = max_bytes
+        for batch in slices(batches):
+            for text, label, size in zip(batch.column("text"), batch.column("label").to_pylist(), pc.binary_length(batch.column("text")).to_pylist(), strict=True):
+                if size <= room:
+                    room -= size
+                    texts.append(text.as_py())
+                    labels.append(label)
         held = io.BytesIO()
         np.savez(held, **fit(texts, np.array(labels, dtype=np.float64)))
         yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], ["model"])
