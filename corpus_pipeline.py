@@ -6,12 +6,12 @@ columns of ``documents``; the last returns the encoded corpus.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.folders import shared_folder
 from tidemark.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
 from tidemark.llm.common import table
 from tidemark.llm.queries import tokenizer
@@ -55,8 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``. What a stage returns is written as Parquet beside the checkpoints and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

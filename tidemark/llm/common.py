@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import cut, shared_folder
+
 #: ASCII white space, the only word separators of the operators here.
 SPACE = " \t\n\r\x0b\x0c"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -27,31 +28,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and written stages that the session names in ``spark.checkpoint.dir``.
-
-    Where none is set, a local master gets a temporary one; on a cluster that would be a folder of the driver alone, so it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="spark-ckpt-")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names (``shared_folder``)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder. Unlike a checkpoint it takes its size from its files: the sizes that are
     estimated for joins are products, which in a loop soon have more digits than the planner can multiply."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
