@@ -2,18 +2,21 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import byte_bpe, decontaminate, line_dedup, ngram_join, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity
+from tidemark.llm import byte_bpe, decontaminate, line_dedup, ngram_join, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity, training
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -137,6 +140,7 @@ def test_iban_ends_before_the_next_word():
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(5)
     items = [(i, prose(rng, rng.randint(5, 40))) for i in range(12)] + [(20, "tiny item"), (21, ""), (22, None), (None, "no id")]
+    items += [(30, prose(rng, 60)), (31, prose(rng, 100)), (32, "again and " * 50), (33, prose(rng, 150))]
     rows = []
     for i in range(60):
         body = prose(rng, 120)
@@ -148,6 +152,15 @@ def test_decontamination_against_brute_force(spark):
         if i == 7:
             body += " Tiny ITEM end"
         rows.append((i, body, "en", "s", 0))
+    for i in range(12):  # shorter than the item, by one word left out or an end cut off
+        own = items[i][1].split()
+        rows.append((100 + i, " ".join(own[:-1]), "en", "s", 0))
+        rows.append((120 + i, " ".join(own[: len(own) // 2] + own[len(own) // 2 + 1 :]), "en", "s", 0))
+    for i in range(60):  # about the threshold, in long items
+        own = items[16 + i % 4][1].split()
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(len(own))] = "changed"
+        rows.append((200 + i, f"{prose(rng, 7)} {' '.join(own)} {prose(rng, 9)}", "en", "s", 0))
     docs = spark.createDataFrame(rows, SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_contamination(docs, bench).collect()}
@@ -162,9 +175,10 @@ def test_decontamination_against_brute_force(spark):
             a = Counter(tuple(own[j : j + k]) for j in range(len(own) - k + 1))
             n = sum(a.values())
             all_ = [tuple(words[j : j + k]) for j in range(len(words) - k + 1)]
-            best = max((sum((Counter(all_[s : s + n]) & a).values()) for s in range(len(all_) - n + 1)), default=0)
-            if best / (2 * n - best) >= 0.8:
-                expected[(d, i)] = best / (2 * n - best)
+            m = min(n, len(all_))
+            best = max((sum((Counter(all_[s : s + m]) & a).values()) for s in range(len(all_) - m + 1)), default=0)
+            if best / (m + n - best) >= 0.8:
+                expected[(d, i)] = best / (m + n - best)
     assert got.keys() == expected.keys() and (7, 20) in got
     assert all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
     kept = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
@@ -254,9 +268,10 @@ def test_similar_classes_against_brute_force(spark):
     assert [got[i] for i, _ in rows] == brute_classes(rows)
 
 
-def test_similar_classes_of_large_blocks(spark, monkeypatch):
-    """The chunked comparison gives what the small blocks give."""
-    monkeypatch.setattr(ngram_join, "SMALL", 2)
+@pytest.mark.parametrize("worth", [0, 1 << 40])
+def test_similar_classes_of_large_blocks(spark, monkeypatch, worth):
+    """Chunks against chunks, with or without further rounds of stars."""
+    monkeypatch.setattr(ngram_join, "WORTH", worth)
     monkeypatch.setattr(ngram_join, "CHUNK", 4)
     monkeypatch.setattr(ngram_join, "STAR", 3)
     rng = random.Random(12)
@@ -272,6 +287,32 @@ def test_similar_classes_of_large_blocks(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == brute_classes(rows)
 
 
+def test_similar_classes_away_from_the_first_pivot(spark, monkeypatch):
+    """A large group about one text that is not there: most pairs are below the threshold, so no pivot links many."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 32)
+    rng = random.Random(21)
+    base = prose(rng, 200).split()
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randint(3, 5)):
+            w[rng.randrange(len(w))] = f"u{rng.randint(0, 10**9)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_classes(docs).collect()}
+    expected = brute_classes(rows)
+    assert [got[i] for i, _ in rows] == expected
+    assert 1 < len({c for _, c in expected}) < 260
+
+
+def test_one_of_each_does_not_depend_on_the_order(spark):
+    text = "the same words in every one of these rows"
+    rows = [(7, text, "en", s, 1) for s in ("c", "a", "b")] + [(7, text, None, "z", 1), (8, text, "en", "a", 1)]
+    for order in (rows, rows[::-1]):
+        one = ngram_join.one_of_each(spark.createDataFrame(order, SCHEMA).repartition(3)).collect()
+        assert [(r.doc_id, r.lang, r.source) for r in one] == [(7, None, "z")]
+
+
 def test_every_candidate_is_in_a_star(spark):
     """Node 1 is its own pivot, and nodes 2 and 3 prefer better connected ones."""
     blocks = [(1, 2)] * 2 + [(1, 3)] * 2 + [(2, 4), (3, 5)] + [(4, 6)] * 4 + [(5, 7)] * 4
@@ -336,7 +377,7 @@ def test_line_dedup_against_brute_force(spark):
                 keep.append(line)
                 continue
             w = w.split(" ")
-            if not any(w == o or (min(len(w), len(o)) >= 8 and one_word_apart(w, o)) for o in seen):
+            if not any(w == o or (min(len(w), len(o)) >= 5 and one_word_apart(w, o)) for o in seen):
                 keep.append(line)
             seen.append(w)
         expected[i] = "\n".join(keep)
@@ -429,6 +470,82 @@ def test_classifiers(spark, module, label, monkeypatch):
     assert all(0 <= r.score <= 1 for r in score(odd(spark), empty).collect())
 
 
+def test_toxicity_weights_against_plain_ftrl(monkeypatch):
+    """Coordinate by coordinate, with dictionaries and no arrays."""
+    monkeypatch.setattr(toxicity, "L1", 0.3)
+    rng = random.Random(23)
+    texts = [prose(rng, rng.randint(0, 12)) + (" vile" * rng.randint(1, 2) if i % 2 else "") for i in range(30)]
+    y = np.array([i % 2 for i in range(30)], dtype=float)
+    got = toxicity.fit(texts, y, epochs=2)
+    rows = [[*x.tolist(), toxicity.BIAS] for x in toxicity.featurise(pa.array(texts))]
+    z, n = Counter(), Counter()
+
+    def weight(c):
+        limit = 0 if c == toxicity.BIAS else 0.3
+        return 0.0 if abs(z[c]) <= limit else -(z[c] - math.copysign(limit, z[c])) / ((toxicity.BETA + math.sqrt(n[c])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for i in order.permutation(30).tolist():
+            w = {c: weight(c) for c in rows[i]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y[i]
+            for c in rows[i]:
+                step = (math.sqrt(n[c] + g * g) - math.sqrt(n[c])) / toxicity.ALPHA
+                z[c] += g - step * w[c]
+                n[c] += g * g
+    expected = {c: weight(c) for c in z if weight(c)}
+    assert got["ids"].tolist() == sorted(expected)
+    assert np.allclose(got["weights"], [expected[c] for c in got["ids"].tolist()], atol=1e-6)
+
+
+def test_toxicity_features_are_the_ngrams_and_skipgrams():
+    (x,) = toxicity.featurise(pa.array(['One, "two" THREE four']))
+    (same,) = toxicity.featurise(pa.array(["one two three four"]))
+    assert x.tolist() == same.tolist() and len(x) == 4 + 3 + 2
+
+
+def test_quality_ngrams_are_of_code_points():
+    text = "añb añb 日本語"
+    *_, families = next(quality_rules.featurise(pa.array([text])))
+    for x, width in zip(families[3:], (3, 4)):
+        own = [text[i : i + width] for i in range(len(text) - width + 1)]
+        assert len(x) == len(own) and len(set(x.tolist())) == len(set(own))
+        assert all((x[i] == x[j]) == (own[i] == own[j]) for i in range(len(own)) for j in range(i))
+
+
+def test_quality_counts_with_many_distinct_words(monkeypatch):
+    codes = np.array([5, 6, 7, 5, 6, 7, 8, 9, 1, 2, 9, 1, 2])
+    expected = quality_rules.base_counts("", codes)
+    monkeypatch.setattr(quality_rules, "MOST_CODES", 0)
+    assert quality_rules.base_counts("", codes) == expected and expected[1] == 12
+
+
+def test_quality_model_learns_and_calibrates():
+    rng = random.Random(29)
+    texts = [prose(rng, 60) if i % 2 else "### buy | now ### " * 20 for i in range(100)]
+    y = np.array([float(i % 2) for i in range(100)])
+    model = quality_rules.fit(texts, y)
+    slope, shift = model["curve"]
+    score = [1 / (1 + math.exp(-(slope * quality_rules.margin(model["weights"], f) + shift))) for *_, f in quality_rules.featurise(pa.array(texts))]
+    assert min(s for s, t in zip(score, y) if t) > 0.8 and max(s for s, t in zip(score, y) if not t) < 0.2
+
+
+def test_document_scores_weigh_lines_by_length():
+    got = quality_crf.document_scores(np.array([0.2, 0.8, 0.5]), np.array([10.0, 30.0, 7.0]), np.array([0, 0, 2]), 3, 0.4)
+    assert np.allclose(got, [(2 + 24) / 40, 0.4, 0.5])
+
+
+def test_training_sample_has_one_text_an_id(spark):
+    docs = spark.createDataFrame([(i % 7, f"text {i}", "en", "s", 0) for i in range(70)] + [(8, "x" * 5000, "en", "s", 0)], SCHEMA)
+    given = spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    rows = training.training_rows(docs, given, "quality", 100).collect()
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids)) and all(zlib.crc32(str(i).encode()) % 5 for i in ids)
+    assert all(r.text == min(f"text {i}" for i in range(70) if i % 7 == r.doc_id) for r in rows if r.doc_id < 7)
+    seen = training.fit_in_task(training.training_rows(docs, given, "quality", 100), lambda t, y: {"bytes": np.array(sum(map(len, t)))}, max_bytes=1000)
+    assert 0 < int(seen["bytes"]) <= 1000
+
+
 def test_field_marginals_against_enumeration():
     rng = np.random.default_rng(2)
     score, trans = rng.normal(size=5), rng.normal(size=(2, 2))
