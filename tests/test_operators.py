@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns
-from tidemark.operators import bars, events, features, graph, inference, linear, quality, spectral, temporal
+from tidemark.operators import audits, bars, events, features, graph, inference, linear, quality, spectral, temporal
 from tidemark.plans import research
 from tidemark.plans.knowledge import cut
 from tidemark.streaming import bars as streaming
@@ -338,3 +338,30 @@ def test_bucketed_as_of_equals_the_plain_one(spark):
         dealt = temporal.as_of_bucketed(grid, rec, "t", "a", ["v"], lambda c: F.floor(c / 50), ["k"], strict=strict)
         assert dealt.columns == plain.columns
         assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_checks_fail_closed(spark):
+    rows = spark.createDataFrame([(1, "EUR", "UTC"), (2, "EUR", None)], "k int, unit string, zone string")
+    peers = spark.createDataFrame([(1, "x")], "k int, v string")
+    with pytest.raises(Exception, match="no peer for"):
+        audits.with_peer(rows, peers, ["k"], ["v"]).collect()
+    assert [r.v for r in audits.with_peer(rows.where("k = 1"), peers, ["k"], ["v"]).collect()] == ["x"]
+    assert audits.require_contract(rows, {"unit": "EUR"}).count() == 2
+    with pytest.raises(ValueError, match="zone"):
+        audits.require_contract(rows, {"unit": "EUR", "zone": "UTC"})
+    same = audits.set_relation(rows, rows.unionByName(rows), ["k"]).first()
+    assert (same.only_a, same.only_b, same.shared, same.is_equal, same.is_subset, same.is_disjoint) == (0, 0, 2, True, True, False)
+    frames, status = audits.isolated(spark, {"good": lambda: rows, "empty": lambda: rows.limit(0), "gone": lambda: spark.read.parquet("/nowhere/at/all")})
+    assert set(frames) == {"good"} and {(r.source, r.status, r.rows) for r in status.collect()} == {("good", "READY", 2), ("empty", "UNAVAILABLE", 0), ("gone", "UNAVAILABLE", 0)}
+
+
+def test_chronological_windows_end_with_the_series(spark):
+    numbered = spark.range(23).select(F.col("id").cast("int").alias("i"))
+    found = {(r["mode"], r["first"], r["past"]): r["count"] for r in audits.chronological_windows(numbered, 10, 6, 8, 9).groupBy("mode", "first", "past").count().collect()}
+    assert found == {("rolling", 0, 10): 10, ("rolling", 6, 16): 10, ("rolling", 12, 22): 10, ("rolling", 13, 23): 10, ("expanding", 0, 8): 8, ("expanding", 0, 17): 17, ("expanding", 0, 23): 23}
+    assert audits.chronological_windows(numbered.limit(5), 10, 6, 8, 9).count() == 0
+
+
+def test_archive_plan(spark):
+    spans = spark.createDataFrame([(D(2004, 1, 1), D(2008, 5, 1)), (D(2008, 1, 1), D(2007, 1, 1)), (D(2001, 1, 1), D(2002, 1, 1))], "start date, end date")
+    assert sorted(r.period for r in audits.archive_plan(spans, 2005, 2006).collect()) == ["2005-2006", "2007", "2008"]

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import bars, features
-from .plans import data, knowledge, market, payloads, reports, research, spectra
+from .plans import checks, data, knowledge, market, payloads, reports, research, spectra
 from .plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (market, research, spectra, knowledge, payloads, reports)
+MODULES = (market, research, spectra, knowledge, payloads, reports, checks)
 
 
 def queries() -> dict[str, Query]:

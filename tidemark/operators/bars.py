@@ -33,6 +33,14 @@ def session_bars(hourly: DataFrame, expected: int = 24) -> DataFrame:
     return out.withColumn("hours_expected", F.lit(expected).cast("long")).withColumn("complete", F.col("hours_present") == F.col("hours_expected"))
 
 
+def calendar_bars(hourly: DataFrame, holidays: DataFrame) -> DataFrame:
+    """``session_bars`` with the expected hours of the calendar: a session is complete with the hours that holidays leave it."""
+    days = session_bars(hourly).drop("hours_expected", "complete")
+    hours = expected_hours(days.select("session_date"), holidays).groupBy("session_date").agg(F.count("*").alias("hours_expected"))
+    out = days.join(hours, "session_date", "left").withColumn("hours_expected", F.coalesce("hours_expected", F.lit(0).cast("long")))
+    return out.withColumn("complete", F.col("hours_present") >= F.col("hours_expected"))
+
+
 def decode_deltas(candles: DataFrame, by: str) -> DataFrame:
     """Running values of delta-encoded integer units: (by, pos, delta, multiplier, base) to a price.
 
