@@ -15,8 +15,9 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, line_dedup, ngram_join, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity, training
+from tidemark.llm import byte_bpe, common, decontaminate, line_dedup, ngram_join, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity, training
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -228,6 +229,29 @@ def test_substring_dedup_odd_rows(spark):
         assert sorted(r.n_words for r in rows) == sorted(len((d.text or "").split()) for d in docs.collect())
 
 
+def test_operators_without_bitmaps(spark, monkeypatch):
+    """Where the keys are too many for a bitmap, everything goes through the shuffles and the results are the same."""
+    rng = random.Random(31)
+    passage = prose(rng, 50)
+    texts = [prose(rng, rng.randint(0, 90)) + "\n" + prose(rng, 9) for _ in range(25)] + [f"{prose(rng, 9)} {passage} {prose(rng, 9)}\n{prose(rng, 12)}" for _ in range(12)]
+    texts += [t.replace(t.split()[2], "other", 1) for t in texts[-12:]] + [texts[3], None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    runs = (lambda: substring_dedup.dedup_substrings(docs, hot=4), lambda: line_dedup.dedup_lines(docs), lambda: ngram_join.similar_classes(docs).select("doc_id", "n_shingles", "component_id"))
+    before = [sorted(map(str, run().collect())) for run in runs]
+    for module in (substring_dedup, line_dedup, ngram_join, common):
+        monkeypatch.setattr(module, "key_bitmap", lambda keys, key: None)
+    assert [sorted(map(str, run().collect())) for run in runs] == before
+
+
+def test_key_bitmap_knows_its_keys(spark):
+    keys = spark.range(0, 40000).selectExpr("xxhash64(id) AS k")
+    asked = common.with_bitmap(spark.range(0, 80000).selectExpr("id", "xxhash64(id) AS k"), "k", common.key_bitmap(keys, "k"))
+    counts = {r.known: (r.n, r.yes) for r in asked.selectExpr("id < 40000 AS known", "maybe").groupBy("known").agg(F.count("*").alias("n"), F.count_if("maybe").alias("yes")).collect()}
+    assert counts[True] == (40000, 40000) and counts[False][1] < 40000 / 10
+    assert common.key_bitmap(keys, "k", 1 << 16) is None
+    assert not common.with_bitmap(keys.limit(5), "k", common.key_bitmap(keys.limit(0), "k")).where("maybe").collect()
+
+
 def brute_classes(rows):
     sets = []
     for _, t in rows:
