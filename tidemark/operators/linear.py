@@ -69,7 +69,7 @@ def ridge(m: Moments, use: Sequence[int], penalty: float) -> np.ndarray:
     return out
 
 
-def elastic_net(m: Moments, use: Sequence[int], alpha: float, l1_ratio: float, rounds: int = 5000, tolerance: float = 1e-10) -> np.ndarray:
+def elastic_net(m: Moments, use: Sequence[int], alpha: float, l1_ratio: float, rounds: int = 20000, tolerance: float = 1e-8) -> np.ndarray:
     """Cyclic coordinate descent on the standardised Gram matrix for 1/(2n) |y - Xw|^2 + alpha (l1 |w|_1 + (1 - l1)/2 |w|^2). Not converging is an error."""
     k = len(m.mean)
     use = list(use)
@@ -188,9 +188,9 @@ def walk_forward(stats: DataFrame, features: Sequence[str], penalties: Sequence[
     return stats.groupBy("target", "year").applyInPandas(solve, schema)
 
 
-def predict(rows: DataFrame, models: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Adds ``prediction`` to the rows of each model's test year: a sum of products, in the JVM."""
-    joined = rows.join(F.broadcast(models.select("year", "variant", "coefficients")), "year")
+def predict(rows: DataFrame, models: DataFrame, features: Sequence[str], by: Sequence[str] = ("year",)) -> DataFrame:
+    """Adds ``prediction`` to the rows of each model's fold (``by``): a sum of products, in the JVM."""
+    joined = rows.join(F.broadcast(models.select(*by, "variant", "coefficients")), list(by))
     value = F.get("coefficients", F.lit(0))
     for i, c in enumerate(features):
         value = value + F.get("coefficients", F.lit(i + 1)) * F.col(c)
@@ -203,3 +203,10 @@ def leave_out(features: Sequence[str], blocks: dict[str, Sequence[str]]) -> dict
     if sorted(known) != sorted(features):
         raise ValueError("blocks must partition the features")
     return {f"without_{name}": [c for c in features if c not in set(members)] for name, members in blocks.items()}
+
+
+def anchored(child: DataFrame, parent: DataFrame, on: list[str], column: str, tolerance: float = 1e-9) -> DataFrame:
+    """``column`` of both tables and their difference. A key that only one of them has, or a difference over the tolerance, ends the job."""
+    both = child.select(*on, F.col(column).alias("child")).join(parent.select(*on, F.col(column).alias("parent")), on, "full_outer")
+    gap = F.abs(F.col("child") - F.col("parent"))
+    return both.select(*on, "child", "parent", F.when(gap <= tolerance, gap).otherwise(F.raise_error("differs from its parent").cast("double")).alias("difference"))

@@ -212,23 +212,6 @@ def memory_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("variant").agg(F.avg("mse").alias("mse"), F.count("*").alias("years"), F.count_if(F.col("mse") < F.col("mse_mean")).alias("better_than_mean"))
 
 
-@query()
-def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient-boosted trees for the last test year, beside the historical mean; depth-wise trees of the ML library."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(_folds(spark, sf_dir))
-    years = rows.where("role = 'test'").groupBy("year").count().where(f"count >= {SMALL[2]}").agg(F.max("year")).first()[0]
-    fit = rows.where((F.col("role") == "fit") & (F.col("year") == years))
-    if years is None or fit.isEmpty():
-        return rows.where("false").select("year", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mse"), F.lit(0.0).alias("mse_mean"))
-    model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=20, maxDepth=3, maxBins=63, stepSize=0.1, seed=42).fit(fit)
-    test = model.transform(rows.where((F.col("role") == "test") & (F.col("year") == years)))
-    mean = fit.groupBy("year").agg(F.avg("y").alias("mean"))
-    return test.join(mean, "year").groupBy("year").agg(F.count("*").alias("n"), F.avg((F.col("y") - F.col("prediction")) ** 2).alias("mse"), F.avg((F.col("y") - F.col("mean")) ** 2).alias("mse_mean"))
-
-
 @query()
 def direction_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chances of down, flat and up for each test row: the forecast plus the validation year's residuals against terciles of the fit rows."""
