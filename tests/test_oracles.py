@@ -47,8 +47,6 @@ def close(x):
     return round(x, 6) if isinstance(x, float) else tuple(map(close, x)) if isinstance(x, list) else x
 
 
-#: A tree's split depends on the order of the rows that the library samples.
-LOOSE = {"boosted_trees"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries().keys() - catalog.oracle_sql().keys()))
@@ -58,8 +56,6 @@ def test_without_sql(spark, name):
     assert rows
     for r in rows:
         assert all(math.isfinite(x) for x in r if isinstance(x, float))
-    if name in LOOSE:
-        return
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
         again = catalog.queries()[name](spark, LARGER).collect()

@@ -111,9 +111,10 @@ def weekly_positions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return releases.positions(reports, schedule, GROUPS)
 
 
-@query(f"""WITH {WEEKS}, s AS (SELECT *, report_date >= DATE '1998-01-01' AS known FROM rp) SELECT CAST(report_date AS VARCHAR) AS report_date, CAST(open_interest AS BIGINT) AS open_interest, CAST(a_long - a_short AS BIGINT) AS dealer_net, round((a_long - a_short)::DOUBLE / open_interest, 8) AS dealer_net_share,
-    round((n_long - n_short)::DOUBLE / open_interest, 8) AS manager_net_share, round((r_long - r_short)::DOUBLE / open_interest, 8) AS fund_net_share, CASE WHEN known THEN CAST(timezone('UTC', timezone('America/New_York', (report_date + 3)::TIMESTAMP + INTERVAL '15 hours 30 minutes')) AS VARCHAR) END AS scheduled_at,
-    CASE WHEN known THEN CAST(timezone('UTC', timezone('America/New_York', (report_date + 4)::TIMESTAMP)) AS VARCHAR) END AS available_at, CASE WHEN known THEN 'inferred_conservative' ELSE 'unknown' END AS time_quality FROM s""")
+@query(f"""WITH {WEEKS}, p AS (SELECT report_date + 3 AS release FROM rp WHERE report_date >= DATE '1998-01-01'), s AS (SELECT rp.*, (SELECT min(release) FROM p WHERE release > report_date AND release <= report_date + 10) AS release FROM rp)
+    SELECT CAST(report_date AS VARCHAR) AS report_date, CAST(open_interest AS BIGINT) AS open_interest, CAST(a_long - a_short AS BIGINT) AS dealer_net, round((a_long - a_short)::DOUBLE / open_interest, 8) AS dealer_net_share,
+    round((n_long - n_short)::DOUBLE / open_interest, 8) AS manager_net_share, round((r_long - r_short)::DOUBLE / open_interest, 8) AS fund_net_share, CAST(timezone('UTC', timezone('America/New_York', release::TIMESTAMP + INTERVAL '15 hours 30 minutes')) AS VARCHAR) AS scheduled_at,
+    CAST(timezone('UTC', timezone('America/New_York', (release + 1)::TIMESTAMP)) AS VARCHAR) AS available_at, CASE WHEN release IS NOT NULL THEN 'inferred_conservative' ELSE 'unknown' END AS time_quality FROM s""")
 def weekly_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = weekly_positions_of(spark, sf_dir)
     shares = [F.round(f"{g}_net_share", 8).alias(f"{g}_net_share") for g in GROUPS]
