@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..folders import shared_folder
 from ..operators import bars
-from ..sources import series
+from ..sources import releases, series
 from ..streaming import bars as streaming
 from .registry import query, table
 
@@ -102,3 +102,30 @@ def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     out.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     done = spark.read.parquet(f"{folder}/bars")
     return done.select(F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss").alias("bar_start"), "event_type", "open", "high", "low", "close", "ticks")
+
+
+# ---- release texts: pages written from the orders of each day and read back
+
+PAGES = "days AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS v FROM orders GROUP BY 1)"
+
+
+@query(f"""WITH {PAGES} SELECT CAST(d AS VARCHAR) AS d, CAST(timezone('UTC', timezone('America/New_York', d::TIMESTAMP + INTERVAL '8 hours 30 minutes')) AS VARCHAR) AS embargo, CAST(CASE n % 4 WHEN 0 THEN n WHEN 1 THEN -n ELSE 0 END AS DOUBLE) AS jobs, CASE WHEN n % 3 <> 0 THEN CASE WHEN v % 2 = 0 THEN 1 ELSE -1 END * (v % 9 + 1) / 10.0 END AS month_prices,
+    CASE WHEN n % 3 = 0 THEN CASE WHEN v % 2 = 0 THEN 1 ELSE -1 END * (v % 9 + 1) / 10.0 END AS two_month_prices, (v % 20) / 4.0 AS lower, (v % 20) / 4.0 + 0.25 AS upper, (v % 7) / 4.0 AS deposit, (v % 7) / 4.0 + 0.5 AS refinancing, (v % 7) / 4.0 + 0.75 AS lending, CAST(d + 6 AS VARCHAR) AS effective FROM days""")
+def release_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embargo, payrolls, prices of one and of two months, the target range and three key rates from the text of pages."""
+    days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("v"))
+    n, v = F.col("n"), F.col("v")
+    jobs = F.when(n % 4 == 0, F.format_string("increased by %,d", n * 1000)).when(n % 4 == 1, F.format_string("fell by %,d", n * 1000)).otherwise("was unchanged")
+    over = F.when(n % 3 == 0, F.lit("on a seasonally adjusted basis over the 2 months")).otherwise(F.date_format("d", "'in' MMMM"))
+    prices = F.format_string("%s %s percent ", F.when(v % 2 == 0, "rose").otherwise("declined"), ((v % 9 + 1) / 10).cast("string"))
+    mixed = lambda q: F.concat(F.expr(f"string({q} div 4)"), F.element_at(F.array(*map(F.lit, ("", "-1/4", "-1/2", "-3/4"))), F.expr(f"int({q} % 4) + 1")))
+    rate = lambda more: F.format_string("%s%%", ((v % 7) / 4 + more).cast("string"))
+    page = F.concat(
+        F.lit("Transmission of material in this release is embargoed until 8:30 a.m. (ET) "), F.date_format("d", "EEEE, MMMM d, yyyy"), F.lit(". Total nonfarm payroll employment "), jobs, F.date_format("d", "' in' MMMM"),
+        F.lit(". The Consumer Price Index for All Urban Consumers (CPI-U) "), prices, over, F.lit(". The Committee decided to maintain the target range for the federal funds rate at "), mixed("(v % 20)"), F.lit(" to "), mixed("(v % 20 + 1)"),
+        F.lit(" percent. The interest rates on the main refinancing operations, the marginal lending facility and the deposit facility will be "), rate(0.5), F.lit(", "), rate(0.75), F.lit(" and "), rate(0.0), F.lit(" respectively, with effect from "),
+        F.date_format(F.date_add("d", 6), "d MMMM yyyy"), F.lit("."))
+    read = days.select("d", page.alias("text")).repartition(F.col("d"))
+    t = F.col("text")
+    facts = read.select("d", releases.embargo(t).alias("embargo"), releases.payrolls(t).alias("jobs"), releases.consumer_prices(t).alias("month_prices"), releases.consumer_prices(t, 2).alias("two_month_prices"), releases.target_range(t).alias("_r"), releases.key_rates(t).alias("_k"), releases.effective_date(t).alias("_e"))
+    return facts.select(F.col("d").cast("string").alias("d"), F.date_format("embargo", "yyyy-MM-dd HH:mm:ss").alias("embargo"), "jobs", "month_prices", "two_month_prices", "_r.lower", "_r.upper", *(F.col("_k")[k].alias(k) for k in ("deposit", "refinancing", "lending")), F.col("_e").cast("string").alias("effective"))

@@ -40,11 +40,14 @@ def _words(text: Column) -> Column:
     return F.filter(bare, lambda w: w != "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _first(words: Column, test: Callable[[Column], Column], after: Column | int = 0) -> Column:
     """Place (from 1) of the first word behind ``after`` that passes; null if none does."""
-    after = F.lit(after) if isinstance(after, int) else after
-    places = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i > after) & test(F.get(words, i - 1)))
-    return F.get(places, F.lit(0))
+    return _let(F.lit(after) if isinstance(after, int) else after, lambda a: F.get(F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i > a) & test(F.get(words, i - 1))), F.lit(0)))
 
 
 def _behind(words: Column, phrase: str, last: bool = False) -> Column:
@@ -60,7 +63,7 @@ def _number(word: Column) -> Column:
 
 def _found(text: Column, fact: Callable[[Column], Column]) -> Column:
     """The first sentence's fact that is there."""
-    return F.get(F.filter(F.transform(_sentences(text), lambda s: fact(_words(s))), lambda x: x.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(F.transform(_sentences(text), _words), fact), lambda x: x.isNotNull()), F.lit(0))
 
 
 def change(text: Column, subject: str, unit: str | None = None, months: int = 1) -> Column:
@@ -69,11 +72,9 @@ def change(text: Column, subject: str, unit: str | None = None, months: int = 1)
     A number after 'changed little' brings its own sign.
     """
 
-    def fact(words: Column) -> Column:
-        verb = _first(words, lambda w: w.isin(*FALLS, *RISES, *STILL, *LITTLE), _behind(words, subject))
+    def figure(words: Column, verb: Column, at: Column) -> Column:
         said = F.get(words, verb - 1)
         still = said.isin(*STILL)
-        at = _first(words, lambda w: _number(w).isNotNull(), verb)
         size = _number(F.get(words, at - 1))
         rest = F.slice(words, F.when(said.isin(*STILL), verb).otherwise(at) + 1, F.lit(14))
         over = _behind(rest, "over the")
@@ -84,6 +85,10 @@ def change(text: Column, subject: str, unit: str | None = None, months: int = 1)
         value = F.when(still, F.coalesce(signed_still, F.lit(0.0))).when(fits, value)
         return F.when(F.coalesce(period, F.lit(1)) == months, value)
 
+    def fact(words: Column) -> Column:
+        verb = _first(words, lambda w: w.isin(*FALLS, *RISES, *STILL, *LITTLE), _behind(words, subject))
+        return _let(verb, lambda v: _let(_first(words, lambda w: _number(w).isNotNull(), v), lambda a: figure(words, v, a)))
+
     return _found(text, fact)
 
 
@@ -125,10 +130,12 @@ def _instant(day: Column, minutes: Column) -> Column:
 
 def embargo(text: Column) -> Column:
     """Naive UTC instant up to which a page says that it is embargoed, on New York's clock."""
-    words = _words(text)
-    start = _behind(words, "embargoed until")
-    minutes, zone = _clock(words, start)
-    return F.when(zone == "et", _instant(_date(words, start), minutes))
+
+    def instant(words: Column, start: Column) -> Column:
+        minutes, zone = _clock(words, start)
+        return F.when(zone == "et", _instant(_date(words, start), minutes))
+
+    return _let(_words(text), lambda words: _let(_behind(words, "embargoed until"), lambda start: instant(words, start)))
 
 
 def statement_time(text: Column) -> Column:
@@ -144,7 +151,9 @@ def target_range(text: Column) -> Column:
     """(lower, upper) of the federal funds rate, in percent; null unless 0 <= lower <= upper <= 30."""
 
     def fact(words: Column) -> Column:
-        subject = _behind(words, "target range for the federal funds rate")
+        return _let(_behind(words, "target range for the federal funds rate"), lambda subject: behind(words, subject))
+
+    def behind(words: Column, subject: Column) -> Column:
         ends = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i > subject) & (F.get(words, i) == "to") & (F.get(words, i + 2) == "percent") & mixed_fraction(F.get(words, F.greatest(i - 1, F.lit(0)))).isNotNull() & mixed_fraction(F.get(words, i + 1)).isNotNull())
         at = F.get(ends, F.lit(0))
         low, high = mixed_fraction(F.get(words, at - 1)), mixed_fraction(F.get(words, at + 1))
@@ -157,7 +166,9 @@ def key_rates(text: Column) -> Column:
     """Map of the three key rates: of the first sentence that names them all and gives three percentages, 'respectively', in the names' order."""
 
     def fact(words: Column) -> Column:
-        end = _behind(words, "respectively")
+        return _let(_behind(words, "respectively"), lambda end: before(words, end))
+
+    def before(words: Column, end: Column) -> Column:
         named = F.array(*(F.struct(_behind(F.slice(words, 1, F.coalesce(end, F.lit(0))), phrase, last=True).alias("at"), F.lit(name).alias("name")) for name, phrase in KEY_RATES.items()))
         given = F.filter(F.slice(words, F.array_min(F.transform(named, lambda x: x["at"])) + 1, F.lit(60)), lambda w: w.rlike(r"^\d+([.,]\d+)?%$"))
         values = F.transform(given, lambda w: F.translate(w, ",%", ".").cast("double"))
@@ -167,8 +178,7 @@ def key_rates(text: Column) -> Column:
 
 
 def effective_date(text: Column) -> Column:
-    words = _words(text)
-    return _date(words, _behind(words, "with effect from"), day_first=True)
+    return _let(_words(text), lambda words: _let(_behind(words, "with effect from"), lambda start: _date(words, start, day_first=True)))
 
 
 def schedule_days(html: Column) -> Column:
