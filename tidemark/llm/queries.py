@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, ngram_join, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity
+from . import byte_bpe, decontaminate, filter_audit, line_dedup, ngram_join, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity
+from .audit_sql import OP12_SQL
 from .common import documents, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -88,10 +89,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_lines(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_pii, op3_decontamination, op4_substring_dedup, op5_ngram_join, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier]
+    own = [op1_byte_bpe, op2_pii, op3_decontamination, op4_substring_dedup, op5_ngram_join, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier, op12_filter_audit]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op12_filter_audit": OP12_SQL}
