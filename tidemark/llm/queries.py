@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, filter_audit, line_dedup, ngram_join, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity
+from . import byte_bpe, decontaminate, filter_audit, line_dedup, ngram_join, periodic_runs, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity
 from .audit_sql import OP12_SQL
 from .common import documents, table
 
@@ -93,8 +95,31 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Places of the words that op13 reads: in a tenth of the documents the words from some place on repeat with a period. Ids and lengths decide; a null id changes nothing."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(documents(spark, sf_dir), repeated_tail)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.select("doc_id", "runs", "collapsed", longest.alias("m"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("m.back")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.short")).alias("period"),
+        F.expr("1000 * m.length div -m.short").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_pii, op3_decontamination, op4_substring_dedup, op5_ngram_join, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier, op12_filter_audit]
+    own = [op1_byte_bpe, op2_pii, op3_decontamination, op4_substring_dedup, op5_ngram_join, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier, op12_filter_audit, op13_periodic_runs]
     return {f.__name__: f for f in own}
 
 
