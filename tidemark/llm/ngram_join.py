@@ -96,6 +96,23 @@ class Bands:
         """64-bit words of the parity sketch of a set of n: a power of two, about 8 bits for each shingle of the bound."""
         return 1 << max(0, (max(1, self.bound(2 * n) // 8) - 1).bit_length())
 
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """The 64-bit words by which whole sets are compared before they are verified."""
+        return parity(shingles, self.words(len(shingles)))
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of sketches of as many words, along the last axis."""
+        return np.bitwise_count(a ^ b).sum(-1)
+
+    def limit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The distance that sketches of two linked sets of these sizes keep."""
+        return (100 - self.percent) * (a + b) // (100 + self.percent)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> int:
+        """Distance of two sketches, the longer one folded."""
+        words = min(len(a), len(b))
+        return int(self.differ(fold(a, words), fold(b, words)))
+
 
 def parity(shingles: np.ndarray, words: int) -> np.ndarray:
     """The parity sketch: every shingle flips one bit. Halving it by XOR gives the sketch of half as many words."""
@@ -112,12 +129,6 @@ def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def apart(a: np.ndarray, b: np.ndarray) -> int:
-    """Hamming distance of two sketches, the longer one folded."""
-    words = min(len(a), len(b))
-    return int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum())
-
-
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach the threshold."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -245,7 +256,7 @@ def _verify_stars(percent: int, width: int, bands: Bands):
             cols = [batch.column(c).to_pylist() for c in ("pivot", "salt", "leads")]
             nodes, pivots, linked, sizes, sketches = [], [], [], [], []
             for pivot, salt, leads, node, shingles in zip(*cols, batch.column("node").to_pylist(), shingle_sets(texts(batch), width), strict=True):
-                sketch = parity(shingles, bands.words(len(shingles)))
+                sketch = bands.sketch(shingles)
                 if leads:
                     now, held, outline = (pivot, salt), shingles, sketch
                     if salt:
@@ -253,7 +264,7 @@ def _verify_stars(percent: int, width: int, bands: Bands):
                 elif now != (pivot, salt):
                     raise ValueError("a star came without its pivot")
                 nodes.append(node), pivots.append(pivot), sizes.append(len(shingles)), sketches.append(sketch.tobytes())
-                linked.append(not leads and apart(outline, sketch) <= bands.bound(len(held) + len(shingles)) and alike(held, shingles, percent))
+                linked.append(not leads and bands.apart(outline, sketch) <= bands.limit(len(held), len(shingles)) and alike(held, shingles, percent))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(pivots, pa.int64()), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["node", "pivot", "linked", "n", "sketch"])
 
     return run
@@ -304,7 +315,7 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield waiting, np.zeros(1, np.int64)
 
 
-def _distances(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _distances(sketches: list[bytes], a: np.ndarray, b: np.ndarray, bands: Bands) -> np.ndarray:
     """Sketch distances of many pairs of rows."""
     flat = np.frombuffer(b"".join(sketches), np.uint64)
     width = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
@@ -316,7 +327,7 @@ def _distances(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarra
             if len(at):
                 halves = [flat[first[rows[at]][:, None] + np.arange(w)].reshape(len(at), -1, min(wide, other)) for rows, w in ((a, wide), (b, other))]
                 left, right = (np.bitwise_xor.reduce(h, axis=1) for h in halves)  # folding a sketch is the XOR of its pieces
-                out[at] = np.bitwise_count(left ^ right).sum(1)
+                out[at] = bands.differ(left, right)
     return out
 
 
@@ -331,7 +342,7 @@ def _small_pairs(rows: pa.Table, edges: np.ndarray, sizes: np.ndarray, bands: Ba
     n, side, component, x, y = (rows.column(c).to_numpy() for c in ("n", "side", "component", "x", "y"))
     fit = (component[a] != component[b]) & ((x[a] == y[a]) | (side[a] != side[b])) & (100 * np.minimum(n[a], n[b]) >= bands.percent * np.maximum(n[a], n[b]))
     a, b = a[fit], b[fit]
-    passed = _distances(rows.column("sketch").to_pylist(), a, b) <= (100 - bands.percent) * (n[a] + n[b]) // (100 + bands.percent)
+    passed = _distances(rows.column("sketch").to_pylist(), a, b, bands) <= bands.limit(n[a], n[b])
     return a[passed], b[passed]
 
 
@@ -353,8 +364,8 @@ def _passing(unit: pa.Table, joined: Joined, bands: Bands) -> Iterator[tuple[int
         others = others[100 * np.minimum(n[others], n[i]) >= bands.percent * np.maximum(n[others], n[i])]
         # a pair of two such rows would come twice
         others = others[(at[others] == largest) | (others < i)]
-        distance = np.bitwise_count(flat[others] ^ flat[i]).sum(1)
-        passed = distance <= (100 - bands.percent) * (n[others] + n[i]) // (100 + bands.percent)
+        distance = bands.differ(flat[others], flat[i])
+        passed = distance <= bands.limit(n[others], n[i])
         if passed.any():
             yield i, others[passed], distance[passed]
 
@@ -407,9 +418,9 @@ def _sketch_filter(bands: Bands):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [apart(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+            near = [bands.apart(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
             distance, na, nb = np.array(near, dtype=np.int64), batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            passed = distance <= (100 - bands.percent) * (na + nb) // (100 + bands.percent)
+            passed = distance <= bands.limit(na, nb)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(passed)), batch.column("b").filter(pa.array(passed)), pa.array(distance[passed])], ["a", "b", "distance"])
 
     return run
@@ -529,14 +540,14 @@ def _classes(keyed: DataFrame, bases: DataFrame, live: DataFrame, width: int, ba
     return _merged(known, cut(links))
 
 
-def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: Bands | None = None) -> DataFrame:
     """Classes of documents linked by similarity: ``doc_id row_key row_check n_shingles component_id class_key``, one row for each row.
 
     ``component_id`` is the smallest doc_id reachable by links, the row's own included. A text without words (or null) is
     linked with nothing. Rows with equal sets, also under one id, are linked. ``class_key`` tells classes apart where rows of one id are in several (null without words). A null id never names a class unless nothing else is in it.
-    Other columns are not read.
+    Other columns are not read. ``bands`` may bring other blocks and sketches than parity sketches.
     """
-    bands = Bands(percent)
+    bands = bands or Bands(percent)
     keyed = _keyed(docs)
     base = cut(_nodes(keyed, width))
     classes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"))

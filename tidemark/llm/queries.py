@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, filter_audit, line_dedup, ngram_join, periodic_runs, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity
+from . import byte_bpe, decontaminate, filter_audit, line_dedup, minhash_dedup, ngram_join, periodic_runs, pii, quality_crf, quality_rules, substring_dedup, token_counts, toxicity
 from .audit_sql import OP12_SQL
 from .common import documents, table
 
@@ -91,6 +91,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_lines(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -119,7 +123,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_pii, op3_decontamination, op4_substring_dedup, op5_ngram_join, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier, op12_filter_audit, op13_periodic_runs]
+    own = [op1_byte_bpe, op2_pii, op3_decontamination, op4_substring_dedup, op5_ngram_join, op6_line_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_quality_classifier, op11_minhash_dedup, op12_filter_audit, op13_periodic_runs]
     return {f.__name__: f for f in own}
 
 
