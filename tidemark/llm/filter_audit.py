@@ -45,9 +45,10 @@ def failure_masks(docs: DataFrame) -> DataFrame:
         + _flag(100 * capitals > CAPITAL_PERCENT * F.length("text"), "C") + _flag(F.col("text").rlike(MARKS), "D")
     )
     rows = stored(rows.select("doc_id", "part", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), mask.alias("own")))
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
-    repeats = F.coalesce(F.col("doc_id") > F.col("first"), F.col("doc_id").isNull() & F.col("first").isNotNull())
-    return rows.join(firsts, "digest", "left").select("doc_id", "part", (F.col("own") + _flag(repeats, "E")).alias("mask"))
+    # rows meet the first of their text by text and id, so the copies of one text are dealt to many tasks
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first")).withColumn("is_first", F.lit(True))
+    one = rows.join(firsts, (rows["digest"] == firsts["digest"]) & rows["doc_id"].eqNullSafe(firsts["first"]), "left")
+    return one.select("doc_id", "part", (F.col("own") + _flag(F.col("is_first").isNull(), "E")).alias("mask"))
 
 
 def mask_cells(masks: DataFrame, labels: DataFrame) -> DataFrame:
