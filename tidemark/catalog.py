@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import bars, features
-from .plans import checks, data, knowledge, market, payloads, reports, research, spectra, suites, timing
+from .plans import checks, data, exchange, knowledge, market, payloads, reports, research, spectra, suites, timing
 from .plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (market, research, spectra, knowledge, payloads, reports, checks, suites, timing)
+MODULES = (market, research, spectra, knowledge, payloads, reports, checks, suites, timing, exchange)
 
 
 def queries() -> dict[str, Query]:
