@@ -154,16 +154,18 @@ def block_states(stats: DataFrame, features: Sequence[str], blocks: dict[str, Se
     return stats.groupBy("target", "year").applyInPandas(solve, "target string, year int, block string, penalty double, explained double, coefficient double, n_test long, mse double, mse_mean double")
 
 
-def walk_forward(stats: DataFrame, features: Sequence[str], penalties: Sequence[float], variants: dict[str, Sequence[str]] | None = None, kind: str = "ridge", l1_ratios: Sequence[float] = (0.5,), minimum: tuple[int, int, int] = (750, 100, 40), stronger: bool = False) -> DataFrame:
+def walk_forward(stats: DataFrame, features: Sequence[str], penalties: Sequence[float], variants: dict[str, Sequence[str]] | None = None, kind: str = "ridge", l1_ratios: Sequence[float] = (0.5,), minimum: tuple[int, int, int] = (750, 100, 40), stronger: bool | None = None, keys: Sequence[str] = ("target", "year"), details: bool = False, least: str = "fit") -> DataFrame:
     """Fits each variant (name: its features; 'full' always) in each fold and scores it on the test year.
 
-    ``stats``: (target, year, role, n, gram), one row for each fold and role. Folds below the minimum sizes of fit, validation and test are left out. Returns target, year, variant, penalty, coefficients,
-    n_test, mse, mse_mean (historical mean), mse_zero.
+    ``stats``: (``keys``, role, n, gram), one row for each fold and role. Folds below the minimum sizes of ``least`` (fit or train), validation and test are left out. Of penalties with equal validation errors
+    the elastic net takes the stronger one (a larger penalty, then a larger L1 share), the ridge the first, or with ``stronger`` the stronger one. Returns the keys, variant, penalty, coefficients,
+    n_test, mse, mse_mean (historical mean), mse_zero; with ``details`` also ``selection``, the coefficients that the training rows gave under the chosen penalty, and ``scales``, the columns' deviations among the fit rows.
     """
     k = len(features) + 2
+    stronger = kind == "elastic_net" if stronger is None else stronger
     places = {c: i + 1 for i, c in enumerate(features)}
     every = {"full": list(features), **(variants or {})}
-    grid = [(p, r) for p in penalties for r in (l1_ratios if kind == "elastic_net" else (0.0,))]
+    grid = [(p, r) for p in sorted(penalties) for r in (sorted(l1_ratios) if kind == "elastic_net" else (0.0,))]
 
     def fit(m: Moments, use: list[int], p: float, r: float) -> np.ndarray:
         return ridge(m, use, p) if kind == "ridge" else elastic_net(m, use, p, r)
@@ -172,20 +174,24 @@ def walk_forward(stats: DataFrame, features: Sequence[str], penalties: Sequence[
         parts = {r.role: np.asarray(r.gram) for r in pdf.itertuples()}
         sizes = {r.role: r.n for r in pdf.itertuples()}
         rows = []
-        if {"train", "validation", "fit", "test"} <= parts.keys() and sizes["fit"] >= minimum[0] and sizes["validation"] >= minimum[1] and sizes["test"] >= minimum[2]:
+        if {"train", "validation", "fit", "test"} <= parts.keys() and sizes[least] >= minimum[0] and sizes["validation"] >= minimum[1] and sizes["test"] >= minimum[2]:
             train, final = Moments(parts["train"], k), Moments(parts["fit"], k)
             check, test = full_matrix(parts["validation"], k), full_matrix(parts["test"], k)
             mean, zero = np.zeros(k - 1), np.zeros(k - 1)
             mean[0] = final.mean[k - 1]
             for name, own in every.items():
                 use = [places[c] for c in own]
-                best = choose(train, check, [(i, fit(train, use, p, r)) for i, (p, r) in enumerate(grid)], stronger)
-                c = fit(final, use, *grid[int(best)])
-                rows.append((*key, name, float(grid[int(best)][0]), float(grid[int(best)][1]), c.tolist(), int(sizes["test"]), mse(test, c), mse(test, mean), mse(test, zero)))
-        return pd.DataFrame(rows, columns=["target", "year", "variant", "penalty", "l1_ratio", "coefficients", "n_test", "mse", "mse_mean", "mse_zero"])
-
-    schema = "target string, year int, variant string, penalty double, l1_ratio double, coefficients array<double>, n_test long, mse double, mse_mean double, mse_zero double"
-    return stats.groupBy("target", "year").applyInPandas(solve, schema)
+                tried = [fit(train, use, p, r) for p, r in grid]
+                best = int(choose(train, check, list(enumerate(tried)), stronger))
+                c = fit(final, use, *grid[best])
+                more = (tried[best].tolist(), final.scale[1:-1].tolist()) if details else ()
+                rows.append((*key, name, float(grid[best][0]), float(grid[best][1]), c.tolist(), int(sizes["test"]), mse(test, c), mse(test, mean), mse(test, zero), *more))
+        return pd.DataFrame(rows, columns=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in stats.schema}
+    names = [*keys, "variant", "penalty", "l1_ratio", "coefficients", "n_test", "mse", "mse_mean", "mse_zero", *(["selection", "scales"] if details else [])]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", variant string, penalty double, l1_ratio double, coefficients array<double>, n_test long, mse double, mse_mean double, mse_zero double"
+    return stats.groupBy(*keys).applyInPandas(solve, schema + ", selection array<double>, scales array<double>" * details)
 
 
 def predict(rows: DataFrame, models: DataFrame, features: Sequence[str], by: Sequence[str] = ("year",)) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import cut
 from ..functions.columns import guarded_corr, sign_test, softmax, tercile
 from ..operators import events, features, inference, linear
 from . import data
@@ -214,11 +215,16 @@ def memory_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def direction_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chances of down, flat and up for each test row: the forecast plus the validation year's residuals against terciles of the fit rows."""
-    folds = _folds(spark, sf_dir)
-    models = linear.walk_forward(_stats(spark, sf_dir), FEATURES, PENALTIES, minimum=SMALL)
+    """Chances of down, flat and up for each test row: the forecast plus the validation year's residuals against terciles of the fit rows.
+
+    The residuals are those of the model that the training rows gave under the chosen penalty, which has not seen the validation year.
+    """
+    folds = cut(_folds(spark, sf_dir))
+    stats = linear.gram(folds.withColumn("target", F.lit("y")), ["target", "year", "role"], FEATURES, "y")
+    models = cut(linear.walk_forward(stats, FEATURES, PENALTIES, minimum=SMALL, details=True))
     bounds = folds.where("role = 'fit'").groupBy("year").agg(F.percentile("y", F.lit(1.0 / 3)).alias("lo"), F.percentile("y", F.lit(2.0 / 3)).alias("hi"))
-    residuals = linear.predict(folds.where("role = 'validation'"), models, FEATURES).groupBy("year").agg(F.collect_list(F.col("y") - F.col("prediction")).alias("residuals"))
+    selected = models.withColumn("coefficients", F.col("selection"))
+    residuals = linear.predict(folds.where("role = 'validation'"), selected, FEATURES).groupBy("year").agg(F.collect_list(F.col("y") - F.col("prediction")).alias("residuals"))
     rows = linear.predict(folds.where("role = 'test'"), models, FEATURES).join(bounds, "year").join(residuals, "year")
     n = F.size("residuals")
     down = F.size(F.filter("residuals", lambda r: r + F.col("prediction") < F.col("lo"))) / n

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..folders import cut
-from ..functions.columns import guarded_corr, sign_test
-from ..operators import boosting, features, inference, linear
+from ..functions.columns import age_decay, guarded_corr, sign_test
+from ..operators import boosting, features, inference, interactions, linear
 from ..operators.temporal import as_of_bucketed
 from ..sources import releases
 from . import data
@@ -26,7 +26,7 @@ ENERGY = ["stocks_z52", "output_z52"]
 WIDE = [*BASE, *FLOWS, *ENERGY]
 KEYS = ["target", "year"]
 RIDGE = (0.01, 0.1, 1.0, 10.0)
-ALPHAS, RATIOS = (0.003, 0.01, 0.03, 0.1), (0.25, 0.5, 0.75, 1.0)
+ALPHAS, RATIOS = (0.0001, 0.0003, 0.001, 0.003, 0.01, 0.03, 0.1), (0.25, 0.5, 0.75, 1.0)
 SMALL = (200, 40, 20)
 REPS = 1000
 
@@ -230,6 +230,72 @@ def suite_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.anchored(child, models, KEYS, "mse")
 
 
+# ---- interactions, regimes with models of their own, memories
+
+SIX = ["z1", "z3", "a5", "a6", "z2", "own"]
+TERMS = {"energy_risk": ("a5", "z2"), "energy_rates": ("a5", "z1"), "risk_rates": ("z2", "z1"), "trend_risk": ("own", "z2"), "level_slope": ("z1", "z3")}
+REGIMES: list[interactions.Regime] = [("risk", "z2", 0.0, "elevated", "calm"), ("rates", "z1", 0.0, "wide", "narrow")]
+REGIME_ROWS = (100, 20, 10)
+
+
+def _term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = interactions.with_terms(_folds(spark, sf_dir), TERMS)
+    return linear.gram(rows, [*KEYS, "role"], [*SIX, *(f"term__{t}" for t in TERMS)], "y")
+
+
+@query()
+def interaction_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six features at four horizons: what each of five products adds, all of them together, and what is lost without each feature."""
+    models = cut(interactions.interaction_models(_term_stats(spark, sf_dir), SIX, TERMS, RIDGE, SMALL))
+    return interactions.paired(models, len(SIX) + len(TERMS) + 1, REPS)
+
+
+@query()
+def marginal_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature alone against the target over the test years, beside which the interaction models are read."""
+    stats = cut(_term_stats(spark, sf_dir))
+    models = interactions.interaction_models(stats, SIX, TERMS, RIDGE, SMALL)
+    return interactions.marginal_correlations(stats, models, SIX, len(SIX) + len(TERMS) + 2)
+
+
+@query()
+def regime_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six features fitted anew inside each level of two regimes."""
+    folds = _folds(spark, sf_dir)
+    return interactions.regime_summary(interactions.regime_models(folds, SIX, REGIMES, RIDGE, REGIME_ROWS), folds, SIX, REGIMES)
+
+
+#: Sixteen observed features, seven of them from releases, which have an age.
+OBSERVED = ["z1", "z2", "z3", "a5", "a6", "own", "spread12", "r1", "r4", *FLOWS[:5], *ENERGY]
+#: Exponential memories of features, and released features that fade with their age: name, value, age, half-life in days.
+MEMORIES = {f"memory_{c}": (c, 10.0) for c in SIX}
+DECAYS = [(f"fade_{c}", c, "flow_age", 14.0) for c in FLOWS[:5]] + [(f"fade_{c}", c, "energy_age", 30.0) for c in ENERGY]
+REMEMBERED = [*MEMORIES, *(d[0] for d in DECAYS)]
+
+
+def memory_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide matrix with six memories, which run over all days of the base matrix, and seven fading features."""
+    base = base_matrix(spark, sf_dir).withColumn("s", F.lit(0))
+    m = wide_matrix(spark, sf_dir)
+    for name, (c, half_life) in MEMORIES.items():
+        m = m.join(features.ema(base.select("s", "d", c), "s", "d", c, half_life, name, F.year).select("d", name), "d")
+    return cut(m.withColumns({name: F.col(c) * age_decay(F.col(age), half_life) for name, c, age, half_life in DECAYS}))
+
+
+@query()
+def memory_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What thirteen memory columns add to sixteen observed features at four horizons: both models' errors, the yearly improvement with its interval, the sign test with Bonferroni over the horizons."""
+    folds = linear.folds(stacked(memory_matrix(spark, sf_dir), [*OBSERVED, *REMEMBERED]), "d", "y_end", 3)
+    models = cut(linear.walk_forward(linear.gram(folds, [*KEYS, "role"], [*OBSERVED, *REMEMBERED], "y"), [*OBSERVED, *REMEMBERED], RIDGE, {"observed": OBSERVED}, minimum=SMALL))
+    both = models.groupBy(*KEYS, "n_test", "mse_mean").agg(*(F.max(F.when(F.col("variant") == v, F.col("mse"))).alias(name) for v, name in (("observed", "observed_mse"), ("full", "memory_mse"))))
+    both = both.withColumn("improvement", F.col("observed_mse") - F.col("memory_mse"))
+    interval = inference.bootstrap_mean(both, ["target"], ["year"], "improvement", REPS).select("target", F.col("mean").alias("improvement"), "low", "high")
+    pooled = lambda c: F.sum(F.col(c) * F.col("n_test")) / F.sum("n_test")
+    out = both.groupBy("target").agg(F.count("*").alias("folds"), F.sum("n_test").alias("n"), *(pooled(c).alias(c) for c in ("observed_mse", "memory_mse", "mse_mean")), F.count_if(F.col("improvement") > 0).alias("in_favour")).join(interval, "target")
+    p = sign_test(F.col("in_favour"), F.col("folds"))
+    return out.withColumns({"observed_skill": 1 - F.col("observed_mse") / F.col("mse_mean"), "memory_skill": 1 - F.col("memory_mse") / F.col("mse_mean"), "p": p, "threshold": F.lit(0.05 / len(HORIZONS)), "significant": p < 0.05 / len(HORIZONS)})
+
+
 # ---- trees
 
 
