@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import cut
 from ..functions.columns import FLAT, guarded_corr
 
 
@@ -15,12 +20,84 @@ def numbered(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
 
 
+def _gathered(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """One row for each stretch of ``size`` rows numbered ``i``: its places and values. A stretch is short, so the lists are bounded."""
+    return rows.groupBy(*by).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), *(F.col(c).cast("double").alias(c) for c in columns))).alias("_v"))
+
+
+def _matrices(batch: pa.RecordBatch, columns: list[str], size: int) -> list[np.ndarray]:
+    """A matrix for each column with one row for each stretch; places without a row or value are zero."""
+    lists = batch.column("_v")
+    rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    flat = lists.flatten()
+    places = flat.field("i").to_numpy()
+    out = []
+    for c in columns:
+        held = np.zeros((batch.num_rows, size))
+        held[rows, places] = np.nan_to_num(pc.fill_null(flat.field(c), 0.0).to_numpy(zero_copy_only=False))
+        out.append(held)
+    return out
+
+
+def _spread(batch: pa.RecordBatch, by: list[str], named: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The keys with one array column for each matrix."""
+    arrays = []
+    for m in named.values():
+        offsets = pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32())
+        arrays.append(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m).ravel())))
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *arrays], [*by, *named])
+
+
+def _keys(df: DataFrame, by: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join(f"`{c}` {kinds[c]}" for c in by)
+
+
 def dft(rows: DataFrame, by: list[str], value: str, size: int, bins: list[int] | None = None) -> DataFrame:
-    """Real and imaginary part of each frequency bin of rows numbered ``i`` from 0 to size - 1. The number of bins is fixed, so each row is read a fixed number of times."""
-    wanted = F.explode(F.array(*(F.lit(k) for k in (bins or range(size)))))
-    each = rows.select(*by, "i", value, wanted.alias("bin"))
-    angle = F.lit(-2 * math.pi / size) * F.pmod(F.col("i") * F.col("bin"), F.lit(size))
-    return each.groupBy(*by, "bin").agg(F.sum(F.col(value) * F.cos(angle)).alias("re"), F.sum(F.col(value) * F.sin(angle)).alias("im"))
+    """Real and imaginary part of each frequency bin of rows numbered ``i`` from 0 to size - 1; missing places count as zero. Each stretch is one fast transform, many of them in a batch."""
+    wanted = list(bins or range(size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                (held,) = _matrices(batch, [value], size)
+                z = np.fft.fft(held, axis=1)[:, wanted]
+                yield _spread(batch, by, {"re": z.real, "im": z.imag})
+
+    gathered = _gathered(rows, by, [value])
+    arrays = gathered.mapInArrow(run, f"{_keys(gathered, by)}, re array<double>, im array<double>")
+    each = arrays.select(*by, F.posexplode(F.arrays_zip("re", "im")).alias("_k", "_z"))
+    return each.select(*by, F.get(F.array(*map(F.lit, wanted)), F.col("_k")).alias("bin"), "_z.re", "_z.im")
+
+
+def segment_spectra(rows: DataFrame, by: list[str], factor: str, target: str, length: int) -> DataFrame:
+    """Of each full stretch of ``length`` rows numbered ``i``: arrays of the powers pf and pt and of the cross spectrum co and qu at bins 1..length/2, mean removed, under a symmetric Hann taper."""
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / (length - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = batch.filter(pc.equal(pc.list_value_length(batch.column("_v")), length))
+            if full.num_rows:
+                f, t = (np.fft.rfft((m - m.mean(axis=1, keepdims=True)) * hann, axis=1)[:, 1 : length // 2 + 1] for m in _matrices(full, ["_f", "_t"], length))
+                cross = np.conj(f) * t
+                yield _spread(full, by, {"pf": np.abs(f) ** 2, "pt": np.abs(t) ** 2, "co": cross.real, "qu": cross.imag})
+
+    gathered = _gathered(rows.withColumns({"_f": F.col(factor), "_t": F.col(target)}), by, ["_f", "_t"])
+    return gathered.mapInArrow(run, f"{_keys(gathered, by)}, pf array<double>, pt array<double>, co array<double>, qu array<double>")
+
+
+def by_bin(spectra: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each bin, from 1 on, of the arrays of ``segment_spectra``."""
+    each = spectra.select(*by, F.posexplode(F.arrays_zip("pf", "pt", "co", "qu")).alias("_k", "_z"))
+    return each.select(*by, (F.col("_k") + 1).alias("bin"), "_z.*")
+
+
+def coherences(cross: DataFrame, by: list[str], length: int) -> DataFrame:
+    """Period, powers, coherence, phase and lead of each bin from the means pf, pt, co and qu over ``windows``. A positive lead means that the factor comes first."""
+    base = F.col("pf") * F.col("pt")
+    coherence = F.when(base <= FLAT, 0.0).otherwise(F.least(F.lit(1.0), (F.col("co") ** 2 + F.col("qu") ** 2) / F.nullif(base, F.lit(0.0))))
+    phase = F.atan2("qu", "co")
+    return cross.select(*by, "bin", (length / F.col("bin")).alias("period"), "pf", "pt", coherence.alias("coherence"), phase.alias("phase"), (-phase * length / (2 * math.pi * F.col("bin"))).alias("lead"), "windows")
 
 
 def rolling_windows(n: int, length: int, step: int) -> list[tuple[int, int]]:
@@ -53,20 +130,45 @@ def welch(rows: DataFrame, by: list[str], factor: str, target: str, length: int,
 
     A positive lead means that the factor comes first.
     """
-    w = in_windows(rows, length, step)
-    own = Window.partitionBy(*by, "w")
-    full = w.withColumn("_c", F.count("*").over(own)).where(F.col("_c") == length)
-    hann = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("j") / (length - 1))
-    tapered = full.select(*by, "w", F.col("j").alias("i"), ((F.col(factor) - F.avg(factor).over(own)) * hann).alias("_f"), ((F.col(target) - F.avg(target).over(own)) * hann).alias("_t"))
-    bins = list(range(1, length // 2 + 1))
-    a, b = dft(tapered, [*by, "w"], "_f", length, bins), dft(tapered, [*by, "w"], "_t", length, bins).withColumnsRenamed({"re": "re2", "im": "im2"})
-    cross = a.join(b, [*by, "w", "bin"]).groupBy(*by, "bin").agg(
-        F.avg(F.col("re") ** 2 + F.col("im") ** 2).alias("pf"), F.avg(F.col("re2") ** 2 + F.col("im2") ** 2).alias("pt"),
-        F.avg(F.col("re") * F.col("re2") + F.col("im") * F.col("im2")).alias("co"), F.avg(F.col("re") * F.col("im2") - F.col("im") * F.col("re2")).alias("qu"), F.count("*").alias("windows"))
-    base = F.col("pf") * F.col("pt")
-    coherence = F.when(base <= FLAT, 0.0).otherwise(F.least(F.lit(1.0), (F.col("co") ** 2 + F.col("qu") ** 2) / F.nullif(base, F.lit(0.0))))
-    phase = F.atan2("qu", "co")
-    return cross.select(*by, "bin", (length / F.col("bin")).alias("period"), "pf", "pt", coherence.alias("coherence"), phase.alias("phase"), (-phase * length / (2 * math.pi * F.col("bin"))).alias("lead"), "windows")
+    w = in_windows(rows, length, step).withColumn("i", F.col("j"))
+    each = by_bin(segment_spectra(w, [*by, "w"], factor, target, length), [*by, "w"])
+    cross = each.groupBy(*by, "bin").agg(*(F.avg(c).alias(c) for c in ("pf", "pt", "co", "qu")), F.count("*").alias("windows"))
+    return coherences(cross, by, length)
+
+
+def chronological_windows(rows: DataFrame, by: list[str], length: int, step: int, least: int, grow: int) -> DataFrame:
+    """Windows of each numbered series: ``mode number start end``, rolling ones of ``length`` rows every ``step`` and expanding ones of ``least`` rows and ``grow`` more each, the last of both aligned with the end."""
+    n = F.col("_n")
+
+    def ends(first: int, by_: int) -> Column:
+        some = F.sequence(F.lit(first), n, F.lit(by_))
+        return F.when(n >= first, F.when(F.element_at(some, -1) < n, F.concat(some, F.array(n))).otherwise(some)).otherwise(F.array().cast("array<int>"))
+
+    sizes = rows.groupBy(*by).agg((F.max("i") + 1).cast("int").alias("_n"))
+    kinds = [(mode, ends(first, by_)) for mode, first, by_ in (("rolling", length, step), ("expanding", least, grow))]
+    out = None
+    for mode, e in kinds:
+        own = sizes.select(*by, F.lit(mode).alias("mode"), F.posexplode(e).alias("_k", "end"))
+        own = own.select(*by, "mode", (F.col("_k") + 1).alias("number"), (F.col("end") - length if mode == "rolling" else F.lit(0)).alias("start"), "end")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def window_spectra(rows: DataFrame, by: list[str], factor: str, target: str, windows: DataFrame, length: int, step: int) -> DataFrame:
+    """Cross spectra inside each chronological window (see ``coherences``). A segment of several windows is transformed once; expanding windows, which share their beginning, read running sums."""
+    key = [*by, "mode", "number"]
+    rolling = windows.where("mode = 'rolling'").select(*key, F.explode(F.sequence(F.col("start"), F.col("end") - length, F.lit(step))).alias("seg"))
+    expanding = windows.where("mode = 'expanding'").select(*key, (F.col("end") - length - (F.col("end") - length) % step).alias("seg"))
+    longest = expanding.groupBy(*by).agg(F.max("seg").alias("_last"))
+    starts = rolling.select(*by, "seg").unionByName(longest.select(*by, F.explode(F.sequence(F.lit(0), F.col("_last"), F.lit(step))).alias("seg"))).distinct()
+    placed = starts.select(*by, "seg", F.posexplode(F.sequence(F.col("seg"), F.col("seg") + length - 1)).alias("j", "i")).join(rows.select(*by, "i", factor, target), [*by, "i"])
+    # read by both kinds of windows
+    each = cut(by_bin(segment_spectra(placed.withColumn("i", F.col("j")), [*by, "seg"], factor, target, length), [*by, "seg"]))
+    parts = ("pf", "pt", "co", "qu")
+    mean = rolling.join(each, [*by, "seg"]).groupBy(*key, "bin").agg(*(F.avg(c).alias(c) for c in parts), F.count("*").alias("windows"))
+    line = Window.partitionBy(*by, "bin").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    running = each.where(F.col("seg") % step == 0).select(*by, "seg", "bin", *(F.avg(c).over(line).alias(c) for c in parts), F.count("*").over(line).alias("windows"))
+    return coherences(mean.unionByName(expanding.join(running, [*by, "seg"]).select(*mean.columns)), key, length)
 
 
 def haar_energy(rows: DataFrame, by: list[str], value: str, levels: int) -> DataFrame:
@@ -96,13 +198,53 @@ def best_lag(lags: DataFrame, by: list[str]) -> DataFrame:
     return lags.where("r is not null").groupBy(*by).agg(F.max_by(F.struct("lag", "r"), F.struct(F.abs(F.round("r", 12)), -F.col("lag"))).alias("m")).select(*by, "m.lag", "m.r")
 
 
-def bands(spectra: DataFrame, by: list[str], edges: list[tuple[str, float, float]]) -> DataFrame:
-    """Mean and peak coherence of each band of periods, half open but for the last."""
+def _band(edges: list[tuple[str, float, float]]) -> Column:
+    """The band of a period, half open but for the last."""
     which: Column = F.lit(None).cast("string")
     for i, (name, low, high) in enumerate(edges):
         inside = (F.col("period") >= low) & ((F.col("period") < high) | (F.lit(i == len(edges) - 1) & (F.col("period") == high)))
         which = F.when(inside, name).otherwise(which)
-    return spectra.withColumn("band", which).where("band is not null").groupBy(*by, "band").agg(F.avg("coherence").alias("coherence"), F.max_by("period", F.struct(F.round("coherence", 9), -F.col("bin"))).alias("peak_period"), F.count("*").alias("bins"))
+    return which
+
+
+def bands(spectra: DataFrame, by: list[str], edges: list[tuple[str, float, float]]) -> DataFrame:
+    """Mean and peak coherence of each band of periods, half open but for the last."""
+    return spectra.withColumn("band", _band(edges)).where("band is not null").groupBy(*by, "band").agg(F.avg("coherence").alias("coherence"), F.max_by("period", F.struct(F.round("coherence", 9), -F.col("bin"))).alias("peak_period"), F.count("*").alias("bins"))
+
+
+def window_bands(spectra: DataFrame, by: list[str], edges: list[tuple[str, float, float]]) -> DataFrame:
+    """Each band in each window (``by``): mean and peak coherence, period and lead at the peak, the factor's share of power, and whether the band leads its window.
+
+    Equal coherences go to the lower bin, equal bands to the one named first in ``edges``. Coherences count as equal up to the ninth place.
+    """
+    order = F.array_position(F.array(*(F.lit(e[0]) for e in edges)), F.col("band"))
+    total = spectra.groupBy(*by).agg(F.sum("pf").alias("_total"))
+    peak = F.max_by(F.struct("coherence", "period", "lead"), F.struct(F.round("coherence", 9), -F.col("bin"))).alias("_p")
+    each = spectra.withColumn("band", _band(edges)).where("band is not null").groupBy(*by, "band").agg(F.avg("coherence").alias("mean_coherence"), peak, F.sum("pf").alias("_power"), F.max("windows").alias("segments"))
+    each = each.join(total, by).select(*by, "band", order.alias("_order"), "mean_coherence", F.col("_p.coherence").alias("peak_coherence"), F.col("_p.period").alias("peak_period"), F.col("_p.lead").alias("lead"), F.coalesce(F.col("_power") / F.nullif(F.col("_total"), F.lit(0.0)), F.lit(0.0)).alias("power_share"), "segments")
+    best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("mean_coherence", 9)), "_order"))
+    return each.withColumn("leads", best == 1).drop("_order")
+
+
+def band_summary(windows: DataFrame, by: list[str], edges: list[tuple[str, float, float]]) -> DataFrame:
+    """How steady each band is over the windows of ``by``: median and outer deciles of its coherence, the share of windows that it leads, its median peak period and lead, and how often the lead has the same sign.
+
+    ``leader`` marks the band of the largest share, then of the largest median, then the one named first.
+    """
+    q = lambda c, p: F.percentile(c, F.lit(p))
+    out = windows.groupBy(*by, "band").agg(
+        F.count("*").alias("windows"), q("mean_coherence", 0.5).alias("median_coherence"), q("mean_coherence", 0.1).alias("low_coherence"), q("mean_coherence", 0.9).alias("high_coherence"), F.avg(F.col("leads").cast("double")).alias("top_share"),
+        q("peak_period", 0.5).alias("median_period"), q("lead", 0.5).alias("median_lead"), F.avg((F.col("lead") > 0).cast("double")).alias("positive_lead"))
+    order = F.array_position(F.array(*(F.lit(e[0]) for e in edges)), F.col("band"))
+    best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("top_share"), F.desc(F.round("median_coherence", 9)), order))
+    return out.withColumns({"sign_consistency": F.greatest("positive_lead", 1 - F.col("positive_lead")), "leader": best == 1})
+
+
+def lag_summary(windows: DataFrame, by: list[str]) -> DataFrame:
+    """How steady each lag's correlation r is over the windows of ``by``: median, outer deciles and how often it has the same sign."""
+    q = lambda p: F.percentile("r", F.lit(p))
+    out = windows.where("r is not null").groupBy(*by, "lag").agg(F.count("*").alias("windows"), q(0.5).alias("median_r"), q(0.1).alias("low_r"), q(0.9).alias("high_r"), F.avg((F.col("r") > 0).cast("double")).alias("positive"))
+    return out.withColumn("sign_consistency", F.greatest("positive", 1 - F.col("positive")))
 
 
 def sign_stable(rows: DataFrame, by: list[str], x: str, y: str, least: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import cut
 from ..functions.columns import guarded_corr
 from ..operators import features, spectral, temporal
 from . import data
@@ -58,6 +59,57 @@ def band_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("band", F.round("coherence", 6).alias("coherence"), F.round("peak_period", 6).alias("peak_period"), "bins")
 
 
+CHRONO = CHANGES + """, nn AS (SELECT CAST(count(*) AS INTEGER) AS n FROM c),
+    re AS (SELECT DISTINCT least(e, n) AS e FROM (SELECT unnest(range(256, n + 64, 64)) AS e, n FROM nn WHERE n >= 256) WHERE e < n + 64), ee AS (SELECT DISTINCT least(e, n) AS e FROM (SELECT unnest(range(256, n + 128, 128)) AS e, n FROM nn WHERE n >= 256)),
+    wn AS (SELECT 'rolling' AS mode, row_number() OVER (ORDER BY e) AS number, e - 256 AS start, e AS stop FROM re UNION ALL SELECT 'expanding', row_number() OVER (ORDER BY e), 0, e FROM ee)"""
+WINDOW_BANDS = CHRONO + """, sg AS (SELECT mode, number, unnest(range(start, stop - 63, 32)) AS seg FROM wn), sd AS (SELECT DISTINCT seg FROM sg),
+    sm AS (SELECT seg, i - seg AS j, f - avg(f) OVER z AS f0, t - avg(t) OVER z AS t0 FROM sd JOIN c ON i >= seg AND i < seg + 64 WINDOW z AS (PARTITION BY seg)), sh AS (SELECT seg, j, f0 * (0.5 - 0.5 * cos(2 * pi() * j / 63)) AS f1, t0 * (0.5 - 0.5 * cos(2 * pi() * j / 63)) AS t1 FROM sm),
+    sb AS (SELECT CAST(unnest(range(1, 33)) AS INTEGER) AS bin), sx AS (SELECT seg, bin, sum(f1 * cos(-2 * pi() * ((j * bin) % 64) / 64)) AS re, sum(f1 * sin(-2 * pi() * ((j * bin) % 64) / 64)) AS im, sum(t1 * cos(-2 * pi() * ((j * bin) % 64) / 64)) AS re2, sum(t1 * sin(-2 * pi() * ((j * bin) % 64) / 64)) AS im2 FROM sh, sb GROUP BY 1, 2),
+    sy AS (SELECT mode, number, bin, avg(re * re + im * im) AS pf, avg(re2 * re2 + im2 * im2) AS pt, avg(re * re2 + im * im2) AS co, avg(re * im2 - im * re2) AS qu, count(*) AS segments FROM sg JOIN sx USING (seg) GROUP BY ALL),
+    sc AS (SELECT mode, number, bin, pf, 64.0::DOUBLE / bin AS period, CASE WHEN pf * pt <= 1e-18 THEN 0.0 ELSE least(1.0, (co * co + qu * qu) / (pf * pt)) END AS coherence, -atan2(qu, co) * 64 / (2 * pi() * bin) AS lead, segments FROM sy),
+    bd AS (SELECT mode, number, CASE WHEN period < 5 THEN 'fast' WHEN period < 10 THEN 'week' WHEN period < 25 THEN 'month' ELSE 'quarter' END AS band, avg(coherence) AS mean_coherence, arg_max(coherence, (round(coherence, 9), -bin)) AS peak_coherence, arg_max(period, (round(coherence, 9), -bin)) AS peak_period,
+        arg_max(lead, (round(coherence, 9), -bin)) AS lead, sum(pf) AS power, max(segments) AS segments FROM sc GROUP BY 1, 2, 3),
+    wb AS (SELECT *, power / sum(power) OVER (PARTITION BY mode, number) AS power_share, list_position(['fast', 'week', 'month', 'quarter'], band) AS o, row_number() OVER (PARTITION BY mode, number ORDER BY round(mean_coherence, 9) DESC, list_position(['fast', 'week', 'month', 'quarter'], band)) = 1 AS leads FROM bd)"""
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = cut(changes(spark, sf_dir))
+    return c, spectral.chronological_windows(c, ["s"], 256, 64, 256, 128)
+
+
+def _window_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, windows = _windows(spark, sf_dir)
+    return spectral.window_bands(spectral.window_spectra(c, ["s"], "f", "t", windows, 64, 32), ["s", "mode", "number"], BANDS)
+
+
+@query(f"WITH {WINDOW_BANDS} SELECT mode, number, band, round(mean_coherence, 6) AS mean_coherence, round(peak_coherence, 6) AS peak_coherence, round(peak_period, 6) AS peak_period, round(lead, 5) AS lead, round(power_share, 6) AS power_share, segments, leads FROM wb")
+def band_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coherence of each band in each rolling and expanding window, and which band leads."""
+    out = _window_bands(spark, sf_dir)
+    return out.select("mode", "number", "band", *(F.round(c, 5 if c == "lead" else 6).alias(c) for c in ("mean_coherence", "peak_coherence", "peak_period", "lead", "power_share")), "segments", "leads")
+
+
+@query(f"""WITH {WINDOW_BANDS}, su AS (SELECT mode, band, any_value(o) AS o, count(*) AS windows, quantile_cont(mean_coherence, 0.5) AS mc, quantile_cont(mean_coherence, 0.1) AS lc, quantile_cont(mean_coherence, 0.9) AS hc, avg(leads::INT) AS ts, quantile_cont(peak_period, 0.5) AS mp, quantile_cont(lead, 0.5) AS ml, avg((lead > 0)::INT) AS pl FROM wb GROUP BY 1, 2)
+    SELECT mode, band, windows, round(mc, 6) AS median_coherence, round(lc, 6) AS low_coherence, round(hc, 6) AS high_coherence, round(ts, 6) AS top_share, round(mp, 6) AS median_period, round(ml, 5) AS median_lead, round(pl, 6) AS positive_lead, round(greatest(pl, 1 - pl), 6) AS sign_consistency,
+    row_number() OVER (PARTITION BY mode ORDER BY ts DESC, round(mc, 9) DESC, o) = 1 AS leader FROM su""")
+def band_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How steady the bands are over the windows, and the leading one."""
+    out = spectral.band_summary(_window_bands(spark, sf_dir), ["s", "mode"], BANDS)
+    numbers = ("median_coherence", "low_coherence", "high_coherence", "top_share", "median_period", "median_lead", "positive_lead", "sign_consistency")
+    return out.select("mode", "band", "windows", *(F.round(c, 5 if c == "median_lead" else 6).alias(c) for c in numbers), "leader")
+
+
+@query(f"""WITH {CHRONO}, wl AS (SELECT mode, number, CAST(g.k AS INTEGER) AS lag, {CORR.format(x='a.f', y='b.t')} AS r FROM wn JOIN c a ON a.i >= start AND a.i < stop, (VALUES (0), (1), (5), (20)) g(k), c b WHERE b.i = a.i + g.k AND b.i < stop GROUP BY 1, 2, 3)
+    SELECT mode, lag, count(*) AS windows, round(quantile_cont(r, 0.5), 6) AS median_r, round(quantile_cont(r, 0.1), 6) AS low_r, round(quantile_cont(r, 0.9), 6) AS high_r, round(avg((r > 0)::INT), 6) AS positive, round(greatest(avg((r > 0)::INT), 1 - avg((r > 0)::INT)), 6) AS sign_consistency FROM wl WHERE r IS NOT NULL GROUP BY mode, lag""")
+def registered_lag_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlation at four fixed lags over the rolling and expanding windows: one pass over pairs of rows, each in the windows that hold both."""
+    c, windows = _windows(spark, sf_dir)
+    pairs = c.select("s", F.col("i").alias("a"), "f", F.explode(F.array(*map(F.lit, (0, 1, 5, 20)))).alias("lag")).withColumn("i", F.col("a") + F.col("lag")).join(c.select("s", "i", "t"), ["s", "i"])
+    placed = windows.select("s", "mode", "number", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("a")).join(pairs, ["s", "a"]).where("i < end")
+    out = spectral.lag_summary(placed.groupBy("s", "mode", "number", "lag").agg(guarded_corr(F.col("f"), F.col("t")).alias("r")), ["s", "mode"])
+    return out.select("mode", "lag", "windows", *(F.round(c, 6).alias(c) for c in ("median_r", "low_r", "high_r", "positive", "sign_consistency")))
+
+
 def _haar_sql(levels: int) -> str:
     parts = [CHANGES, "a0 AS (SELECT i, f AS a FROM c)"]
     for k in range(1, levels + 1):
