@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import mixed_fraction
+from ..functions.columns import mixed_fraction, squeeze
 from ..operators.temporal import local_instant, next_scheduled
 
 # Words for a fall, a rise and no change in the pages' sentences, month names, and the rates' names in a decision.
@@ -66,35 +66,42 @@ def _found(text: Column, fact: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(F.transform(F.transform(_sentences(text), _words), fact), lambda x: x.isNotNull()), F.lit(0))
 
 
-def change(text: Column, subject: str, unit: str | None = None, months: int = 1) -> Column:
-    """The signed figure of '<subject> <verb> ... <number> <unit>' for a period of ``months`` (a period that is not named is one month); 0 for no change.
+def change(text: Column, subject: str, unit: str | None = None, months: int | None = None, basis: bool = False) -> Column:
+    """The signed figure of '<subject> <verb> ... <number> <unit>'; 0 for no change. A number with a sign keeps its own, whatever the verb; a short one behind 'in' or a month is a date.
 
-    A number after 'changed little' brings its own sign.
+    With ``months`` the sentence must name that period: 'over the <months> months', or for one month 'in <month>' or 'over the month' right behind the figure, with ``basis`` also the words
+    on seasonal adjustment. Other periods, as 'over the last 12 months', are no figure of a month.
     """
 
     def figure(words: Column, verb: Column, at: Column) -> Column:
-        said = F.get(words, verb - 1)
-        still = said.isin(*STILL)
-        size = _number(F.get(words, at - 1))
-        rest = F.slice(words, F.when(said.isin(*STILL), verb).otherwise(at) + 1, F.lit(14))
-        over = _behind(rest, "over the")
-        period = F.when(F.get(rest, over + 1).isin("months", "month"), F.get(rest, over).try_cast("int"))
-        value = F.when(said.isin(*FALLS), -size).when(said.isin(*RISES), size).when(said.isin(*LITTLE) & F.get(words, at - 1).rlike("^[+-]"), size)
+        said, word = F.get(words, verb - 1), F.get(words, at - 1)
+        still, size, signed = said.isin(*STILL), _number(word), word.rlike("^[+-]")
+        tail = F.slice(words, F.when(still, verb + 1).otherwise(at + (2 if unit else 1)), F.lit(14))
+        over = _behind(tail, "over the")
+        period = F.when(F.get(tail, over + 1).isin("months", "month"), F.get(tail, over).try_cast("int"))
+        begins = lambda phrase: F.coalesce(F.array_join(F.slice(tail, 1, len(phrase.split())), " ") == phrase, F.lit(False))
+        monthly = begins("over the month") | ((F.get(tail, F.lit(0)) == "in") & F.get(tail, F.lit(1)).isin(*MONTHS))
+        if basis:
+            monthly = monthly | begins("on a seasonally adjusted basis")
         fits = F.get(words, at) == unit if unit else F.lit(True)
-        signed_still = F.when(F.get(words, at - 1).rlike("^[+-]") & fits, size)  # 'was essentially unchanged (-4,000)'
-        value = F.when(still, F.coalesce(signed_still, F.lit(0.0))).when(fits, value)
-        return F.when(F.coalesce(period, F.lit(1)) == months, value)
+        value = F.when(signed & fits, size).when(said.isin(*FALLS) & fits, -size).when(said.isin(*RISES) & fits, size)
+        value = F.when(still, F.when(signed & fits, size).otherwise(0.0)).otherwise(value)  # 'was essentially unchanged (-4,000)'
+        if months is None:
+            return value
+        named = F.coalesce(period == months, monthly) if months == 1 else period == months
+        return F.when(named, value)
 
     def fact(words: Column) -> Column:
         verb = _first(words, lambda w: w.isin(*FALLS, *RISES, *STILL, *LITTLE), _behind(words, subject))
-        return _let(verb, lambda v: _let(_first(words, lambda w: _number(w).isNotNull(), v), lambda a: figure(words, v, a)))
+        number = lambda v: F.get(F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i > v) & _number(F.get(words, i - 1)).isNotNull() & ~(F.get(words, i - 1).rlike(r"^\d{1,4}$") & F.get(words, F.greatest(i - 2, F.lit(0))).isin("in", *MONTHS))), F.lit(0))
+        return _let(verb, lambda v: _let(number(v), lambda a: figure(words, v, a)))
 
     return _found(text, fact)
 
 
 def consumer_prices(text: Column, months: int = 1) -> Column:
     """Percent change of all items: of the month, or of the ``months`` that a page without monthly figures names."""
-    return change(text, "consumer price index for all urban consumers cpi-u", "percent", months)
+    return change(text, "consumer price index for all urban consumers cpi-u", "percent", months, basis=True)
 
 
 def core_prices(text: Column, months: int = 1) -> Column:
@@ -106,6 +113,20 @@ def payrolls(text: Column) -> Column:
     return change(text, "total nonfarm payroll employment") / 1000
 
 
+def archive_links(html: Column, kind: str, site: str = "https://www.bls.gov") -> Column:
+    """The releases that an index page links to: an array of (observation_period as yyyy-MM, url, label). Only pages of the kind's archive, no other formats; a label without month and year is left out."""
+    anchors = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>"), F.lit(0))
+
+    def link(anchor: Column) -> Column:
+        path = F.regexp_extract(anchor, r"(?i)href\s*=\s*[\"']([^\"']*)", 1)
+        label = squeeze(F.regexp_replace(anchor, "<[^>]*>", " "))
+        month = F.try_to_timestamp(F.regexp_extract(label, r"([A-Z][a-z]+ \d{4})", 1), F.lit("MMMM yyyy"))
+        wanted = path.rlike(rf"(?i)/archives/{kind}_\d{{8}}\.html?$") & month.isNotNull()
+        return F.when(wanted, F.struct(F.date_format(month, "yyyy-MM").alias("observation_period"), F.when(path.startswith("/"), F.concat(F.lit(site), path)).otherwise(path).alias("url"), label.alias("label")))
+
+    return F.filter(F.transform(anchors, link), lambda x: x.isNotNull())
+
+
 def _date(words: Column, after: Column | int = 0, day_first: bool = False) -> Column:
     """The first written date behind a place: 'March 5, 2021', or '5 March 2021' with ``day_first``."""
     shift = -2 if day_first else 0
