@@ -28,12 +28,17 @@ MIN_WORDS = 5
 
 
 def _keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """doc_id, text (null: empty) and a key of the row; rows equal in both are one document. ``more``: columns that come along."""
+    """doc_id, text (null: empty) and a hash of both. A row is told by the id and the hash together (``row``), so only texts of one id could be taken for each other; rows equal in both are one document. ``more``: columns that come along."""
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     more = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
     return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("row_key"), more.alias("more"))
 
 
+def _row() -> Column:
+    """What tells a row: null ids are equal in it."""
+    return F.struct("doc_id", "row_key").alias("row")
+
+
 def _place(line_no: Column) -> Column:
     """Order of lines: doc_id (nulls last), row, line."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", line_no.alias("line_no"))
@@ -66,11 +71,11 @@ def distinct_lines(keyed: DataFrame) -> DataFrame:
 
 def neighbours(keyed: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
     """The distinct lines that share a half with another: ``place`` and ``words``."""
-    halves = firsts.where(F.col("n") >= min_words).select("row_key", "line_no", F.explode("halves").alias("half"))
+    halves = firsts.where(F.col("n") >= min_words).select("doc_id", "row_key", "line_no", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    live = cut(halves.join(shared, "half", "left_semi").groupBy("row_key").agg(F.collect_set("line_no").alias("wanted")))
+    live = cut(halves.join(shared, "half", "left_semi").groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("wanted")))
     near = with_bitmap(keyed.drop("more"), "row_key", key_bitmap(live, "row_key")).where("maybe").drop("maybe")
-    found = near.join(live, "row_key").dropDuplicates(["row_key"]).select("doc_id", "row_key", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
+    found = near.withColumn("row", _row()).join(live.select(_row(), "wanted"), "row").dropDuplicates(["doc_id", "row_key"]).select("doc_id", "row_key", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
     return cut(found.select(_place(F.col("line_no")).alias("place"), F.split(F.btrim(F.expr("lines[line_no]"), F.lit(SPACE)), " ").alias("words")))
 
 
@@ -116,8 +121,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, carry: list[str] |
     keyed = _keyed(docs, carry or [])
     firsts = cut(distinct_lines(keyed))
     near = near_lines(keyed, firsts, min_words)
-    gone = near.select("place.row_key", "place.line_no")
-    kept = firsts.select("row_key", "line_no").join(gone, ["row_key", "line_no"], "left_anti").groupBy("row_key").agg(F.collect_list("line_no").alias("kept"))
+    gone = near.select("place.doc_id", "place.row_key", "place.line_no").select(_row(), "line_no")
+    kept = firsts.select("doc_id", "row_key", _row(), "line_no").join(gone, ["row", "line_no"], "left_anti").groupBy("doc_id", "row_key").agg(F.collect_list("line_no").alias("kept"))
     rebuilt = _rebuilt(keyed, cut(kept))
     return rebuilt.select("doc_id", "row_key", "n_lines", "n_removed", "text", *(F.col(f"more.{c}").alias(c) for c in carry or []))
 
@@ -126,11 +131,11 @@ def _rebuilt(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     """The texts of the kept and the blank lines. Only documents that may lose a line are joined; the rest pass as they are."""
     lines = F.split("text", "\n")
     full = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    counted = keyed.select("row_key", F.size(full).alias("n")).where("n > 0").distinct()
-    changed = cut(counted.join(kept.select("row_key", F.size("kept").alias("k")), "row_key", "left").where("k is null or k < n").select("row_key"))
+    counted = keyed.select(_row(), F.size(full).alias("n")).where("n > 0").distinct()
+    changed = cut(counted.join(kept.select(_row(), F.size("kept").alias("k")), "row", "left").where("k is null or k < n").select("row.row_key"))
     marked = with_bitmap(keyed, "row_key", key_bitmap(changed, "row_key"))
     whole = marked.where("not maybe").select("doc_id", "row_key", F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text", "more")
-    joined = marked.where("maybe").join(kept, "row_key", "left").select("doc_id", "row_key", "more", lines.alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    joined = marked.where("maybe").withColumn("row", _row()).join(kept.select(_row(), "kept"), "row", "left").select("doc_id", "row_key", "more", lines.alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     blank = F.filter(F.transform("lines", lambda x, i: F.when(F.btrim(x, F.lit(SPACE)) == "", i)), lambda i: i.isNotNull())
     stay = joined.withColumn("stay", F.array_sort(F.concat("kept", blank))).withColumn("stay", F.expr("transform(stay, i -> lines[i])"))
     cleaned = stay.select("doc_id", "row_key", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_removed"), F.array_join("stay", "\n").alias("text"), "more")

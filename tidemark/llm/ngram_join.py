@@ -148,8 +148,14 @@ def shingle_sets(text: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def node_of(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes())
+def node_of(shingles: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """The name of a set: a 64-bit hash, or a second one where different sets share the first."""
+    first = xxhash.xxh3_64_intdigest(shingles.tobytes())
+    return check_of(shingles) if first in shared else first
+
+
+def check_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=1)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -163,25 +169,34 @@ def _row_keys(doc_id: Column, text: Column) -> dict[str, Column]:
 
 
 def _nodes(keyed: DataFrame, width: int) -> DataFrame:
-    """doc_id, row_key, row_check, node (null without words) and size of the set, one row for each row."""
+    """doc_id, row_key, row_check, node (null without words), a second hash of the set and its size, one row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=2 << 20):
             sets = list(shingle_sets(texts(batch), width))
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             nodes = as_long(np.fromiter(map(node_of, sets), np.uint64, len(sets)))
+            checks = as_long(np.fromiter(map(check_of, sets), np.uint64, len(sets)))
             own = [batch.column(c) for c in ("doc_id", "row_key", "row_check")]
-            yield pa.RecordBatch.from_arrays([*own, pc.if_else(pa.array(sizes > 0), nodes, None), pa.array(sizes)], ["doc_id", "row_key", "row_check", "node", "n"])
+            yield pa.RecordBatch.from_arrays([*own, pc.if_else(pa.array(sizes > 0), nodes, None), checks, pa.array(sizes)], ["doc_id", "row_key", "row_check", "node", "set_check", "n"])
+
+    return keyed.mapInArrow(run, "doc_id long, row_key long, row_check long, node long, set_check long, n long")
+
 
-    return keyed.mapInArrow(run, "doc_id long, row_key long, row_check long, node long, n long")
+def _told_apart(base: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """Sets are told apart by 128 bits: where different ones share their first hash, the second names them. Such hashes come to the driver: n sets have some n^2 / 2^65 (three of ten billion sets)."""
+    shared = base.where("node is not null").groupBy("node").agg(F.min("set_check").alias("a"), F.max("set_check").alias("b")).where("a <> b").select("node")
+    found = [r.node for r in shared.collect()]
+    named = base.withColumn("node", F.when(F.col("node").isin(found), F.col("set_check")).otherwise(F.col("node"))) if found else base
+    return named.drop("set_check"), frozenset(x % (1 << 64) for x in found)
 
 
-def _signatures(keyed: DataFrame, width: int, bands: Bands) -> DataFrame:
+def _signatures(keyed: DataFrame, width: int, bands: Bands, shared: frozenset[int] = frozenset()) -> DataFrame:
     """(key, node) of every emitted block; copies within a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=2 << 20):
-            own = {node_of(s): s for s in shingle_sets(texts(batch), width) if len(s)}
+            own = {node_of(s, shared): s for s in shingle_sets(texts(batch), width) if len(s)}
             keys = [bands.signatures(s) for s in own.values()]
             if keys:
                 nodes = np.repeat(np.fromiter(own, np.uint64, len(own)), [len(k) for k in keys])
@@ -549,10 +564,10 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """
     bands = bands or Bands(percent)
     keyed = _keyed(docs)
-    base = cut(_nodes(keyed, width))
+    base, shared = _told_apart(cut(_nodes(keyed, width)))
     classes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"))
     bases = classes.select("node", "row_key")
-    live = cut(_signatures(keyed, width, bands).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "a long, b long, edge boolean"))
+    live = cut(_signatures(keyed, width, bands, shared).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "a long, b long, edge boolean"))
     labels = _classes(keyed, bases, live, width, bands)
     named = classes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("least_id").alias("component_id"))

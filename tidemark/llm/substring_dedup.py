@@ -65,8 +65,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _emit(keyed: DataFrame, k: int, m: int, packed: bool) -> DataFrame:
-    """The super-k-mers of every text: minimiser, k1, start, windows and, if wanted, the packed words."""
-    names = ["minimiser", "k1", "start", "windows"] + ["packed"] * packed
+    """The super-k-mers of every text: minimiser, k1 and k2 (the text), start, windows and, if wanted, the packed words."""
+    names = ["minimiser", "k1", "k2", "start", "windows"] + ["packed"] * packed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=2 << 20):
@@ -79,8 +79,8 @@ def _emit(keyed: DataFrame, k: int, m: int, packed: bool) -> DataFrame:
             minimiser, rows, first, windows = super_kmers(hashes, offsets, k, m)
             if not len(rows):
                 continue
-            k1 = batch.column("k1").to_numpy()[rows]
-            columns = [as_long(minimiser), pa.array(k1), pa.array((first - offsets[rows]).astype(np.int32)), pa.array(windows.astype(np.int32))]
+            keys = [pa.array(batch.column(c).to_numpy()[rows]) for c in ("k1", "k2")]
+            columns = [as_long(minimiser), *keys, pa.array((first - offsets[rows]).astype(np.int32)), pa.array(windows.astype(np.int32))]
             if packed:
                 buffer = b" ".join(b" ".join(x.encode("utf-8").split()) for x, n in zip(text.to_pylist(), np.diff(offsets).tolist(), strict=True) if n)
                 lengths = np.array([len(x) for x in (y.encode("utf-8") for y in words.dictionary.to_pylist())], np.int64)[words.indices.to_numpy()]
@@ -89,8 +89,8 @@ def _emit(keyed: DataFrame, k: int, m: int, packed: bool) -> DataFrame:
                 columns.append(pa.array([buffer[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "minimiser long, k1 long, start int, windows int" + ", packed binary" * packed
-    return keyed.select("k1", "text").mapInArrow(run, schema)
+    schema = "minimiser long, k1 long, k2 long, start int, windows int" + ", packed binary" * packed
+    return keyed.select("k1", "k2", "text").mapInArrow(run, schema)
 
 
 def window_bytes(packed: pa.Array, windows: np.ndarray, k: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -106,23 +106,23 @@ def window_bytes(packed: pa.Array, windows: np.ndarray, k: int) -> tuple[list[by
     return [data[i:j] for i, j in zip(begins[at].tolist(), ends[at + k - 1].tolist(), strict=True)], owner, inside
 
 
-def _runs(k1: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(k1, first, last) of runs of consecutive starts, from rows sorted by super-k-mer and place."""
-    new = np.append(True, (k1[1:] != k1[:-1]) | (start[1:] != start[:-1] + 1))
+def _runs(k1: np.ndarray, k2: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(k1, k2, first, last) of runs of consecutive starts, from rows sorted by super-k-mer and place."""
+    new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (start[1:] != start[:-1] + 1))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(k1)) - 1
-    return k1[first], start[first], start[last]
+    return k1[first], k2[first], start[first], start[last]
 
 
 def _count_bucket(k: int):
     """Counts the windows of whole buckets; rows come sorted by minimiser. Windows of hot minimisers leave as hashes."""
-    names = ["k1", "first", "last", "w1", "w2"]
+    names = ["k1", "k2", "first", "last", "w1", "w2"]
 
     def ranges(table: pa.Table) -> pa.RecordBatch | None:
-        windows, k1, start = (table.column(c).to_numpy().astype(np.int64) for c in ("windows", "k1", "start"))
+        windows, k1, k2, start = (table.column(c).to_numpy().astype(np.int64) for c in ("windows", "k1", "k2", "start"))
         cut_, owner, inside = window_bytes(table.column("packed").combine_chunks(), windows, k)
         codes = pa.array(cut_, pa.binary()).dictionary_encode().indices.to_numpy()
-        where = mix(k1.view(np.uint64))[owner] + (start[owner] + inside).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        where = mix(k1.view(np.uint64) ^ mix(k2.view(np.uint64)))[owner] + (start[owner] + inside).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         order = np.argsort(codes, kind="stable")
         edges = np.flatnonzero(np.append(True, np.diff(codes[order]) != 0))
         sorted_ = where[order]
@@ -130,16 +130,16 @@ def _count_bucket(k: int):
         again[order] = np.repeat(np.minimum.reduceat(sorted_, edges) != np.maximum.reduceat(sorted_, edges), np.diff(np.append(edges, len(codes))))
         if not again.any():
             return None
-        a, b, c = _runs(k1[owner[again]], start[owner[again]] + inside[again])
+        a, b, first, last = _runs(k1[owner[again]], k2[owner[again]], start[owner[again]] + inside[again])
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b.astype(np.int32)), pa.array(c.astype(np.int32)), none, none], names)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), none, none], names)
 
     def hashed(table: pa.Table) -> pa.RecordBatch:
-        windows, k1, start = (table.column(c).to_numpy().astype(np.int64) for c in ("windows", "k1", "start"))
+        windows, k1, k2, start = (table.column(c).to_numpy().astype(np.int64) for c in ("windows", "k1", "k2", "start"))
         cut_, owner, inside = window_bytes(table.column("packed").combine_chunks(), windows, k)
         both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in cut_), ">u8").astype(np.uint64).reshape(-1, 2)
         at = pa.array((start[owner] + inside).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(k1[owner]), at, at, as_long(both[:, 0].copy()), as_long(both[:, 1].copy())], names)
+        return pa.RecordBatch.from_arrays([pa.array(k1[owner]), pa.array(k2[owner]), at, at, as_long(both[:, 0].copy()), as_long(both[:, 1].copy())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -185,17 +185,20 @@ def _marked(packed: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def repeated_windows(keyed: DataFrame, k: int, m: int, hot: int) -> DataFrame:
-    """(k1, first, last): ranges of starts of repeated windows of each text, other texts and other places of it considered."""
-    seen = _emit(keyed, k, m, packed=False).groupBy("minimiser").agg(F.count("*").alias("c"), F.min(F.xxhash64("k1", "start")).alias("a"), F.max(F.xxhash64("k1", "start")).alias("b"))
+    """(k1, k2, first, last): ranges of starts of repeated windows of each text, other texts and other places of it considered."""
+    place = F.xxhash64("k1", "k2", "start")
+    seen = _emit(keyed, k, m, packed=False).groupBy("minimiser").agg(F.count("*").alias("c"), F.min(place).alias("a"), F.max(place).alias("b"))
     live = cut(seen.where("a <> b").select("minimiser", (F.col("c") > hot).alias("hot")))
     sent = _marked(_emit(keyed, k, m, packed=True), live)
-    bucket = F.when(F.col("hot"), F.xxhash64("k1", "start")).otherwise(F.col("minimiser"))
-    dealt = sent.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("minimiser").select("minimiser", "k1", "start", "windows", "packed", "hot")
-    counted = cut(dealt.mapInArrow(_count_bucket(k), "k1 long, first int, last int, w1 long, w2 long"))
+    bucket = F.when(F.col("hot"), place).otherwise(F.col("minimiser"))
+    dealt = sent.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("minimiser").select("minimiser", "k1", "k2", "start", "windows", "packed", "hot")
+    counted = cut(dealt.mapInArrow(_count_bucket(k), "k1 long, k2 long, first int, last int, w1 long, w2 long"))
     spread = counted.where("w1 is not null")
     # cut, so that the join deals out both sides itself and a frequent window's rows can be split between tasks
-    again = cut(spread.groupBy("w1", "w2").agg(F.min(F.xxhash64("k1", "first")).alias("a"), F.max(F.xxhash64("k1", "first")).alias("b")).where("a <> b").select("w1", "w2"))
-    return counted.where("w1 is null").select("k1", "first", "last").unionByName(spread.join(again, ["w1", "w2"], "left_semi").select("k1", "first", "last")).distinct()
+    here = F.xxhash64("k1", "k2", "first")
+    again = cut(spread.groupBy("w1", "w2").agg(F.min(here).alias("a"), F.max(here).alias("b")).where("a <> b").select("w1", "w2"))
+    own = ["k1", "k2", "first", "last"]
+    return counted.where("w1 is null").select(*own).unionByName(spread.join(again, ["w1", "w2"], "left_semi").select(*own)).distinct()
 
 
 def _strip(k: int):
@@ -238,10 +241,10 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, hot:
     keyed = _keyed(docs)
     copies = keyed.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2", F.lit(True).alias("copied"))
     found = repeated_windows(keyed, k, m, hot)
-    ranges = found.groupBy("k1").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    affected = cut(copies.join(ranges, "k1", "full_outer").select("k1", "k2", F.coalesce("copied", F.lit(False)).alias("copied"), F.when(F.col("copied").isNull(), F.col("ranges")).alias("ranges")))
+    ranges = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    affected = cut(copies.join(ranges, ["k1", "k2"], "full_outer").select("k1", "k2", F.coalesce("copied", F.lit(False)).alias("copied"), F.when(F.col("copied").isNull(), F.col("ranges")).alias("ranges")))
     marked = with_bitmap(keyed, "k1", key_bitmap(affected, "k1"))
     schema = "doc_id long, n_words long, n_removed long, kept string"
     whole = marked.where("not maybe").select("doc_id", "text").mapInArrow(_strip(k), schema)
-    part = marked.where("maybe").join(affected.withColumnRenamed("k2", "copy_k2"), "k1", "left").select("doc_id", "text", "ranges", (F.coalesce("copied", F.lit(False)) & (F.coalesce("copy_k2", F.lit(0)) == F.col("k2"))).alias("copied")).mapInArrow(_strip(k), schema)
+    part = marked.where("maybe").join(affected, ["k1", "k2"], "left").select("doc_id", "text", "ranges", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(_strip(k), schema)
     return whole.unionByName(part)
