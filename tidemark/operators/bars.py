@@ -50,6 +50,32 @@ def decode_deltas(candles: DataFrame, by: str) -> DataFrame:
     return candles.withColumn("units", F.sum("delta").over(chain)).withColumn("price", F.col("base") + F.col("units") * F.col("multiplier"))
 
 
+CANDLES = "timestamp long, multiplier double, shift long, open double, high double, low double, close double, " + ", ".join(f"{c} array<double>" for c in ("times", "opens", "highs", "lows", "closes", "volumes"))
+
+
+def candle_fault(shift_ms: int = 3_600_000) -> Column:
+    """Why a payload of delta-encoded candles breaks its contract; null for a sound one. The first in this order: unreadable, shift (not that of the bars), unaligned (a start between bars), length (arrays of several lengths or none), negative_time, fractional (a delta that is no whole number)."""
+    arrays = [F.col(c) for c in ("times", "opens", "highs", "lows", "closes", "volumes")]
+    plain = [F.col(c) for c in ("timestamp", "multiplier", "shift", "open", "high", "low", "close")]
+    missing, uneven, fractional = F.lit(False), F.size("times") == 0, F.lit(False)
+    for c in [*plain, *arrays]:
+        missing = missing | c.isNull()
+    for c in arrays[1:]:
+        uneven = uneven | (F.size(c) != F.size("times"))
+    for c in arrays[:-1]:
+        fractional = fractional | F.exists(c, lambda x: x.isNull() | (x != F.floor(x)))
+    return (
+        F.when(missing, "unreadable").when(F.col("shift") != shift_ms, "shift").when(F.col("timestamp") % shift_ms != 0, "unaligned").when(uneven, "length")
+        .when(F.exists("times", lambda x: x < 0), "negative_time").when(fractional, "fractional")
+    )
+
+
+def read_candles(payloads: DataFrame, shift_ms: int = 3_600_000) -> DataFrame:
+    """Payloads (id, content as JSON text) as the columns of ``CANDLES`` with ``fault``; ``explode_candles`` takes those without one. A payload with a fault gives no bars at all, as its chain cannot be trusted."""
+    parsed = payloads.select("id", F.from_json(F.col("content").cast("string"), CANDLES).alias("p")).select("id", "p.*")
+    return parsed.withColumn("fault", candle_fault(shift_ms))
+
+
 def explode_candles(blobs: DataFrame, shift_ms: int = 3_600_000) -> DataFrame:
     """Delta-encoded candle arrays to rows. Columns: id, timestamp (ms), multiplier, open, high, low, close (bases), times, opens,
     highs, lows, closes (integer deltas), volumes."""
@@ -75,7 +101,7 @@ def quarantine(rows: DataFrame) -> DataFrame:
 def expected_hours(days: DataFrame, holidays: DataFrame) -> DataFrame:
     """Hours of each weekday session that holidays do not cover wholly: days (session_date) and holidays (from_ts, till_ts).
 
-    Overlapping holidays are merged first, so that no second counts twice.
+    Holidays count together: an hour that several of them cover without a gap is no expected one.
     """
     from ..functions.columns import from_zone
 
@@ -83,11 +109,16 @@ def expected_hours(days: DataFrame, holidays: DataFrame) -> DataFrame:
     opened = from_zone(F.date_sub("session_date", 1).cast("timestamp_ntz") + F.expr("INTERVAL 17 HOURS"), "America/New_York")
     hours = days.where(F.dayofweek("session_date").between(2, 6)).select("session_date", opened.alias("opened"), close.alias("closed"))
     hours = hours.select("session_date", F.explode(F.sequence("opened", F.col("closed") - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))).alias("hour"))
-    before = Window.orderBy("from_ts", "till_ts").rowsBetween(Window.unboundedPreceding, -1)
-    marked = holidays.withColumn("new", (F.coalesce(F.max("till_ts").over(before) < F.col("from_ts"), F.lit(True))).cast("int"))
-    merged = marked.withColumn("run", F.sum("new").over(Window.orderBy("from_ts", "till_ts"))).groupBy("run").agg(F.min("from_ts").alias("from_ts"), F.max("till_ts").alias("till_ts"))
-    cover = hours.join(F.broadcast(merged), (F.col("from_ts") <= F.col("hour")) & (F.col("till_ts") >= F.col("hour") + F.expr("INTERVAL 1 HOUR")), "left_anti")
-    return cover
+    # the hours that each holiday touches, with the minutes that it covers of them; holidays that overlap within an hour are merged there
+    hour_of = lambda ts: F.to_timestamp_ntz(F.date_format(ts, "yyyy-MM-dd HH"), F.lit("yyyy-MM-dd HH"))
+    touched = holidays.where("from_ts < till_ts").select("from_ts", "till_ts", F.explode(F.sequence(hour_of(F.col("from_ts")), hour_of(F.col("till_ts")), F.expr("INTERVAL 1 HOUR"))).alias("hour"))
+    end = F.col("hour") + F.expr("INTERVAL 1 HOUR")
+    parts = touched.select("hour", F.greatest("from_ts", "hour").cast("timestamp_ntz").alias("a"), F.least(F.col("till_ts"), end).cast("timestamp_ntz").alias("b")).where("a < b").distinct()
+    line = Window.partitionBy("hour").orderBy("a", "b")
+    reached = F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    gapless = parts.withColumn("joins", F.col("a") <= F.coalesce(reached, F.col("hour")))
+    covered = gapless.groupBy("hour").agg(F.bool_and("joins").alias("whole"), F.max("b").alias("b")).where(F.col("whole") & (F.col("b") >= F.col("hour") + F.expr("INTERVAL 1 HOUR"))).select("hour")
+    return hours.join(covered, "hour", "left_anti").select("session_date", "hour")
 
 
 def missing_hours(expected: DataFrame, hourly: DataFrame) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..folders import shared_folder
-from ..operators import bars
-from ..sources import releases, series
+from ..operators import bars, publish
+from ..sources import raw, releases, series
 from ..streaming import bars as streaming
+from . import data
+from .data import HOURLY
 from .registry import query, table
 
 
@@ -129,3 +131,57 @@ def release_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     facts = read.select("d", releases.embargo(t).alias("embargo"), releases.payrolls(t).alias("jobs"), releases.consumer_prices(t).alias("month_prices"), releases.consumer_prices(t, 2).alias("two_month_prices"), releases.target_range(t).alias("_r"), releases.key_rates(t).alias("_k"), releases.effective_date(t).alias("_e"))
     return facts.select(F.col("d").cast("string").alias("d"), F.date_format("embargo", "yyyy-MM-dd HH:mm:ss").alias("embargo"), "jobs", "month_prices", "two_month_prices", "_r.lower", "_r.upper", *(F.col("_k")[k].alias(k) for k in ("deposit", "refinancing", "lending")), F.col("_e").cast("string").alias("effective"))
+
+
+# ---- candles as JSON payloads, stored, pinned, published and replayed
+
+PRICES = ("open", "high", "low", "close")
+#: Payloads are days; these hold a fault, by the day of the month.
+FAULTS = {3: "shift", 5: "unaligned", 7: "length", 9: "negative_time", 11: "fractional", 13: "unreadable"}
+
+
+def _candle_payloads(spark: SparkSession, sf_dir: str, faulty: bool) -> DataFrame:
+    """One JSON document for each day of hourly bars: whole cents as deltas from bar to bar, starts as hours from the bar before."""
+    hourly = bars.bars(data.ticks(spark, sf_dir), "hour").select("bar_start", "ticks", F.to_date("bar_start").alias("day"), F.hour("bar_start").alias("h"), *(F.round(F.col(c) * 100).cast("long").alias(c) for c in PRICES))
+    line = Window.partitionBy("day").orderBy("h")
+    delta = hourly.select("day", "h", F.col("ticks").cast("double").alias("volumes"), (F.col("h") - F.lag("h", 1, 0).over(line)).cast("double").alias("times"), *((F.col(c) - F.lag(c, 1, 0).over(line)).cast("double").alias(f"{c}s") for c in PRICES))
+    names = ("times", "opens", "highs", "lows", "closes", "volumes")
+    days = delta.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("h", *names))).alias("x"))
+    of = {c: F.col(f"x.{c}") for c in names}
+    fault = F.dayofmonth("day") if faulty else F.lit(0)
+    start = F.unix_millis(F.col("day").cast("timestamp"))
+    of["opens"] = F.when(fault == 7, F.concat(of["opens"], F.array(F.lit(1.0)))).otherwise(of["opens"])
+    of["times"] = F.when(fault == 9, F.transform(of["times"], lambda t: -1 - t)).otherwise(of["times"])
+    of["highs"] = F.when(fault == 11, F.transform(of["highs"], lambda t: t + 0.5)).otherwise(of["highs"])
+    fields = [F.when(fault == 5, start + 1).otherwise(start).alias("timestamp"), F.lit(0.01).alias("multiplier"), F.when(fault == 3, 60000).otherwise(3600000).cast("long").alias("shift"), *(F.lit(0.0).alias(c) for c in PRICES), *(of[c].alias(c) for c in names)]
+    text = F.to_json(F.struct(*fields))
+    return days.select(F.col("day").cast("string").alias("id"), F.when(fault == 13, F.substring(text, 1, 50)).otherwise(text).alias("content"))
+
+
+def _decoded(payloads: DataFrame) -> DataFrame:
+    rows = bars.explode_candles(bars.read_candles(payloads).where("fault is null"))
+    return rows.select(F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss").alias("bar_start"), *(F.round(c, 2).alias(c) for c in PRICES), F.col("volume").cast("long").alias("ticks"))
+
+
+@query(f"WITH {HOURLY} SELECT strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS bar_start, open, high, low, close, ticks FROM hourly WHERE day(bar_start) NOT IN ({', '.join(map(str, FAULTS))})")
+def candle_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars through JSON payloads; those that break the contract give no bars."""
+    return _decoded(_candle_payloads(spark, sf_dir, faulty=True))
+
+
+@query(f"WITH {HOURLY}, f AS (SELECT DISTINCT bar_start::DATE AS d FROM hourly) SELECT coalesce(CASE day(d) {' '.join(f"WHEN {k} THEN '{v}'" for k, v in FAULTS.items())} END, '') AS fault, count(*) AS payloads FROM f GROUP BY 1")
+def candle_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.read_candles(_candle_payloads(spark, sf_dir, faulty=True)).groupBy(F.coalesce("fault", F.lit("")).alias("fault")).agg(F.count("*").alias("payloads"))
+
+
+@query(f"WITH {HOURLY} SELECT strftime(bar_start, '%Y-%m-%d %H:%M:%S') AS bar_start, open, high, low, close, ticks, 2 AS version FROM hourly")
+def replayed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads stored with receipts, pinned, published as the first version and replayed from the store as the second, which is read back."""
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    fetched = _candle_payloads(spark, sf_dir, faulty=False).select(F.lit("ticks").alias("source"), F.col("id").alias("url"), F.lit(200).alias("status"), F.lit("2024-03-01").cast("timestamp").alias("fetched_at"), F.encode("content", "utf-8").alias("content"))
+    raw.keep(fetched, f"{folder}/store")
+    pins = raw.pinned(raw.receipts(spark, f"{folder}/store"), raw.payloads(spark, f"{folder}/store"))
+    rows = _decoded(pins.select(F.col("url").alias("id"), F.decode("content", "utf-8").alias("content")))
+    publish.publish_version(rows, folder, "bars", 0, pins=pins, by=["bar_start"])
+    report = publish.replay(rows, folder, "bars", pins)
+    return publish.published(spark, folder).withColumn("version", F.lit(report["version"]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,42 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
     write_text(spark, path, json.dumps(value, sort_keys=True, allow_nan=False))
 
 
+def create_json(spark: SparkSession, path: str, value: object) -> bool:
+    """Create a small JSON file unless it is there already; whether this call created it. Of several writers one creates it: the file is written aside and renamed without overwriting, which the file systems do in one step."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(str(path))
+    beside = jvm.org.apache.hadoop.fs.Path(f"{target.getParent()}/.{uuid.uuid4().hex}")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else jvm.java.io.File("/").toURI(), spark._jsc.hadoopConfiguration())
+    out = system.create(beside)
+    out.write(bytearray(json.dumps(value, sort_keys=True, allow_nan=False).encode("utf-8")))
+    out.close()
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        files.rename(system.makeQualified(beside), system.makeQualified(target), none)
+    except Py4JJavaError as error:
+        system.delete(beside, False)
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of a folder's <number>.json files, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(path)]
+    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+
 def _table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
