@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..folders import cut
 from ..functions.columns import guarded_corr, sign_test, softmax, tercile
-from ..operators import events, features, inference, linear
+from ..operators import events, features, heads, inference, linear
 from . import data
 from .data import DAILY, GRID
 from .registry import query, table
@@ -253,6 +253,38 @@ def embedding_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.orderBy("validation_log_loss", "temperature").limit(1)
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings in order of their ids: the first three fifths to learn from, the next to choose by, the last to test."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label").cast("long") % 3).cast("int").alias("label"), "embedding")
+    bounds = e.agg(F.max("vec_id").alias("last")).withColumn("one", F.lit(1))
+    place = F.col("vec_id") / (F.col("last") + 1)
+    return e.withColumn("one", F.lit(1)).join(F.broadcast(bounds), "one").withColumn("part", F.when(place < 0.6, "train").when(place < 0.8, "validation").otherwise("test")).drop("one", "last")
+
+
+def _width(rows: DataFrame) -> int:
+    return rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
+@query()
+def ridge_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ridge head on the embeddings: penalty and temperature from the validation part, refit, probabilities for each test row."""
+    rows = _parts(spark, sf_dir)
+    width = _width(rows)
+    head = heads.fit_head(rows, "embedding", "label", "part", 3, width)
+    out = heads.predict_head(rows.where("part = 'test'"), "embedding", head, width)
+    return out.select("vec_id", "label", "predicted", *(F.get("probabilities", F.lit(k)).alias(f"p{k}") for k in range(3)))
+
+
+@query()
+def ridge_head_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ridge head chose and how it does on the test part, beside always naming the most frequent class."""
+    rows = _parts(spark, sf_dir)
+    width = _width(rows)
+    head = heads.fit_head(rows, "embedding", "label", "part", 3, width)
+    report = heads.head_report(heads.predict_head(rows.where("part = 'test'"), "embedding", head, width), "label", 3)
+    return report.select(F.lit(head.penalty).alias("penalty"), F.lit(head.temperature).alias("temperature"), F.lit(head.validation_loss).alias("validation_loss"), "*")
+
+
 @query()
 def elastic_net_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linear.walk_forward(_stats(spark, sf_dir), FEATURES, (0.0001, 0.001, 0.01), kind="elastic_net", l1_ratios=(0.1, 0.5, 0.9), minimum=SMALL)
