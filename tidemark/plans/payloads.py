@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import lzma
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..folders import shared_folder
 from ..operators import bars, publish
-from ..sources import raw, releases, series
+from ..sources import archives, raw, releases, series
 from ..streaming import bars as streaming
 from . import data
 from .data import HOURLY
@@ -185,3 +188,42 @@ def replayed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     publish.publish_version(rows, folder, "bars", 0, pins=pins, by=["bar_start"])
     report = publish.replay(rows, folder, "bars", pins)
     return publish.published(spark, folder).withColumn("version", F.lit(report["version"]))
+
+
+# ---- ticks in daily LZMA files, read back as a data source
+
+
+def _packed(key: tuple, day: pd.DataFrame) -> pd.DataFrame:
+    """One file of a day's ticks."""
+    ordered = day.sort_values(["ms", "tick_id"])
+    records = np.zeros(len(ordered), series.TICK)
+    for c in ("ms", "ask", "bid", "ask_volume", "bid_volume"):
+        records[c] = ordered[c].to_numpy()
+    return pd.DataFrame({"name": [f"{key[0]}.bi5"], "content": [lzma.compress(records.tobytes(), format=lzma.FORMAT_ALONE)]})
+
+
+ARCHIVED = "tk AS (SELECT ts::DATE AS day, CAST(epoch_us(ts) // 1000 % 86400000 AS BIGINT) AS ms, tick_id, CAST(round(price * 100) AS BIGINT) AS bid, CAST(round(price * 100) AS BIGINT) + tick_id % 7 AS ask FROM ticks)"
+
+
+def _tick_archive(spark: SparkSession, sf_dir: str) -> str:
+    """The purchases as ticks in cents, a file a day."""
+    folder = f"{shared_folder(spark)}/ticks-{uuid.uuid4().hex}"
+    t = data.ticks(spark, sf_dir).select(
+        F.to_date("ts").cast("string").alias("day"), (F.unix_millis(F.col("ts").cast("timestamp")) % 86400000).alias("ms"), "tick_id", F.round(F.col("price") * 100).cast("long").alias("bid"),
+        (F.round(F.col("price") * 100).cast("long") + F.col("tick_id") % 7).alias("ask"), F.lit(1.5).alias("ask_volume"), F.lit(0.5).alias("bid_volume"))
+    archives.write_files(t.groupBy("day").applyInPandas(_packed, "name string, content binary"), folder)
+    return folder
+
+
+@query(f"WITH {data.TICKS}, {ARCHIVED} SELECT CAST(day AS VARCHAR) AS day, ms, round(bid / 100.0, 2) AS bid, round(ask / 100.0, 2) AS ask, row_number() OVER (PARTITION BY day ORDER BY ms, tick_id) - 1 AS tick_id FROM tk")
+def archived_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tick through daily LZMA files and back."""
+    out = archives.read_ticks(spark, _tick_archive(spark, sf_dir), ["day", "ms", "bid", "ask", "tick_id"], points=100)
+    return out.select(F.col("day").cast("string").alias("day"), "ms", F.round("bid", 2).alias("bid"), F.round("ask", 2).alias("ask"), "tick_id")
+
+
+@query(f"WITH {data.TICKS}, {ARCHIVED} SELECT CAST(day AS VARCHAR) AS day, count(*) AS ticks, round(max(ask - bid) / 100.0, 2) AS widest, strftime(max(day + to_milliseconds(ms)), '%H:%M:%S') AS last FROM tk WHERE day >= DATE '2024-01-10' AND day < DATE '2024-01-20' GROUP BY day")
+def archived_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten days' spreads: only their files are opened, and no volumes are decoded."""
+    out = archives.read_ticks(spark, _tick_archive(spark, sf_dir), ["day", "ts", "bid", "ask"], points=100).where("day >= date'2024-01-10' and day < date'2024-01-20'")
+    return out.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("ticks"), F.round(F.max(F.col("ask") - F.col("bid")), 2).alias("widest"), F.date_format(F.max("ts"), "HH:mm:ss").alias("last"))

@@ -139,20 +139,30 @@ def unzip(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
 TICK = np.dtype([("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_volume", ">f4"), ("bid_volume", ">f4")])
 
 
+def decode_ticks(body: bytes, name: str) -> np.ndarray:
+    """The records of one LZMA tick file. Broken, unordered or impossible ticks are an error that names the file."""
+    try:
+        raw = lzma.decompress(body)
+    except lzma.LZMAError as error:
+        raise ValueError(f"{name}: not an LZMA file") from error
+    if not raw or len(raw) % TICK.itemsize:
+        raise ValueError(f"{name}: misaligned tick file")
+    t = np.frombuffer(raw, TICK)
+    ms = t["ms"].astype(np.int64)
+    volumes = np.concatenate([t["ask_volume"], t["bid_volume"]]).astype(float)
+    if (np.diff(ms) < 0).any() or ms[-1] >= 86_400_000 or (t["ask"] < t["bid"]).any() or (t["bid"] == 0).any() or not np.isfinite(volumes).all() or (volumes < 0).any():
+        raise ValueError(f"{name}: ticks out of order or range")
+    return t
+
+
 def tick_files(files: DataFrame, points: int = 100_000) -> DataFrame:
     """LZMA tick files (id, day, content binary): id, ts (naive UTC), tick_id, bid, ask, volumes. A broken file is an error."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for key, day, body in zip(part["id"], part["day"], part["content"], strict=True):
-                raw = lzma.decompress(body)
-                if not raw or len(raw) % TICK.itemsize:
-                    raise ValueError(f"{key}: misaligned tick file")
-                t = np.frombuffer(raw, TICK)
+                t = decode_ticks(body, key)
                 ms = t["ms"].astype(np.int64)
-                volumes = np.concatenate([t["ask_volume"], t["bid_volume"]]).astype(float)
-                if (np.diff(ms) < 0).any() or ms[-1] >= 86_400_000 or (t["ask"] < t["bid"]).any() or (t["bid"] == 0).any() or not np.isfinite(volumes).all() or (volumes < 0).any():
-                    raise ValueError(f"{key}: ticks out of order or range")
                 yield pd.DataFrame({"id": key, "ts": pd.Timestamp(day) + pd.to_timedelta(ms, unit="ms"), "tick_id": np.arange(len(t)), "bid": t["bid"].astype(float) / points, "ask": t["ask"].astype(float) / points, "bid_volume": t["bid_volume"].astype(float), "ask_volume": t["ask_volume"].astype(float)})
 
     return files.select("id", "day", "content").mapInPandas(run, "id string, ts timestamp_ntz, tick_id long, bid double, ask double, bid_volume double, ask_volume double")
