@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A variance up to this counts as zero.
 FLAT = 1e-18
+#: Trials up to which a sign test adds up the binomial tail term by term.
+MOST_TRIALS = 20_000
 
 
 def guarded_corr(x: Column, y: Column, least: int = 3) -> Column:
@@ -30,8 +32,8 @@ def erfc(x: Column) -> Column:
 
 
 def sign_test(k: Column, n: Column) -> Column:
-    """Exact two-sided sign test: twice the lower binomial tail at 1/2, at most 1; no trials give 1."""
-    low = F.least(k, n - k)
+    """Two-sided sign test: twice the lower binomial tail at 1/2, at most 1; no trials give 1. Exact up to ``MOST_TRIALS``; beyond, the normal tail with its correction for continuity."""
+    low = F.when(n <= MOST_TRIALS, F.least(k, n - k)).otherwise(F.lit(0))
     # log C(n, i) is a sum of logs; the tail is summed from it
     tail = F.aggregate(
         F.sequence(F.lit(0), low.cast("int")), F.struct(F.lit(0.0).alias("log_c"), F.lit(0.0).alias("total")),
@@ -41,7 +43,8 @@ def sign_test(k: Column, n: Column) -> Column:
         ),
         lambda acc: acc["total"],
     )
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    wide = erfc(F.greatest(F.abs(n - 2 * k) - 1, F.lit(0)) / F.sqrt(2.0 * n))
+    return F.when(n == 0, F.lit(1.0)).when(n > MOST_TRIALS, wide).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def softmax(scores: Column, temperature: float = 1.0) -> Column:

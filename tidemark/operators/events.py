@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import cut
+from . import ordered
+
 
 def session_targets(events: DataFrame, sessions: DataFrame, horizons: tuple[int, ...] = (1, 5, 20, 60)) -> DataFrame:
     """Returns from an event's anchor price over whole sessions.
@@ -27,18 +30,20 @@ def session_targets(events: DataFrame, sessions: DataFrame, horizons: tuple[int,
 
 def overlapping(rows: DataFrame, by: list[str], start: str, end: str, key: list[str]) -> DataFrame:
     """Adds ``overlaps``: the window starts before an earlier one of its group has ended."""
-    line = Window.partitionBy(*by).orderBy(start, end, *key).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("overlaps", F.coalesce(F.col(start) < F.max(end).over(line), F.lit(False)))
+    reached = ordered.running_max_before(rows, by, [start, end, *key], end, "_reached")
+    return reached.withColumn("overlaps", F.coalesce(F.col(start) < F.col("_reached"), F.lit(False))).drop("_reached")
 
 
 def summary(rows: DataFrame, by: list[str], ret: str, least: int = 8) -> DataFrame:
     """Count, mean, median, sample sd, share of positive returns, errors against zero and overlaps of each group."""
     value = F.col(ret)
-    out = rows.where(value.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_samp(value).alias("sd"),
+    rows = cut(rows.where(value.isNotNull()).select(*by, ret, "overlaps"))
+    median = ordered.quantiles(rows, by, ret, {"median": 0.5})
+    out = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
         F.avg((value > 0).cast("double")).alias("positive_share"), F.avg(F.abs(value)).alias("mae_zero"), F.sqrt(F.avg(value * value)).alias("rmse_zero"), F.count_if("overlaps").alias("n_overlapping"),
     )
-    return out.withColumn("status", F.when(F.col("n") < least, "insufficient").otherwise("diagnostic"))
+    return out.join(median, by).withColumn("status", F.when(F.col("n") < least, "insufficient").otherwise("diagnostic"))
 
 
 def trailing_percentile(events: DataFrame, history: DataFrame, value: str, least: int = 8, most: int = 52) -> DataFrame:

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import cut
 from ..functions.columns import erfc
+from . import ordered
 
 
 def hac_mean(rows: DataFrame, by: list[str], order: list[str], value: str, lags: int) -> DataFrame:
     """Mean of each group with its Newey-West standard error (Bartlett weights, autocovariances over n), t and two-sided p."""
-    line = Window.partitionBy(*by).orderBy(*order)
-    centred = rows.where(F.col(value).isNotNull()).withColumn("_e", F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
+    given = cut(rows.where(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("_v")))
+    means = given.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    # groups are a few or each is small; either way their means are no more than a row each
+    centred = ordered.with_lags(given.join(means, by).withColumn("_e", F.col("_v") - F.col("mean")), by, order, "_e", lags)
     products = [F.sum(F.col("_e") * F.col("_e")).alias("_g0")]
-    for k in range(1, lags + 1):
-        centred = centred.withColumn(f"_l{k}", F.lag("_e", k).over(line))
-        products.append(F.sum(F.col("_e") * F.col(f"_l{k}")).alias(f"_g{k}"))
-    out = centred.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *products)
+    products += [F.sum(F.col("_e") * F.col(f"_l{k}")).alias(f"_g{k}") for k in range(1, lags + 1)]
+    out = centred.groupBy(*by, "n", "mean").agg(*products)
     long_run = F.col("_g0") / F.col("n")
     for k in range(1, lags + 1):
         long_run = long_run + 2 * (1 - k / (lags + 1)) * F.coalesce(F.col(f"_g{k}"), F.lit(0.0)) / F.col("n")
@@ -47,15 +51,50 @@ def _draw(seed: int, *parts: Column) -> Column:
     return F.xxhash64(F.lit(seed), *parts)
 
 
-def _poisson(draw: Column) -> Column:
-    """A hash as a Poisson number of mean 1."""
-    u, at, term, out = F.shiftrightunsigned(draw, 11), 0.0, math.exp(-1), None
-    for k in range(16):
-        at += term
-        term /= k + 1
-        less = u < F.lit(int(at * 2**53))
-        out = F.when(less, F.lit(k)) if out is None else out.when(less, F.lit(k))
-    return out.otherwise(F.lit(16)).cast("long")
+#: Cumulative chances of a Poisson number of mean 1, and rows whose weights are drawn at once.
+_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))
+AT_ONCE = 512
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Finaliser of a 64-bit hash."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def poisson_weights(hashes: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """How often each replicate (column) counts each row: Poisson numbers of mean 1 from the row's hash, the replicate and the seed."""
+    salt = _mixed(np.arange(reps, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+    u = (_mixed(hashes.astype(np.uint64)[:, None] ^ salt[None, :]) >> np.uint64(11)) * 2.0**-53
+    return np.searchsorted(_POISSON, u, side="right")
+
+
+def _replicate_sums(rows: DataFrame, by: list[str], reps: int, seed: int) -> DataFrame:
+    """(``by``, _r, _t, _c): what each task's rows (``_q``, ``_h``) add to every replicate of their group: a row for each group and replicate of a task, however many rows it has."""
+    kinds = {f.name: f for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            q, h = batch.column("_q").to_numpy(), batch.column("_h").to_numpy().view(np.uint64)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else [()] * batch.num_rows
+            names = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            group = np.fromiter((names[k] for k in keys), np.int64, len(keys))
+            for k, i in names.items():
+                own = np.flatnonzero(group == i)
+                sums = held.setdefault(k, np.zeros((2, reps), np.int64))
+                for at in range(0, len(own), AT_ONCE):
+                    part = own[at : at + AT_ONCE]
+                    w = poisson_weights(h[part], reps, seed)
+                    sums[0] += q[part] @ w
+                    sums[1] += w.sum(axis=0)
+        for k, sums in held.items():
+            columns = [pa.array([x] * reps, batch.schema.field(c).type) for x, c in zip(k, by, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(reps, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], [*by, "_r", "_t", "_c"])
+
+    schema = "".join(f"`{c}` {kinds[c].dataType.simpleString()}, " for c in by) + "_r int, _t long, _c long"
+    return rows.mapInArrow(run, schema)
 
 
 def bootstrap_mean(rows: DataFrame, by: list[str], order: list[str], value: str, reps: int = 1000, seed: int = 7) -> DataFrame:
@@ -70,9 +109,8 @@ def bootstrap_mean(rows: DataFrame, by: list[str], order: list[str], value: str,
     bits = F.when(F.col("_top") > 0, F.lit(59) - F.ceil(F.log2(F.col("_top")) + F.log2(F.col("n"))))
     exact = exact.select(*by, "n", "mean", F.pow(F.lit(2.0), F.coalesce(F.least(bits, F.lit(1000)), F.lit(0)).cast("double")).alias("_scale"))
     whole = given.join(exact, by)
-    drawn = whole.select(*by, F.round(F.col("_v") * F.col("_scale")).cast("long").alias("_q"), "_h", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_r"))
-    counted = drawn.select(*by, "_r", "_q", _poisson(_draw(seed, F.col("_r"), F.col("_h"))).alias("_w")).where("_w > 0")
-    sums = counted.groupBy(*by, "_r").agg(F.sum(F.col("_w") * F.col("_q")).alias("_t"), F.sum("_w").alias("_c"))
+    scaled = whole.select(*by, F.round(F.col("_v") * F.col("_scale")).cast("long").alias("_q"), "_h")
+    sums = _replicate_sums(scaled, by, reps, seed).groupBy(*by, "_r").agg(F.sum("_t").alias("_t"), F.sum("_c").alias("_c")).where("_c > 0")
     means = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.col("_t") / F.col("_c"))).alias("_m"))
     size = F.size("_m")
     low, high = F.greatest(F.floor(size * 0.025).cast("int") - 1, F.lit(0)), F.greatest(F.floor(size * 0.975).cast("int") - 1, F.lit(0))
