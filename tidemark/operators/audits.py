@@ -84,3 +84,11 @@ def chronological_windows(numbered: DataFrame, size: int, step: int, least: int,
 def closed(bars: DataFrame, start: str, end: str, minutes: int) -> DataFrame:
     """Bars that lie wholly in [start, end]."""
     return bars.where((F.col("bar_start") >= F.lit(start).cast("timestamp_ntz")) & (F.col("bar_start") + F.expr(f"INTERVAL {minutes} MINUTES") <= F.lit(end).cast("timestamp_ntz")))
+
+
+def missing_phrases(documents: DataFrame, name: str, text: str, required: dict[str, list[str]]) -> DataFrame:
+    """(``name``, missing): documents whose contract names phrases that their text does not hold any more, case aside; ``missing`` lists them in the contract's order. Documents without a contract are not looked at."""
+    contract = F.create_map(*(x for key, phrases in required.items() for x in (F.lit(key), F.array(*(F.lit(p.lower()) for p in phrases)))))
+    held = documents.where(F.col(name).isin(*required)).select(name, contract[F.col(name)].alias("_p"), F.lower(F.coalesce(text, F.lit(""))).alias("_t"))
+    lost = held.withColumn("missing", F.filter("_p", lambda p: ~F.contains(F.col("_t"), p)))
+    return lost.where(F.size("missing") > 0).select(name, "missing")

@@ -41,6 +41,18 @@ def calendar_bars(hourly: DataFrame, holidays: DataFrame) -> DataFrame:
     return out.withColumn("complete", F.col("hours_present") >= F.col("hours_expected"))
 
 
+def payload_sessions(hourly: DataFrame, holidays: DataFrame, wait: str = "INTERVAL 60 SECONDS") -> DataFrame:
+    """``calendar_bars`` of bars with ``volume`` and ``raw_payload_hash``: also the volume, the distinct hashes in order (a session has few), its bounds, and from when it may be used: ``wait`` after its close, an assumption."""
+    from ..functions.columns import from_zone
+
+    days = hourly.withColumn("session_date", session_date(F.col("bar_start"))).where(F.dayofweek("session_date").between(2, 6))
+    more = days.groupBy("session_date").agg(F.sum("volume").alias("volume"), F.array_sort(F.collect_set("raw_payload_hash")).alias("raw_payload_hashes"))
+    close = lambda day: from_zone(day.cast("timestamp_ntz") + F.expr("INTERVAL 17 HOURS"), "America/New_York")
+    out = calendar_bars(hourly, holidays).join(more, "session_date")
+    out = out.withColumns({"bar_start": close(F.date_sub("session_date", 1)), "bar_end": close(F.col("session_date"))})
+    return out.withColumns({"available_at": F.col("bar_end") + F.expr(wait), "time_quality": F.lit("inferred_conservative")})
+
+
 def decode_deltas(candles: DataFrame, by: str) -> DataFrame:
     """Running values of delta-encoded integer units: (by, pos, delta, multiplier, base) to a price.
 

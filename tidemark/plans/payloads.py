@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..folders import shared_folder
-from ..operators import bars, publish
+from ..operators import audits, bars, publish
 from ..sources import archives, raw, releases, series
 from ..streaming import bars as streaming
 from . import data
@@ -227,3 +227,33 @@ def archived_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten days' spreads: only their files are opened, and no volumes are decoded."""
     out = archives.read_ticks(spark, _tick_archive(spark, sf_dir), ["day", "ts", "bid", "ask"], points=100).where("day >= date'2024-01-10' and day < date'2024-01-20'")
     return out.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("ticks"), F.round(F.max(F.col("ask") - F.col("bid")), 2).alias("widest"), F.date_format(F.max("ts"), "HH:mm:ss").alias("last"))
+
+
+# ---- sessions of payload bars, and contracts of documents
+
+SESSIONS = f"""{HOURLY}, sd AS (SELECT *, CAST(timezone('America/New_York', timezone('UTC', bar_start)) + INTERVAL 7 HOURS AS DATE) AS session_date, sha256(CAST(bar_start::DATE AS VARCHAR)) AS h FROM hourly),
+    sx AS (SELECT session_date, arg_min(open, bar_start) AS open, max(high) AS high, min(low) AS low, arg_max(close, bar_start) AS close, CAST(sum(ticks) AS BIGINT) AS volume, count(*) AS hours_present, string_agg(DISTINCT h, ',' ORDER BY h) AS hashes FROM sd WHERE isodow(session_date) <= 5 GROUP BY 1)"""
+
+
+@query(f"""WITH {SESSIONS} SELECT CAST(session_date AS VARCHAR) AS session_date, open, high, low, close, volume, hours_present, 24 - CASE WHEN day(session_date) % 5 = 0 THEN 2 ELSE 0 END AS hours_expected, hours_present >= 24 - CASE WHEN day(session_date) % 5 = 0 THEN 2 ELSE 0 END AS complete,
+    sha256(hashes) AS hashes_sha256, strftime(timezone('UTC', timezone('America/New_York', session_date::TIMESTAMP + INTERVAL 17 HOURS)) + INTERVAL 60 SECONDS, '%Y-%m-%d %H:%M:%S') AS available_at FROM sx""")
+def payload_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the payload bars with volume, the payloads behind them and when they may be used; every fifth day of a month two hours are a holiday."""
+    payloads = _candle_payloads(spark, sf_dir, faulty=False)
+    rows = bars.explode_candles(bars.read_candles(payloads).where("fault is null")).withColumns({"raw_payload_hash": F.sha2(F.col("id").cast("binary"), 256), "ticks": F.col("volume").cast("long")})
+    rows = rows.select("bar_start", *(F.round(c, 2).alias(c) for c in PRICES), "ticks", F.col("volume").cast("long").alias("volume"), "raw_payload_hash")
+    noon = F.col("id").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")
+    holidays = payloads.where(F.dayofmonth(F.col("id").cast("date")) % 5 == 0).select(noon.alias("from_ts"), (noon + F.expr("INTERVAL 2 HOURS")).alias("till_ts"))
+    out = bars.payload_sessions(rows, holidays)
+    return out.select(F.col("session_date").cast("string").alias("session_date"), *PRICES, "volume", "hours_present", F.col("hours_expected").cast("int").alias("hours_expected"), "complete", F.sha2(F.array_join("raw_payload_hashes", ",").cast("binary"), 256).alias("hashes_sha256"), F.date_format("available_at", "yyyy-MM-dd HH:mm:ss").alias("available_at"))
+
+
+CONTRACTS = {"a": ["<title>", "cookie", "</html>"], "b": ["href=", "Subscribe"], "c": ["<body", "no such phrase"]}
+
+
+@query("WITH p AS (SELECT page_id, ['a', 'b', 'c', 'd'][page_id % 4 + 1] AS kind, lower(html) AS t FROM pages), r AS (SELECT unnest(['a', 'a', 'a', 'b', 'b', 'c', 'c']) AS kind, unnest(['<title>', 'cookie', '</html>', 'href=', 'subscribe', '<body', 'no such phrase']) AS phrase) SELECT kind, phrase, count(*) AS pages FROM p JOIN r USING (kind) WHERE NOT contains(t, phrase) GROUP BY 1, 2")
+def document_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages of each kind lack a phrase that their contract names."""
+    kinds = F.get(F.array(*map(F.lit, "abcd")), (F.col("page_id") % 4).cast("int"))
+    lost = audits.missing_phrases(table(spark, sf_dir, "pages").select(kinds.alias("kind"), "html"), "kind", "html", CONTRACTS)
+    return lost.select("kind", F.explode("missing").alias("phrase")).groupBy("kind", "phrase").agg(F.count("*").alias("pages"))

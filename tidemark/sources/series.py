@@ -6,6 +6,7 @@ Content is text. A row that cannot be read is left out, as is a value that is no
 from __future__ import annotations
 
 import lzma
+import re
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
@@ -31,13 +32,19 @@ def lines(payloads: DataFrame) -> DataFrame:
     return payloads.select("id", F.posexplode(F.split(text, "\n")).alias("n", "line"))
 
 
+def _cells(line: str, separator: str) -> Column:
+    """The cells of a line. In a quoted cell separators are text and doubled quotes are one."""
+    outside = re.escape(separator) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    bare = lambda c: F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(F.split(line, outside), lambda c: F.trim(bare(c)))
+
+
 def delimited(payloads: DataFrame, header: str, separator: str = ",", skip: int = 0) -> DataFrame:
     """Cells of the lines after the first one that matches ``header``, as a map from the header's names: skips any preamble."""
     numbered = lines(payloads)
     names = numbered.where(F.col("line").rlike(header)).groupBy("id").agg(F.min_by("line", "n").alias("names"), F.min("n").alias("at"))
     body = numbered.join(names, "id").where((F.col("n") > F.col("at") + skip) & (F.trim("line") != ""))
-    cells = F.transform(F.split("line", separator), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
-    heads = F.transform(F.split("names", separator), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    cells, heads = _cells("line", separator), _cells("names", separator)
     size = F.least(F.size(cells), F.size(heads))
     return body.select("id", "n", F.map_from_arrays(F.slice(heads, F.lit(1), size), F.slice(cells, F.lit(1), size)).alias("cells"))
 
