@@ -93,11 +93,15 @@ def by_bin(spectra: DataFrame, by: list[str]) -> DataFrame:
 
 
 def coherences(cross: DataFrame, by: list[str], length: int) -> DataFrame:
-    """Period, powers, coherence, phase and lead of each bin from the means pf, pt, co and qu over ``windows``. A positive lead means that the factor comes first."""
+    """Period, powers, coherence, phase and lead of each bin from the means pf, pt, co and qu over ``windows``. A positive lead means that the factor comes first.
+
+    The bin of period 2 has no imaginary part; what rounding leaves of one is taken as 0, so that its phase is 0 or pi.
+    """
+    cross = cross.withColumn("qu", F.when(F.col("bin") * 2 == length, F.lit(0.0)).otherwise(F.col("qu")))
     base = F.col("pf") * F.col("pt")
     coherence = F.when(base <= FLAT, 0.0).otherwise(F.least(F.lit(1.0), (F.col("co") ** 2 + F.col("qu") ** 2) / F.nullif(base, F.lit(0.0))))
     phase = F.atan2("qu", "co")
-    return cross.select(*by, "bin", (length / F.col("bin")).alias("period"), "pf", "pt", coherence.alias("coherence"), phase.alias("phase"), (-phase * length / (2 * math.pi * F.col("bin"))).alias("lead"), "windows")
+    return cross.select(*by, "bin", (length / F.col("bin")).alias("period"), "pf", "pt", coherence.alias("coherence"), phase.alias("phase"), (-phase * length / (2 * math.pi * F.col("bin")) + 0.0).alias("lead"), "windows")
 
 
 def rolling_windows(n: int, length: int, step: int) -> list[tuple[int, int]]:

@@ -202,15 +202,15 @@ def _packed(key: tuple, day: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"name": [f"{key[0]}.bi5"], "content": [lzma.compress(records.tobytes(), format=lzma.FORMAT_ALONE)]})
 
 
-ARCHIVED = "tk AS (SELECT ts::DATE AS day, CAST(epoch_us(ts) // 1000 % 86400000 AS BIGINT) AS ms, tick_id, CAST(round(price * 100) AS BIGINT) AS bid, CAST(round(price * 100) AS BIGINT) + tick_id % 7 AS ask FROM ticks)"
+ARCHIVED = "tk AS (SELECT ts::DATE AS day, CAST(epoch_us(ts) // 1000 % 86400000 AS BIGINT) AS ms, tick_id, CAST(round(price * 100) AS BIGINT) + 1 AS bid, CAST(round(price * 100) AS BIGINT) + 1 + tick_id % 7 AS ask FROM ticks)"
 
 
 def _tick_archive(spark: SparkSession, sf_dir: str) -> str:
-    """The purchases as ticks in cents, a file a day."""
+    """The purchases as ticks in cents, a file a day; one cent is added, as a tick of nothing is no tick."""
     folder = f"{shared_folder(spark)}/ticks-{uuid.uuid4().hex}"
     t = data.ticks(spark, sf_dir).select(
-        F.to_date("ts").cast("string").alias("day"), (F.unix_millis(F.col("ts").cast("timestamp")) % 86400000).alias("ms"), "tick_id", F.round(F.col("price") * 100).cast("long").alias("bid"),
-        (F.round(F.col("price") * 100).cast("long") + F.col("tick_id") % 7).alias("ask"), F.lit(1.5).alias("ask_volume"), F.lit(0.5).alias("bid_volume"))
+        F.to_date("ts").cast("string").alias("day"), (F.unix_millis(F.col("ts").cast("timestamp")) % 86400000).alias("ms"), "tick_id", (F.round(F.col("price") * 100).cast("long") + 1).alias("bid"),
+        (F.round(F.col("price") * 100).cast("long") + 1 + F.col("tick_id") % 7).alias("ask"), F.lit(1.5).alias("ask_volume"), F.lit(0.5).alias("bid_volume"))
     archives.write_files(t.groupBy("day").applyInPandas(_packed, "name string, content binary"), folder)
     return folder
 

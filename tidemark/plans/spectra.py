@@ -39,11 +39,11 @@ WELCH = CHANGES + """, w AS (SELECT c.*, CAST(k AS INTEGER) AS w, CAST(i - k * 3
     h AS (SELECT w, j, f0 * (0.5 - 0.5 * cos(2 * pi() * j / 63)) AS f1, t0 * (0.5 - 0.5 * cos(2 * pi() * j / 63)) AS t1 FROM m WHERE n = 64),
     b AS (SELECT CAST(unnest(range(1, 33)) AS INTEGER) AS bin),
     x AS (SELECT w, bin, sum(f1 * cos(-2 * pi() * ((j * bin) % 64) / 64)) AS re, sum(f1 * sin(-2 * pi() * ((j * bin) % 64) / 64)) AS im, sum(t1 * cos(-2 * pi() * ((j * bin) % 64) / 64)) AS re2, sum(t1 * sin(-2 * pi() * ((j * bin) % 64) / 64)) AS im2 FROM h, b GROUP BY w, bin),
-    y AS (SELECT bin, avg(re * re + im * im) AS pf, avg(re2 * re2 + im2 * im2) AS pt, avg(re * re2 + im * im2) AS co, avg(re * im2 - im * re2) AS qu, count(*) AS windows FROM x GROUP BY bin),
+    y AS (SELECT bin, avg(re * re + im * im) AS pf, avg(re2 * re2 + im2 * im2) AS pt, avg(re * re2 + im * im2) AS co, CASE WHEN bin = 32 THEN 0.0 ELSE avg(re * im2 - im * re2) END AS qu, count(*) AS windows FROM x GROUP BY bin),
     sp AS (SELECT bin, 64.0::DOUBLE / bin AS period, CASE WHEN pf * pt <= 1e-18 THEN 0.0 ELSE least(1.0, (co * co + qu * qu) / (pf * pt)) END AS coherence, atan2(qu, co) AS phase, windows FROM y)"""
 
 
-@query(f"WITH {WELCH} SELECT bin, round(period, 6) AS period, round(coherence, 6) AS coherence, round(phase, 6) AS phase, round(-phase * 64 / (2 * pi() * bin), 6) AS lead, windows FROM sp")
+@query(f"WITH {WELCH} SELECT bin, round(period, 6) AS period, round(coherence, 6) AS coherence, round(phase, 6) AS phase, round(-phase * 64 / (2 * pi() * bin) + 0.0, 6) AS lead, windows FROM sp")
 def cross_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spectral.welch(changes(spark, sf_dir), ["s"], "f", "t", 64, 32)
     return out.select("bin", *(F.round(c, 6).alias(c) for c in ("period", "coherence", "phase", "lead")), "windows")
@@ -65,8 +65,8 @@ CHRONO = CHANGES + """, nn AS (SELECT CAST(count(*) AS INTEGER) AS n FROM c),
 WINDOW_BANDS = CHRONO + """, sg AS (SELECT mode, number, unnest(range(start, stop - 63, 32)) AS seg FROM wn), sd AS (SELECT DISTINCT seg FROM sg),
     sm AS (SELECT seg, i - seg AS j, f - avg(f) OVER z AS f0, t - avg(t) OVER z AS t0 FROM sd JOIN c ON i >= seg AND i < seg + 64 WINDOW z AS (PARTITION BY seg)), sh AS (SELECT seg, j, f0 * (0.5 - 0.5 * cos(2 * pi() * j / 63)) AS f1, t0 * (0.5 - 0.5 * cos(2 * pi() * j / 63)) AS t1 FROM sm),
     sb AS (SELECT CAST(unnest(range(1, 33)) AS INTEGER) AS bin), sx AS (SELECT seg, bin, sum(f1 * cos(-2 * pi() * ((j * bin) % 64) / 64)) AS re, sum(f1 * sin(-2 * pi() * ((j * bin) % 64) / 64)) AS im, sum(t1 * cos(-2 * pi() * ((j * bin) % 64) / 64)) AS re2, sum(t1 * sin(-2 * pi() * ((j * bin) % 64) / 64)) AS im2 FROM sh, sb GROUP BY 1, 2),
-    sy AS (SELECT mode, number, bin, avg(re * re + im * im) AS pf, avg(re2 * re2 + im2 * im2) AS pt, avg(re * re2 + im * im2) AS co, avg(re * im2 - im * re2) AS qu, count(*) AS segments FROM sg JOIN sx USING (seg) GROUP BY ALL),
-    sc AS (SELECT mode, number, bin, pf, 64.0::DOUBLE / bin AS period, CASE WHEN pf * pt <= 1e-18 THEN 0.0 ELSE least(1.0, (co * co + qu * qu) / (pf * pt)) END AS coherence, -atan2(qu, co) * 64 / (2 * pi() * bin) AS lead, segments FROM sy),
+    sy AS (SELECT mode, number, bin, avg(re * re + im * im) AS pf, avg(re2 * re2 + im2 * im2) AS pt, avg(re * re2 + im * im2) AS co, CASE WHEN bin = 32 THEN 0.0 ELSE avg(re * im2 - im * re2) END AS qu, count(*) AS segments FROM sg JOIN sx USING (seg) GROUP BY mode, number, bin),
+    sc AS (SELECT mode, number, bin, pf, 64.0::DOUBLE / bin AS period, CASE WHEN pf * pt <= 1e-18 THEN 0.0 ELSE least(1.0, (co * co + qu * qu) / (pf * pt)) END AS coherence, -atan2(qu, co) * 64 / (2 * pi() * bin) + 0.0 AS lead, segments FROM sy),
     bd AS (SELECT mode, number, CASE WHEN period < 5 THEN 'fast' WHEN period < 10 THEN 'week' WHEN period < 25 THEN 'month' ELSE 'quarter' END AS band, avg(coherence) AS mean_coherence, arg_max(coherence, (round(coherence, 9), -bin)) AS peak_coherence, arg_max(period, (round(coherence, 9), -bin)) AS peak_period,
         arg_max(lead, (round(coherence, 9), -bin)) AS lead, sum(pf) AS power, max(segments) AS segments FROM sc GROUP BY 1, 2, 3),
     wb AS (SELECT *, power / sum(power) OVER (PARTITION BY mode, number) AS power_share, list_position(['fast', 'week', 'month', 'quarter'], band) AS o, row_number() OVER (PARTITION BY mode, number ORDER BY round(mean_coherence, 9) DESC, list_position(['fast', 'week', 'month', 'quarter'], band)) = 1 AS leads FROM bd)"""
