@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, slices, texts
+from .common import local_path, release, slices, texts
 
 #: Above every rank: no pair.
 NONE = 1 << 62
 VOID = np.int64(1 << 40)
-#: Distinct pieces whose ids a worker remembers before it starts anew.
+#: Distinct pieces whose ids a task remembers before it starts anew.
 CACHE_PIECES = 400_000
 #: Pieces of at most so many bytes are merged together, so many trees at once; longer ones one by one.
 SHORT, GROUP = 64, 8192
@@ -191,7 +191,7 @@ class Vocabulary:
         return found
 
     def encode_all(self, texts_: list[str]) -> Iterator[bytes]:
-        """Ids of whole texts, packed; pieces new to this worker are merged together first."""
+        """Ids of whole texts, packed; pieces new to this task are merged together first."""
         split = [self.split(x) for x in texts_]
         every = set().union(*split)
         known = self.known
@@ -245,6 +245,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        vocab.known.clear()
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

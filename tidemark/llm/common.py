@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,15 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: its worker lives on and runs tasks of other kinds beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of each piece stays near ``max_bytes`` (one row at least)."""
     for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, grams, hash_strings, mix, slices, texts, words_of
+from .common import SPACE, grams, hash_strings, mix, release, slices, texts, words_of
 from .training import fit_in_task, platt, sigmoid, training_rows
 
 #: Buckets of each n-gram family (a power of two) and their number.
@@ -88,8 +88,10 @@ def fit(texts_: list[str], labels: np.ndarray, epochs: int = 12, rate: float = 0
     """AdaGrad over the first four fifths of the sample; the last fifth calibrates."""
     size = (FAMILIES << BITS) + 1
     weights, seen = np.zeros(size, np.float32), np.full(size, 1e-8, np.float32)
-    rows = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    sizes: list[int] = []
     for at in range(0, len(texts_), 256):
+        rows = []
         for _, _, _, families in featurise(pa.array(texts_[at : at + 256], pa.string())):
             ids, values = [], []
             for x in families:
@@ -97,20 +99,30 @@ def fit(texts_: list[str], labels: np.ndarray, epochs: int = 12, rate: float = 0
                     u, n = np.unique(x, return_counts=True)
                     ids.append(u.astype(np.int32))
                     values.append((n / len(x)).astype(np.float32))
-            rows.append((np.append(np.concatenate(ids), size - 1) if ids else np.array([size - 1]), np.append(np.concatenate(values), np.float32(1)) if ids else np.ones(1, np.float32)))
-    learn = max(1, len(rows) * 4 // 5)
-    if rows and 0 < labels[:learn].sum() < learn:
+            rows.append((np.append(np.concatenate(ids), np.int32(size - 1)) if ids else np.array([size - 1], np.int32), np.append(np.concatenate(values), np.float32(1)) if ids else np.ones(1, np.float32)))
+        sizes += [len(ids) for ids, _ in rows]
+        parts.append((np.concatenate([ids for ids, _ in rows]), np.concatenate([values for _, values in rows])))
+    # two long arrays, which go back to the system in whole
+    every_id, every_value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int32), np.empty(0, np.float32))
+    del parts
+    ends = np.cumsum([0, *sizes])
+    row = lambda i: (every_id[ends[i] : ends[i + 1]], every_value[ends[i] : ends[i + 1]])
+    count = len(sizes)
+    learn = max(1, count * 4 // 5)
+    if count and 0 < labels[:learn].sum() < learn:
         order = np.random.default_rng(seed)
         balance = {1.0: 0.5 * learn / labels[:learn].sum(), 0.0: 0.5 * learn / (learn - labels[:learn].sum())}
         for _ in range(epochs):
             for i in order.permutation(learn).tolist():
-                ids, values = rows[i]
+                ids, values = row(i)
                 p = float(sigmoid(np.array(weights[ids] @ values)))
                 g = (p - labels[i]) * balance[float(labels[i])] * values
                 seen[ids] += g * g
                 weights[ids] -= rate * g / np.sqrt(seen[ids])
-    held = list(range(learn, len(rows)))
-    slope, shift = platt(np.array([float(weights[rows[i][0]] @ rows[i][1]) for i in held]), labels[held]) if held else (1.0, 0.0)
+    held = list(range(learn, count))
+    slope, shift = platt(np.array([float(weights[row(i)[0]] @ row(i)[1]) for i in held]), labels[held]) if held else (1.0, 0.0)
+    del every_id, every_value, row
+    release()
     return {"weights": weights, "curve": np.array([slope, shift])}
 
 
